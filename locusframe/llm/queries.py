@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, url_filter
+from . import bpe, ngram_join, pii, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,13 +23,25 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(spark, table(spark, sf_dir, "documents"), percent=90, words=3)
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.pseudonymize(docs, found_col="found")
+    return out.select("doc_id", "text", F.size("found").cast("long").alias("n_found"), F.array_join(F.transform("found", lambda s: s["kind"]), ",").alias("kinds"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_ngram_join": op3_ngram_join,
     "op5_url_filter": op5_url_filter,
+    "op6_pii": op6_pii,
 }
 
 ORACLES: dict[str, str] = {}
