@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, pii, url_filter
+from . import bpe, embed_dedup, ngram_join, pii, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,6 +27,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(spark, table(spark, sf_dir, "documents"), percent=90, words=3)
 
 
+def op4_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(spark, table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pii.pseudonymize(docs, found_col="found")
@@ -40,6 +44,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_ngram_join": op3_ngram_join,
+    "op4_embed_dedup": op4_embed_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_pii": op6_pii,
 }
