@@ -115,7 +115,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return hashes, bounds, ws - shift, we - shift
 
 
-def batches(texts: list[bytes], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def batches(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` bytes; one longer text is a run alone."""
     at, size = 0, 0
     for i, t in enumerate(texts):

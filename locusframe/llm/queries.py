@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, ngram_join, pii, suffix_dedup, url_filter
+from . import bpe, decontam, embed_dedup, ngram_join, pii, suffix_dedup, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -41,6 +41,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(spark, table(spark, sf_dir, "documents"), length=100, keep_bytes=False)
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embed_dedup": op4_embed_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_pii": op6_pii,
+    "op7_decontam": op7_decontam,
     "op8_suffix_dedup": op8_suffix_dedup,
 }
 
