@@ -115,6 +115,28 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return hashes, bounds, ws - shift, we - shift
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[ord("a") : ord("z") + 1] = True
+_LETTER[ord("A") : ord("Z") + 1] = True
+_LETTER[ord("0") : ord("9") + 1] = True
+_LETTER[128:] = True
+
+
+def word_bounds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of letters, digits and non-ASCII bytes.
+
+    Returns (joined bytes, starts, ends, words of each text).
+    """
+    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    letter = _LETTER[buf]
+    edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+    if letter[0]:
+        edge = np.concatenate(([0], edge))
+    ws, we = edge[0::2], edge[1::2]
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return buf, ws, we, np.diff(np.searchsorted(ws, ends), prepend=0)
+
+
 def batches(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` bytes; one longer text is a run alone."""
     at, size = 0, 0

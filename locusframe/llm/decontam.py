@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, RollingHash, batches, mix64
+from .common import U64, RollingHash, batches, mix64, word_bounds
 
 SIMILARITY = 0.8
 TABLES = 48
@@ -46,28 +46,14 @@ CHUNK_BYTES = 16 << 20
 MOST_RUN = 4
 WINDOW_CHUNK = 20_000
 
-_WORD = np.zeros(256, bool)
-_WORD[ord("a") : ord("z") + 1] = True
-_WORD[ord("A") : ord("Z") + 1] = True
-_WORD[ord("0") : ord("9") + 1] = True
-_WORD[128:] = True
-
-
 def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes of all texts, first word of each text with a closing bound)."""
     raw = [t.lower().encode("utf-8", "replace") if isinstance(t, str) else b"" for t in texts]
     hashes, counts = [], [np.zeros(1, np.int64)]
     for lo, hi in batches(raw, 1 << 18):  # small enough for the processor's cache
-        part = raw[lo:hi]
-        buf = np.frombuffer(b"\n".join(part) + b"\n", np.uint8)
-        word = _WORD[buf]
-        edge = np.flatnonzero(word[1:] != word[:-1]) + 1
-        if word[0]:
-            edge = np.concatenate(([0], edge))
-        ws, we = edge[0::2], edge[1::2]
+        buf, ws, we, n = word_bounds(raw[lo:hi])
         hashes.append(mix64(RollingHash(buf).of(ws, we) + (we - ws).astype(U64)) | U64(1))
-        ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-        counts.append(np.diff(np.searchsorted(ws, ends), prepend=0))
+        counts.append(n)
     return np.concatenate(hashes) if hashes else np.zeros(0, U64), np.cumsum(np.concatenate(counts))
 
 
