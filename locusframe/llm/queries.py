@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, embed_dedup, ngram_join, pii, suffix_dedup, toxicity, url_filter
+from . import bpe, decontam, embed_dedup, html_extract, langid, ngram_join, pii, suffix_dedup, toxicity, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,6 +23,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(spark, table(spark, sf_dir, "documents"), percent=90, words=3)
 
@@ -53,8 +57,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_html_extract": op2_html_extract,
     "op3_ngram_join": op3_ngram_join,
     "op4_embed_dedup": op4_embed_dedup,
     "op5_url_filter": op5_url_filter,
@@ -62,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontam": op7_decontam,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_langid": op10_langid,
 }
 
 ORACLES: dict[str, str] = {}
