@@ -1 +1,3 @@
 """Regional haplotype analysis on Spark DataFrames."""
+
+__version__ = "0.1.0"
