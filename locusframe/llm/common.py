@@ -15,7 +15,14 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small: texts may be long and workers are few."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

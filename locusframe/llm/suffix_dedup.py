@@ -46,7 +46,7 @@ from .common import U64, RollingHash, materialize, mix64, to_bytes
 
 GRAM = 24
 SAMPLE_DOCS = 2_000
-FLUSH = 1_500_000
+FLUSH = 400_000
 COMMON_GRAM = 64
 BUCKETS_PER_TASK = 3
 
@@ -343,7 +343,7 @@ def _compare(length: int):
             ctx = pdf[kind == CONTEXT]
             if len(ctx):
                 keys = ctx["key"].to_numpy()
-                if rows > 20_000:
+                if rows > 8_000:
                     # settle up to the last gram that is surely complete
                     held = pd.concat(parts)
                     tail = held["key"].to_numpy()[-1]
