@@ -156,7 +156,8 @@ class Engine:
     def trait_values(self, result: Result) -> DataFrame:
         wanted = result.options.trait_cols
         names = [n for n in result.trait_names if wanted is None or n in wanted]
-        return traits.long_traits(result.hap_group, level_column(result.options.level), names, ["region_ord"], result.options.min_count)
+        values = traits.long_traits(result.hap_group, level_column(result.options.level), names, ["region_ord"], result.options.min_count)
+        return clustering._cut(values)  # read by every test
 
     # ---------------------------------------------------------- files
 

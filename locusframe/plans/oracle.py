@@ -43,12 +43,12 @@ HAPS = """, counted AS (SELECT region_ord, seq, count(DISTINCT sample) AS n FROM
 haps AS (SELECT *, 'Hap' || lpad(CAST(rk AS VARCHAR), CAST(greatest(3, length(CAST(rk AS VARCHAR))) AS INTEGER), '0') AS hap
          FROM (SELECT *, row_number() OVER (PARTITION BY region_ord ORDER BY n DESC, seq) AS rk FROM counted)),
 copies AS (SELECT s.region_ord, s.sample, s.copy, h.hap FROM seqs s JOIN haps h ON s.region_ord = h.region_ord AND s.seq = h.seq)"""
-LONG = ", long AS (SELECT region_ord, hap, rk, unnest(seq) AS token, unnest(range(len(seq))) AS at FROM haps)"
+LONG = ", long AS (SELECT region_ord, hap, rk, unnest(seq) AS token, unnest(range(len(seq))) AS idx FROM haps)"
 PAIRS = """, pairs AS (
   SELECT a.region_ord, a.hap AS hap1, b.hap AS hap2,
     CASE WHEN sum(CASE WHEN a.token <> 'N' AND b.token <> 'N' THEN 1 ELSE 0 END) = 0 THEN 1.0
       ELSE sum(CASE WHEN a.token <> 'N' AND b.token <> 'N' AND a.token <> b.token THEN 1 ELSE 0 END) / CAST(sum(CASE WHEN a.token <> 'N' AND b.token <> 'N' THEN 1 ELSE 0 END) AS DOUBLE) END AS distance
-  FROM long a JOIN long b ON a.region_ord = b.region_ord AND a.at = b.at AND a.hap < b.hap GROUP BY ALL)"""
+  FROM long a JOIN long b ON a.region_ord = b.region_ord AND a.idx = b.idx AND a.hap < b.hap GROUP BY ALL)"""
 CLUSTERS = """, link AS (SELECT region_ord, hap1 AS x, hap2 AS y FROM pairs WHERE distance <= 0.2 UNION ALL SELECT region_ord, hap2, hap1 FROM pairs WHERE distance <= 0.2),
 reach AS (SELECT region_ord, hap AS x, hap AS y FROM haps UNION SELECT r.region_ord, r.x, l.y FROM reach r JOIN link l ON r.region_ord = l.region_ord AND r.y = l.x),
 root AS (SELECT region_ord, x AS hap, min(y) AS root FROM reach GROUP BY region_ord, x),
@@ -86,15 +86,15 @@ pv AS (SELECT {keys}, a, b, c, d, least(1.0, sum(p) FILTER (p <= seen + 1e-12))
 TESTED = COUNTS + fisher("cnt", "region_ord, site_ord") + """, rk AS (
   SELECT *, row_number() OVER (PARTITION BY region_ord ORDER BY pvalue, site_ord) AS r, count(*) OVER (PARTITION BY region_ord) AS m FROM pv),
 bh AS (SELECT *, least(1.0, min(pvalue * m / r) OVER (PARTITION BY region_ord ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS padj FROM rk)"""
-STATES = LONG + """, toks AS (SELECT DISTINCT region_ord, at, token FROM long),
+STATES = LONG + """, toks AS (SELECT DISTINCT region_ord, idx, token FROM long),
 alpha AS (SELECT unnest(range(62)) AS i, substr('ACGTNRYSWKMBDHV0123456789abcdefghijklmnopqrstuvwxyzEFIJLOPQUXZ', i + 1, 1) AS ch),
-open AS (SELECT t.region_ord, t.at, a.ch, row_number() OVER (PARTITION BY t.region_ord, t.at ORDER BY a.i) AS r
-         FROM (SELECT DISTINCT region_ord, at FROM toks) t CROSS JOIN alpha a
-         WHERE NOT EXISTS (SELECT 1 FROM toks x WHERE x.region_ord = t.region_ord AND x.at = t.at AND x.token = a.ch AND x.token IN ('A','C','G','T','N'))),
-oth AS (SELECT *, row_number() OVER (PARTITION BY region_ord, at ORDER BY token) AS r FROM toks WHERE token NOT IN ('A','C','G','T','N')),
-states AS (SELECT region_ord, at, token, token AS state FROM toks WHERE token IN ('A','C','G','T','N')
-           UNION ALL SELECT o.region_ord, o.at, o.token, p.ch FROM oth o JOIN open p ON o.region_ord = p.region_ord AND o.at = p.at AND o.r = p.r),
-codes AS (SELECT l.region_ord, l.hap, string_agg(s.state, '' ORDER BY l.at) AS code FROM long l JOIN states s ON l.region_ord = s.region_ord AND l.at = s.at AND l.token = s.token GROUP BY l.region_ord, l.hap)"""
+free AS (SELECT t.region_ord, t.idx, a.ch, row_number() OVER (PARTITION BY t.region_ord, t.idx ORDER BY a.i) AS r
+         FROM (SELECT DISTINCT region_ord, idx FROM toks) t CROSS JOIN alpha a
+         WHERE NOT EXISTS (SELECT 1 FROM toks x WHERE x.region_ord = t.region_ord AND x.idx = t.idx AND x.token = a.ch AND x.token IN ('A','C','G','T','N'))),
+oth AS (SELECT *, row_number() OVER (PARTITION BY region_ord, idx ORDER BY token) AS r FROM toks WHERE token NOT IN ('A','C','G','T','N')),
+states AS (SELECT region_ord, idx, token, token AS state FROM toks WHERE token IN ('A','C','G','T','N')
+           UNION ALL SELECT o.region_ord, o.idx, o.token, p.ch FROM oth o JOIN free p ON o.region_ord = p.region_ord AND o.idx = p.idx AND o.r = p.r),
+codes AS (SELECT l.region_ord, l.hap, string_agg(s.state, '' ORDER BY l.idx) AS code FROM long l JOIN states s ON l.region_ord = s.region_ord AND l.idx = s.idx AND l.token = s.token GROUP BY l.region_ord, l.hap)"""
 KRUSKAL = """, rnk AS (SELECT *, rank() OVER (PARTITION BY {k} ORDER BY value) + (count(*) OVER (PARTITION BY {k}, value) - 1) / 2.0 AS r FROM live),
 byc AS (SELECT {k}, cls, sum(r) AS rs, count(*) AS n FROM rnk GROUP BY {k}, cls),
 sm AS (SELECT {k}, sum(rs * rs / n) AS s, CAST(sum(n) AS DOUBLE) AS n, count(*) AS k FROM byc GROUP BY {k}),
@@ -117,7 +117,7 @@ bl AS (SELECT o.*, greatest(o.start, 300) AS lft, least(o.stop, 900) AS rgt FROM
        WHERE o.ftype IN ('exon', 'CDS', 'five_prime_UTR'))"""
 CONSENSUS = CLUSTERED + """, parts AS (
   SELECT DISTINCT l.region_ord, c.cluster, s.site_ord, u.part FROM long l JOIN clusters c ON l.region_ord = c.region_ord AND l.hap = c.hap
-  JOIN sites s ON s.region_ord = l.region_ord AND s.place = l.at, LATERAL (SELECT unnest(string_split(l.token, '/')) AS part) u),
+  JOIN sites s ON s.region_ord = l.region_ord AND s.place = l.idx, LATERAL (SELECT unnest(string_split(l.token, '/')) AS part) u),
 consensus AS (SELECT region_ord, cluster, site_ord, string_agg(part, '/' ORDER BY part) AS token FROM parts GROUP BY ALL)"""
 
 ORACLES: dict[str, str] = {
@@ -169,7 +169,7 @@ ON a.region_ord = h.region_ord AND a.hap = h.hap""",
     + """SELECT CAST(region_ord AS BIGINT) AS region_ord, "Hap", "ClusterID", count(*) AS n FROM (
 SELECT c.region_ord, c.sample, string_agg(c.hap, '_' ORDER BY c.hap) AS "Hap", string_agg(DISTINCT k.cluster, '_' ORDER BY k.cluster) AS "ClusterID"
 FROM copies c JOIN clusters k ON c.region_ord = k.region_ord AND c.hap = k.hap GROUP BY c.region_ord, c.sample) GROUP BY ALL""",
-    "q28_state_map": LENS + INBRED + HAPS + STATES + "SELECT CAST(region_ord AS BIGINT) AS region_ord, CAST(at AS BIGINT) AS at, token, state FROM states",
+    "q28_state_map": LENS + INBRED + HAPS + STATES + 'SELECT CAST(region_ord AS BIGINT) AS region_ord, CAST(idx AS BIGINT) AS "at", token, state FROM states',
     "q29_encoded_sequences": LENS + INBRED + HAPS + STATES + "SELECT CAST(region_ord AS BIGINT) AS region_ord, hap, code FROM codes",
     "q30_sample_copy_fasta": LENS + HYBRID + HAPS + STATES
     + "SELECT CAST(c.region_ord AS BIGINT) AS region_ord, '>' || c.sample || '|copy' || (c.copy + 1) || '|' || c.hap AS name, d.code FROM copies c JOIN codes d ON c.region_ord = d.region_ord AND c.hap = d.hap",

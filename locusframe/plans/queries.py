@@ -52,7 +52,8 @@ class Lens:
         self.copies = haplotypes.sample_haps(self.seqs, self.haps)
 
     def clustered(self, threshold: float = THRESHOLD) -> DataFrame:
-        self.haps = clustering._cut(self.haps)
+        self.seqs = clustering._cut(self.seqs)
+        self.haps = clustering._cut(haplotypes.rank(self.seqs))
         self.copies = haplotypes.sample_haps(self.seqs, self.haps)
         return clustering.clusters(self.haps, threshold)
 
@@ -71,7 +72,8 @@ class Lens:
         )
 
     def values(self) -> DataFrame:
-        return traits.long_traits(self.hap_group(), "ClusterID", TRAITS, ["region_ord"], MIN_COUNT)
+        # read by every test: computed once
+        return clustering._cut(traits.long_traits(self.hap_group(), "ClusterID", TRAITS, ["region_ord"], MIN_COUNT))
 
 
 @query
