@@ -64,7 +64,9 @@ HOST_RULES = (
 )
 
 # fixed values: words that mark unwanted urls when they stand as a token
-PATTERN_WORDS = ("casino", "porn", "xxx", "poker", "viagra", "torrent", "malware", "phishing", "doubleclick", "adserver")
+PATTERN_WORDS = (
+    "casino", "porn", "adult", "xxx", "poker", "bets", "gambling", "viagra", "pills", "torrent", "malware", "phishing", "spam", "ads", "doubleclick", "adserver"
+)
 PATTERN_RULES = tuple(
     Rule("block", pattern=rf"(?i)(?:^|[^A-Za-z0-9]){w}(?:[^A-Za-z0-9]|$)", literals=(w,)) for w in PATTERN_WORDS
 ) + (Rule("block", pattern=r"(?i)/wp-admin(?:/|$)", literals=("wp", "admin")), Rule("block", pattern=r"(?i)/track/click(?:/|$)", literals=("track", "click")))
