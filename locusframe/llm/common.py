@@ -54,6 +54,30 @@ def discard(spark: SparkSession, df: DataFrame | None) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+FILTER_BITS = 1 << 26
+
+
+def maybe_in(spark: SparkSession, df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose long ``col`` may be in the one column of ``ids``.
+
+    A bitmap of ``FILTER_BITS`` bits over hashed ids is broadcast: 8 MB whatever
+    the number of ids.  It lets strangers pass and drops no id, so it only
+    saves what a following join would shuffle for nothing.
+    """
+    bit = F.pmod(F.xxhash64(ids.columns[0]), F.lit(FILTER_BITS))
+    # the construction counts bits from one in each bucket
+    maps = (
+        ids.select((bit + 1).alias("bit"))
+        .groupBy(F.bitmap_bucket_number("bit").alias("_bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_map"))
+    )
+    own = F.pmod(F.xxhash64(col), F.lit(FILTER_BITS)) + 1
+    at = df.withColumn("_bucket", F.bitmap_bucket_number(own)).withColumn("_at", F.bitmap_bit_position(own))
+    joined = at.join(F.broadcast(maps), "_bucket")
+    byte = F.conv(F.hex(F.substring("_map", (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return joined.where(F.getbit(byte, F.pmod("_at", F.lit(8)).cast("int")) == 1).select(*df.columns)
+
+
 # ---------------------------------------------------------------- hashing
 
 

@@ -34,6 +34,7 @@ ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,11 +42,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, UnionFind, batches, components, discard, materialize, mix64, to_bytes, word_hashes
+from .common import U64, UnionFind, batches, components, discard, materialize, maybe_in, mix64, to_bytes, word_hashes
 
 BLOCK_SHINGLES = 250_000
-FLUSH_ROWS = 1_500_000
+FLUSH_ROWS = 400_000
+SLICE_ROWS = 100_000
 WEAK = 1
+SAMPLE_DOCS = 5_000
+COMMON_IN = 5
+MOST_COMMON = 100_000
 
 NODE, CLASS, SIG, SAME, NEAR = range(5)
 
@@ -87,42 +92,105 @@ def bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(lows, np.int64), np.array(ks, np.int64)
 
 
-def part_signatures(s: np.ndarray, scheme: int, parts: int, seed: int = 0, tag: int = 0) -> np.ndarray:
-    """One hash for each part of a set; parts of few elements are refined."""
-    m = mix64(s + U64((seed * 0x9E3779B97F4A7C15 + 0x51ED27) & (2**64 - 1)))
+def parts_for(low: int, k: int) -> int:
+    """Parts for sets of at least ``low`` elements that differ in at most k.
+
+    Of p parts at least p - k are the same in both sets, and about
+    p (1 + v) exp(-v) of parts with v elements on average hold one element or
+    none; the fewest parts are taken whose equal ones surely outnumber those.
+    """
+    best, best_slack = k + 1, -math.inf
+    for p in range(k + 1, 2 * k + 3, 1 + k // 64):
+        v = low / p
+        weak = p * (1 + v) * math.exp(-v)
+        slack = p - k - (weak + 2 * math.sqrt(weak) + 0.5)
+        if slack >= 0:
+            return p
+        if slack > best_slack:
+            best, best_slack = p, slack
+    return best
+
+
+def part_hashes(s: np.ndarray, parts: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, elements) of each part of a set."""
+    m = mix64(s + U64(base))
     part = ((m >> U64(32)) % U64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
     counts = np.bincount(part, minlength=parts)
+    order = np.argsort(part, kind="stable")
     sums = np.concatenate((np.zeros(1, U64), np.cumsum(m[order], dtype=U64)))
     ends = np.cumsum(counts)
     total = sums[ends] - sums[ends - counts]
-    base = (scheme * 0xD6E8FEB86659FD93 + seed * 0xA5A5A5A5A5A5A5 + tag) & (2**64 - 1)
-    sig = mix64(total + mix64(np.arange(parts, dtype=U64) * U64(0x2545F4914F6CDD1D) + U64(base)))
-    if parts == 1 or seed >= 3:
-        return sig
-    weak = np.flatnonzero(counts <= WEAK)
-    if not len(weak):
-        return sig
-    strong = sig[counts > WEAK]
-    return np.concatenate([strong, *(part_signatures(s, scheme, parts, seed + 1, int(sig[j])) for j in weak)])
+    return mix64(total + mix64(np.arange(parts, dtype=U64) * U64(0x2545F4914F6CDD1D) + U64(base))), counts
 
 
 class Signatures:
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.lows, self.ks = bands(percent, 1 << 22)
+    """Routing signatures: linked sets share at least one.
+
+    First the parts of a set without the ``common`` elements (removing the same
+    elements from both sets adds no difference).  Parts of more than one
+    element are sent.  Where a set has as many weaker parts as there may be
+    equal ones, it also sends parts of the whole set, under new divisions, and
+    under the last one all of them; since an equal part is as weak in the one
+    set as in the other, both partners do so or share a stronger part before.
+    """
+
+    SEEDS = 3
+
+    def __init__(self, percent: int, common: np.ndarray):
+        self.percent, self.common = percent, common
+        self.plan(1 << 16)
+
+    def plan(self, most: int) -> None:
+        self.lows, self.ks = bands(self.percent, most)
+        self.parts = [parts_for(int(lo), int(k)) for lo, k in zip(self.lows, self.ks, strict=True)]
+        self.most = most
 
     def of(self, s: np.ndarray) -> np.ndarray:
         n = len(s)
-        if n > 1 << 21:
-            self.lows, self.ks = bands(self.percent, 2 * n)
+        if n >= self.most:
+            self.plan(4 * n)
         b = int(np.searchsorted(self.lows, n, side="right")) - 1
-        out = [part_signatures(s, b, int(self.ks[b]) + 1)]
-        if b:
-            out.append(part_signatures(s, b - 1, int(self.ks[b - 1]) + 1))
+        rare = s
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, s), len(self.common) - 1)
+            rare = s[self.common[at] != s]
+        out = []
+        for scheme in (b, b - 1) if b else (b,):
+            p, k = self.parts[scheme], int(self.ks[scheme])
+            for seed in range(self.SEEDS + 1):
+                base = (scheme * 0xD6E8FEB86659FD93 + (seed + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1)
+                sig, counts = part_hashes(s if seed else rare, p, base)
+                strong = counts > WEAK
+                if seed == self.SEEDS:
+                    out.append(sig)
+                    break
+                out.append(sig[strong])
+                if p - int(strong.sum()) < p - k:
+                    break
         return np.concatenate(out)
 
 
+def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Shingles frequent in a bounded sample of documents, sorted.
+
+    They are only left out of the first signatures; any set gives the same
+    links, so the sample (about ``SAMPLE_DOCS`` documents, at most
+    ``MOST_COMMON`` shingles) only saves work.
+    """
+    total = docs.count()
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            sets = list(shingle_sets(to_bytes(pdf["text"]), words))
+            s, c = np.unique(np.concatenate(sets) if sets else np.zeros(0, U64), return_counts=True)
+            yield pd.DataFrame({"s": s.view(np.int64), "c": c})
+
+    sample = docs.select("text").sample(False, min(1.0, SAMPLE_DOCS / max(total, 1)), 11)
+    counts = sample.mapInPandas(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON_IN)
+    rows = counts.orderBy(F.desc("c"), "s").limit(MOST_COMMON).select("s").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(U64))
+
+
 def _group_heads(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of rows (key, id): distinct keys, the smallest id of each, all ids' heads."""
     order = np.lexsort((ids, keys))
@@ -152,7 +220,7 @@ def _spread(ids: np.ndarray) -> np.ndarray:
     return mix64(ids.astype(np.int64).view(U64))
 
 
-def _route(percent: int, words: int):
+def _route(percent: int, words: int, common: np.ndarray):
     """Map side of steps 1 and 2."""
 
     def flush(ids: list[int], prints: list[int], sigs: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
@@ -165,11 +233,13 @@ def _route(percent: int, words: int):
         own = [sigs[k] for k in keys.tolist()]
         sig, of = np.concatenate(own), np.repeat(heads, list(map(len, own)))
         keys, heads, a, b = _stars(sig, of)
-        yield _rows(SIG, keys, heads, np.zeros(len(heads)))
+        for lo in range(0, len(keys), SLICE_ROWS):
+            part = slice(lo, lo + SLICE_ROWS)
+            yield _rows(SIG, keys[part], heads[part], np.zeros(len(heads[part])))
         yield _rows(NEAR, _spread(a), a, b)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make = Signatures(percent)
+        make = Signatures(percent, common)
         ids: list[int] = []
         prints: list[int] = []
         sigs: dict[int, np.ndarray] = {}
@@ -313,17 +383,21 @@ def _search(percent: int, words: int):
     return run
 
 
-def _verify(docs: DataFrame, members: DataFrame, percent: int, words: int) -> DataFrame:
+def _verify(spark: SparkSession, docs: DataFrame, members: DataFrame, percent: int, words: int) -> DataFrame:
     """Links among rows (doc, grp, query) of ``members``, searched by group."""
-    dealt = docs.join(members, "doc").select("grp", "doc", "text", "query")
+    near = maybe_in(spark, docs, "doc", members.select("doc"))
+    dealt = near.join(members, "doc").select("grp", "doc", "text", "query")
     return dealt.repartition("grp").sortWithinPartitions("grp").mapInPandas(_search(percent, words), "a long, b long")
 
 
 def jaccard_components(spark: SparkSession, df: DataFrame, percent: int = 90, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``df``."""
     docs = df.select(df[id_col].cast("long").alias("doc"), df[text_col].alias("text"))
-    routed = docs.mapInPandas(_route(percent, words), _ROUTE)
-    met = materialize(spark, routed.repartition("key").sortWithinPartitions("kind", "key", "a").mapInPandas(_meet, _ROUTE))
+    routed = docs.mapInPandas(_route(percent, words, common_shingles(docs, words)), _ROUTE)
+    # a set number: partitions that are merged by their small compressed size
+    # would hold too many rows for a worker
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = materialize(spark, routed.repartition(tasks, "key").sortWithinPartitions("kind", "key", "a").mapInPandas(_meet, _ROUTE))
     nodes = met.where(F.col("kind") == NODE).select(F.col("a").alias("doc"), F.col("b").alias("n"))
     same = met.where(F.col("kind") == SAME).select("a", "b")
     near = met.where(F.col("kind") == NEAR).select("a", "b")
@@ -350,7 +424,7 @@ def jaccard_components(spark: SparkSession, df: DataFrame, percent: int = 90, wo
         .select("doc", "family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
         .select("doc", F.xxhash64("family", "block").alias("grp"), F.lit(True).alias("query"))
     )
-    first = materialize(spark, _verify(docs, inside.union(heads), percent, words))
+    first = materialize(spark, _verify(spark, docs, inside.union(heads), percent, words))
     links = first
     if not placed.where("blocks > 1").isEmpty():
         part = components(spark, first)
@@ -367,7 +441,7 @@ def jaccard_components(spark: SparkSession, df: DataFrame, percent: int = 90, wo
             asks = outside.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
                 "doc", F.xxhash64("family", "block", "chunk").alias("grp"), F.lit(True).alias("query")
             )
-            links = links.union(materialize(spark, _verify(docs, targets.union(asks), percent, words)))
+            links = links.union(materialize(spark, _verify(spark, docs, targets.union(asks), percent, words)))
     all_links = links.union(same)
     comp = components(spark, all_links)
     out = nodes.join(comp, F.col("doc") == F.col("id"), "left").select(
