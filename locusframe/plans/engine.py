@@ -79,14 +79,15 @@ class Engine:
             self._present(regions, sites, "no variants")
         fisher = None
         if o.fisher_groups and o.fisher_alpha is not None:
-            fisher = association.fisher_table(sites, calls.join(pool.select("sample"), "sample", "left_semi"), groups, *o.fisher_groups, o.fisher_alpha, o.fisher_adjust)
+            fisher = association.fisher_table(sites, calls, groups, *o.fisher_groups, o.fisher_alpha, o.fisher_adjust)
+            fisher = clustering._cut(fisher)
             sites = association.keep_sites(sites, fisher)
             if o.strict:
                 self._present(regions, sites, "no variants left after the site test")
         elif o.fisher_groups:
             warnings.warn("site test groups without an alpha: sites are not filtered", stacklevel=2)
         cells = haplotypes.grid(sites, calls, pool)
-        seqs = haplotypes.sequences(cells, o.mode, o.hetero_policy)
+        seqs = clustering._cut(haplotypes.sequences(cells, o.mode, o.hetero_policy))
         haps = clustering._cut(haplotypes.rank(seqs))
         copies = clustering._cut(haplotypes.sample_haps(seqs, haps))
         member = clustering._cut(clustering.clusters(haps, o.cluster_threshold))
@@ -97,8 +98,8 @@ class Engine:
             table = readers.unique_accessions(trait_table)
             names = [c for c in table.columns if c != "Accession"]
             group = group.join(table, "Accession", "left")
-        group = group.select("region_ord", "Hap", "ClusterID", "Accession", "Type", *names)
-        return Result(regions, sites, cells, haps, copies, member, group, encoding.state_map(haps), fisher, names, o)
+        group = clustering._cut(group.select("region_ord", "Hap", "ClusterID", "Accession", "Type", *names))
+        return Result(regions, sites, cells, haps, copies, member, group, clustering._cut(encoding.state_map(haps)), fisher, names, o)
 
     # ---------------------------------------------------------- analyses
 
@@ -109,7 +110,9 @@ class Engine:
         groups = readers.read_groups(self.spark, group_file).cache()
         header, sites, calls = self.located(vcf, regions, o.vcf_backend)
         trait_table = readers.read_traits(self.spark, trait_file) if trait_file else None
-        result = self.relations(regions, header, sites.cache(), calls, groups, trait_table, o)
+        # parsed once: every later step reads these
+        sites, calls = clustering._cut(sites), clustering._cut(calls.join(groups.select("sample"), "sample", "left_semi"))
+        result = self.relations(regions, header, sites, calls, groups, trait_table, o)
         pooled = readers.pool(header, groups).orderBy("sample_ord").collect()
         result.samples = [r["sample"] for r in pooled]
         for r in regions.orderBy("region_ord").collect():
