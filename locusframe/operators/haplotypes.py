@@ -10,8 +10,11 @@ from locusframe.functions.text import hap_id
 
 
 def grid(sites: DataFrame, calls: DataFrame, pool: DataFrame) -> DataFrame:
-    """Every pooled sample at every site; gt null where there is no call."""
-    cells = pool.select("sample", "sample_ord").join(F.broadcast(sites.select("region_ord", "site_ord", "tokens")))
+    """Every pooled sample at every site; gt null where there is no call.
+
+    The grid has as many rows as the calls it completes.
+    """
+    cells = pool.select("sample", "sample_ord").crossJoin(sites.select("region_ord", "site_ord", "tokens"))
     return cells.join(calls.select("region_ord", "site_ord", "sample", "gt"), ["region_ord", "site_ord", "sample"], "left")
 
 

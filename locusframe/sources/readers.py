@@ -132,7 +132,9 @@ def ingest(spark: SparkSession, path: str, out: str) -> None:
 
 def in_regions(records: DataFrame, regions: DataFrame) -> DataFrame:
     """Records by region; positions only, both ends included."""
-    r = F.broadcast(regions.select("region_ord", F.col("chrom").alias("_c"), "start", "stop"))
+    # an equi-join on the chromosome with the interval as residual: the planner
+    # broadcasts the regions if their size allows it
+    r = regions.select("region_ord", F.col("chrom").alias("_c"), "start", "stop")
     return records.join(r, (F.col("chrom") == F.col("_c")) & F.col("pos").between(F.col("start"), F.col("stop"))).drop("_c", "start", "stop")
 
 
@@ -148,7 +150,7 @@ def sites_of(records: DataFrame) -> DataFrame:
 def calls_of(records: DataFrame, header: DataFrame) -> DataFrame:
     """One row per site and sample cell."""
     cell = records.select("region_ord", F.col("ord").alias("site_ord"), "fmt", F.posexplode("cells").alias("sample_ord", "cell"))
-    named = cell.join(F.broadcast(header), "sample_ord")
+    named = cell.join(header, "sample_ord")
     return named.select(
         "region_ord", "site_ord", "sample", "sample_ord", alleles.decode_genotype(F.col("fmt"), F.col("cell")).alias("gt"), alleles.is_phased(F.col("fmt"), F.col("cell")).alias("phased")
     )
@@ -177,7 +179,7 @@ def features_in(features: DataFrame, regions: DataFrame) -> DataFrame:
     """Shown features that overlap a region."""
     r = regions.select("region_ord", "chrom", F.col("start").alias("r_start"), F.col("stop").alias("r_stop"))
     on = (features["seqid"] == r["chrom"]) & (features["stop"] >= r["r_start"]) & (features["start"] <= r["r_stop"])
-    return features.where(F.col("ftype").isin(*SHOWN)).join(F.broadcast(r), on).drop("chrom")
+    return features.where(F.col("ftype").isin(*SHOWN)).join(r, on).drop("chrom")
 
 
 def pool(header: DataFrame, groups: DataFrame) -> DataFrame:
