@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,27 +13,58 @@ from pyspark.sql import types as T
 TIE_SLACK = 1e-12
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
     """two-sided p-value of a 2x2 table; 1 for an empty one.
 
     Tables as likely as the observed one, within an absolute slack, count.
-    Log weights come from a running sum of ratios, so the cost is linear in the
-    number of tables.
+    Three passes over the possible tables (greatest log weight, their total,
+    the sum of those that count) carry a running log weight, so time is linear
+    and space constant in the number of tables.
     """
     a, b, c, d = (x.cast("double") for x in (a, b, c, d))
     r1, r2, k = a + b, c + d, a + c
     lo = F.greatest(F.lit(0.0), k - r2)
     hi = F.least(r1, k)
     steps = F.when(hi > lo, F.sequence(lo.cast("long"), (hi - 1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    ratios = F.transform(steps, lambda y: F.log(((r1 - y) * (k - y)) / ((y + 1.0) * (r2 - k + y + 1.0))))
-    start = F.struct(F.array(F.lit(0.0)).alias("all"), F.lit(0.0).alias("last"))
-    logs = F.aggregate(ratios, start, lambda s, v: F.struct(F.concat(s["all"], F.array(s["last"] + v)).alias("all"), (s["last"] + v).alias("last")))["all"]
-    top = F.array_max(logs)
-    weights = F.transform(logs, lambda v: F.exp(v - top))
-    total = F.aggregate(weights, F.lit(0.0), lambda s, v: s + v)
-    seen = F.get(weights, (a - lo).cast("int")) / total
-    p = F.aggregate(F.transform(weights, lambda v: v / total), F.lit(0.0), lambda s, v: s + F.when(v <= seen + TIE_SLACK, v).otherwise(0.0))
-    return F.when(a + b + c + d == 0, F.lit(1.0)).otherwise(F.least(p, F.lit(1.0)))
+    margins = F.struct(r1.alias("r1"), r2.alias("r2"), k.alias("k"), lo.alias("lo"), a.alias("a"), steps.alias("steps"))
+
+    def solve(m: Column) -> Column:
+        def weight(y: Column) -> Column:
+            return F.log(((m["r1"] - y) * (m["k"] - y)) / ((y + 1.0) * (m["r2"] - m["k"] + y + 1.0)))
+
+        start = F.struct(F.lit(0.0).alias("now"), F.lit(0.0).alias("top"), F.lit(0.0).alias("seen"))
+        peak = F.aggregate(
+            m["steps"],
+            start,
+            lambda s, y: let(
+                s["now"] + weight(y),
+                lambda w: F.struct(w.alias("now"), F.greatest(s["top"], w).alias("top"), F.when(y + 1.0 == m["a"], w).otherwise(s["seen"]).alias("seen")),
+            ),
+        )
+
+        def over(top: Column, take: Callable[[Column], Column]) -> Column:
+            """Sum of what is taken of each table's weight relative to the top."""
+            first = F.struct(F.lit(0.0).alias("now"), take(F.exp(-top)).alias("sum"))
+            return F.aggregate(
+                m["steps"], first, lambda s, y: let(s["now"] + weight(y), lambda w: F.struct(w.alias("now"), (s["sum"] + take(F.exp(w - top))).alias("sum")))
+            )["sum"]
+
+        return let(
+            peak,
+            lambda q: let(
+                over(q["top"], lambda v: v),
+                lambda total: let(
+                    F.exp(q["seen"] - q["top"]) / total, lambda seen: over(q["top"], lambda v: let(v / total, lambda p: F.when(p <= seen + TIE_SLACK, p).otherwise(0.0)))
+                ),
+            ),
+        )
+
+    return F.when(a + b + c + d == 0, F.lit(1.0)).otherwise(F.least(let(margins, solve), F.lit(1.0)))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, out: str, within: list[str]) -> DataFrame:
