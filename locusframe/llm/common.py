@@ -16,8 +16,8 @@ U64 = np.uint64
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small: texts may be long and workers are few."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Bound Arrow batches by bytes: texts may be long, signatures are many."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
@@ -233,6 +233,15 @@ def _forest(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
 
+def _unsettled(edges: DataFrame) -> DataFrame:
+    """Ids that keep edges (a, b) from being stars: two centres, or both ends."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(
+        edges.select("b", F.lit(0), F.lit(1))
+    )
+    ids = ends.groupBy("id").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+    return ids.where("leaf > 1 or (leaf = 1 and centre = 1)")
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over undirected edges (a, b).
 
@@ -243,8 +252,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """
     schema = "a long, b long"
     cur = materialize(spark, edges.select("a", "b").where("a <> b").mapInPandas(_forest, schema))
-    seen = None
-    while True:
+    while not _unsettled(cur).isEmpty():
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"))
         large = (
@@ -265,10 +273,6 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         new = materialize(spark, small)
         discard(spark, cur)
         cur = new
-        now = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
-        if now == seen or now[0] == 0:
-            break
-        seen = now
     return cur.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
         cur.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )

@@ -130,11 +130,12 @@ class Signatures:
     elements from both sets adds no difference).  Parts of more than one
     element are sent.  Where a set has as many weaker parts as there may be
     equal ones, it also sends parts of the whole set, under new divisions, and
-    under the last one all of them; since an equal part is as weak in the one
-    set as in the other, both partners do so or share a stronger part before.
+    after the last one single elements by the prefix filter; since an equal
+    part is as weak in the one set as in the other, both partners do so or share
+    a stronger part before.
     """
 
-    SEEDS = 3
+    SEEDS = 6
 
     def __init__(self, percent: int, common: np.ndarray):
         self.percent, self.common = percent, common
@@ -145,6 +146,15 @@ class Signatures:
         self.parts = [parts_for(int(lo), int(k)) for lo, k in zip(self.lows, self.ks, strict=True)]
         self.most = most
 
+    def prefix(self, s: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """The first elements, rare ones first: linked sets share one of them."""
+        n = len(s)
+        some = rare[: n - -(-n * self.percent // 100) + 1]
+        rest = n - -(-n * self.percent // 100) + 1 - len(some)
+        if rest > 0:
+            some = np.concatenate((some, s[np.isin(s, self.common)][:rest]))
+        return mix64(some + U64(0x7F4A7C15D1B54A32))
+
     def of(self, s: np.ndarray) -> np.ndarray:
         n = len(s)
         if n >= self.most:
@@ -162,7 +172,7 @@ class Signatures:
                 sig, counts = part_hashes(s if seed else rare, p, base)
                 strong = counts > WEAK
                 if seed == self.SEEDS:
-                    out.append(sig)
+                    out.append(self.prefix(s, rare))
                     break
                 out.append(sig[strong])
                 if p - int(strong.sum()) < p - k:
