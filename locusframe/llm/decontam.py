@@ -4,20 +4,24 @@ A document is contaminated by an item if some stretch of its words lies within
 ``floor((1 - similarity) * n)`` word edits of the item's n words.
 
 1. Words are lower-cased runs of letters, digits and non-ASCII characters.
-2. Windows: within k edits of n words some run of ceil((n - k) / (k + 1)) words
-   stays whole, so only places that share such a run (at most four words are asked for) with
-   an item can match; each gives the item-sized windows whose start is within k
-   of the implied one.  This drops nothing that the edit check would accept.
+2. Seeds: within k edits of n words some run of ceil((n - k) / (k + 1)) words
+   stays whole, so only places that share such a run (at most four words are asked
+   for) with an item can match.  Each edit breaks at most q of the item's runs of
+   q words, so a match keeps n - q + 1 - k q of them at starts within k of its
+   own; places with fewer are dropped, and the rest join to stretches that hold
+   every match whole.  This drops nothing that the edit check would accept.
 3. CGK: a window is read by a pointer that stays or moves on by a random bit of
-   the word under it; the 3n words read are the embedding, in which few edits
+   the word under it; the 2n words read are the embedding, in which few edits
    are few differing places.  Each of ``tables`` hash tables samples ``bits``
    of those places, with a new walk after every few tables.
-4. Windows that share a key with an item of their size in any table are
-   candidates; the exact edit distance of the item to the best stretch there
-   decides.
+4. Stretches with a window that shares a key with the item in any table are
+   checked first by the exact edit distance; the edits found there bound what
+   another stretch of the text must keep to be the better match.  Stretches that
+   the tables miss and that this bound leaves are all checked too.
 
-``tables`` and ``bits`` are set for a target recall over the windows at the
-largest allowed distance; equal and nearly equal passages are always found.
+So every match is found, with the least edits of the item to any stretch of the
+text (the first such stretch), and ``tables`` and ``bits`` change the order of
+the checks only.
 
 Items are read in chunks of bounded bytes that travel with the tasks; texts are
 read whole in one narrow pass per chunk, without a shuffle.
@@ -45,6 +49,7 @@ BITS = 4
 CHUNK_BYTES = 16 << 20
 MOST_RUN = 4
 WINDOW_CHUNK = 20_000
+SEED_CHUNK = 1 << 21
 
 def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes of all texts, first word of each text with a closing bound)."""
@@ -85,6 +90,36 @@ def fit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def _pieces(text: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts with about ``SEED_CHUNK`` seeds each."""
+    if not len(text):
+        return
+    cuts = np.append(np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1]))), len(text))
+    total = np.concatenate(([0], np.cumsum(n)))
+    x = 0
+    while x < len(text):
+        y = int(cuts[max(np.searchsorted(total[cuts], total[x] + SEED_CHUNK, "right") - 1, np.searchsorted(cuts, x, "right"))])
+        yield x, y
+        x = y
+
+
+def _dense(rows: np.ndarray, size: np.ndarray, edits: np.ndarray, q: int) -> np.ndarray:
+    """Seeds (sorted by text, item, start) that are one of at least n - q + 1 - k q
+    seeds of their pair whose starts differ by at most 2k."""
+    text, item, start = rows.T
+    k = edits[item]
+    need = np.maximum(size[item] - q + 1 - k * q, 1)
+    pair = np.cumsum(np.concatenate(([True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])))) - 1 if len(rows) else text
+    span = int(start.max(initial=0) - start.min(initial=0)) + 2 * int(edits.max(initial=0)) + 1
+    at = pair * span + (start - start.min(initial=0))
+    end = np.searchsorted(at, at + 2 * k, "right")
+    ok = end - np.arange(len(rows)) >= need
+    cover = np.zeros(len(rows) + 1, np.int64)
+    np.add.at(cover, np.flatnonzero(ok), 1)
+    np.subtract.at(cover, end[ok], 1)
+    return np.cumsum(cover)[:-1] > 0
+
+
 class Index:
     """The tables over one chunk of items."""
 
@@ -115,10 +150,7 @@ class Index:
         if self.items:
             flat = np.concatenate([w for _, w in self.items])
             n = np.array([len(w) for _, w in self.items], np.int64)
-            keys = self.keys(flat, np.cumsum(n) - n, n)
-            of = np.repeat(np.arange(len(n)), tables)
-            order = np.argsort(keys.ravel(), kind="stable")
-            self.key, self.key_item = keys.ravel()[order], of[order]
+            self.item_keys = self.keys(flat, np.cumsum(n) - n, n)
 
     def keys(self, words: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The key of each window (words[start : start + n]) in each table."""
@@ -144,63 +176,95 @@ class Index:
                 out[:, t] = key
         return out
 
-    def windows(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Distinct (text, start, n) of item-sized windows worth embedding."""
+    def seeds(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """(text, item, start) of each run shared with an item, where enough runs
+        stand near each other to hold a match."""
         found = []
+        size = np.array([len(w) for _, w in self.items], np.int64)
+        edits = ((1 - self.similarity) * size + 1e-9).astype(np.int64)
         for q, (h, item, place, bitmap) in self.runs.items():
             mine = run_hashes(words, q)
             hit = np.flatnonzero(bitmap[(mine & U64(len(bitmap) - 1)).astype(np.int64)])
-            if not len(hit):
-                continue
+            text = np.searchsorted(bounds, hit, "right") - 1
+            hit = hit[hit + q <= bounds[text + 1]]
             lo, hi = np.searchsorted(h, mine[hit], "left"), np.searchsorted(h, mine[hit], "right")
             hit, lo, n = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            if not len(hit):
-                continue
-            pos = np.repeat(hit, n)
-            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            text = np.searchsorted(bounds, pos, "right") - 1
-            inside = pos + q <= bounds[text + 1]
-            pos, at, text = pos[inside], at[inside], text[inside]
-            size = np.array([len(w) for _, w in self.items], np.int64)[item[at]]
-            edits = ((1 - self.similarity) * size + 1e-9).astype(np.int64)
-            start = pos - place[at]
-            seeds = np.unique(np.stack((text, start, size, edits), 1), axis=0)
-            reach = int(edits.max(initial=0))
-            for d in range(-reach, reach + 1):
-                ok = np.abs(d) <= seeds[:, 3]
-                s = seeds[ok, 1] + d
-                t = seeds[ok, 0]
-                inside = (s >= bounds[t]) & (s < bounds[t + 1])
-                found.append(np.stack((t[inside], s[inside], seeds[ok, 2][inside]), 1))
+            text = np.searchsorted(bounds, hit, "right") - 1
+            for x, y in _pieces(text, n):
+                some = n[x:y]
+                pos, of = np.repeat(hit[x:y], some), np.repeat(text[x:y], some)
+                at = np.repeat(lo[x:y], some) + np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+                rows = np.stack((of, item[at], pos - place[at]), 1)
+                rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+                found.append(np.unique(rows[_dense(rows, size, edits, q)], axis=0))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
+    def stretches(self, seeds: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, item, first word, end) of what holds every match, and each seed's stretch."""
+        if not len(seeds):
+            return np.zeros((0, 4), np.int64), np.zeros(0, np.int64)
+        text, item, start = seeds.T
+        size = np.array([len(w) for _, w in self.items], np.int64)[item]
+        edits = ((1 - self.similarity) * size + 1e-9).astype(np.int64)
+        lo, hi = np.maximum(bounds[text], start - edits), np.minimum(bounds[text + 1], start + size + 2 * edits)
+        # starts are sorted within a pair, so are both ends
+        new = np.concatenate(([True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (lo[1:] >= hi[:-1])))
+        first = np.flatnonzero(new)
+        last = np.concatenate((first[1:] - 1, [len(seeds) - 1]))
+        return np.stack((text[first], item[first], lo[first], hi[last]), 1), np.cumsum(new) - 1
+
+    def near(self, words: np.ndarray, bounds: np.ndarray, seeds: np.ndarray, of: np.ndarray, count: int) -> np.ndarray:
+        """Stretches with a window that shares a key with their item."""
+        out = np.zeros(count, bool)
+        if not len(seeds):
+            return out
+        size = np.array([len(w) for _, w in self.items], np.int64)[seeds[:, 1]]
+        edits = ((1 - self.similarity) * size + 1e-9).astype(np.int64)
+        found = []
+        for d in range(-int(edits.max()), int(edits.max()) + 1):
+            s = seeds[:, 2] + d
+            ok = (abs(d) <= edits) & (s >= bounds[seeds[:, 0]]) & (s < bounds[seeds[:, 0] + 1])
+            found.append(np.stack((seeds[ok, 0], s[ok], size[ok], seeds[ok, 1], of[ok]), 1))
+        wins = np.unique(np.concatenate(found), axis=0)
+        new = np.concatenate(([True], (wins[1:, :3] != wins[:-1, :3]).any(axis=1))) if len(wins) else np.zeros(0, bool)
+        which, own = np.cumsum(new) - 1, wins[new, :3]
+        for lo in range(0, len(own), WINDOW_CHUNK):
+            text, start, n = own[lo : lo + WINDOW_CHUNK].T
+            keys = self.keys_in(words, start, n, np.minimum(n, bounds[text + 1] - start))
+            rows = np.arange(*np.searchsorted(which, (lo, lo + len(text))))
+            item_keys = self.item_keys[wins[rows, 3]]
+            out[wins[rows[(keys[which[rows] - lo] == item_keys).any(axis=1)], 4]] = True
+        return out
+
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(text, item, edits, first word) of every match, the best of a pair."""
         words, bounds = words_of(texts)
         if not self.items or not len(words):
             return []
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        wins = self.windows(words, bounds)
-        for lo in range(0, len(wins), WINDOW_CHUNK):
-            text, start, n = wins[lo : lo + WINDOW_CHUNK].T
-            n_in = np.minimum(n, bounds[text + 1] - start)
-            keys = self.keys_in(words, start, n, n_in)
-            a, b = np.searchsorted(self.key, keys, "left"), np.searchsorted(self.key, keys, "right")
-            cand = set()
-            for i, t in zip(*np.nonzero(b > a), strict=True):
-                cand.update((int(text[i]), int(self.key_item[x]), int(start[i])) for x in range(a[i, t], b[i, t]))
-            checked: dict[tuple[int, int], int] = {}
-            for t, item, s in sorted(cand):
-                w = self.items[item][1]
-                k = allowed_edits(len(w), self.similarity)
-                if checked.get((t, item), -(10**9)) + k >= s:
-                    continue
-                checked[(t, item)] = s
-                lo_w, hi_w = max(int(bounds[t]), s - k), min(int(bounds[t + 1]), s + len(w) + 2 * k)
-                d, end = fit_distance(w, words[lo_w:hi_w])
-                if d <= k and (d, lo_w + end) < best.get((t, item), (k + 1, 0)):
-                    best[(t, item)] = (d, max(lo_w + end - len(w), int(bounds[t])) - int(bounds[t]))
-        return [(t, item, d, at) for (t, item), (d, at) in sorted(best.items())]
+        seeds = self.seeds(words, bounds)
+        parts, of = self.stretches(seeds, bounds)
+        near = np.zeros(len(parts), bool)
+        step = max(1, SEED_CHUNK // (2 * allowed_edits(self.most, self.similarity) + 1))
+        for a in range(0, len(seeds), step):
+            near |= self.near(words, bounds, seeds[a : a + step], of[a : a + step], len(parts))
+        for x in np.argsort(~near, kind="stable").tolist():
+            t, item, lo, hi = parts[x].tolist()
+            w = self.items[item][1]
+            k = best.get((t, item), (allowed_edits(len(w), self.similarity), 0))[0]
+            if (t, item) in best and not self.may_reach(words, w, k, lo, hi):
+                continue
+            d, end = fit_distance(w, words[lo:hi])
+            if d <= k and (d, lo + end) < best.get((t, item), (k + 1, 0)):
+                best[(t, item)] = (d, lo + end)
+        return [(t, item, d, max(end - len(self.items[item][1]), int(bounds[t])) - int(bounds[t])) for (t, item), (d, end) in sorted(best.items())]
+
+    @staticmethod
+    def may_reach(words: np.ndarray, item: np.ndarray, k: int, lo: int, hi: int) -> bool:
+        """Whether a stretch holds enough of the item's words for k edits."""
+        if hi - lo < len(item) - k:
+            return False
+        return int(np.isin(item, words[lo:hi]).sum()) >= len(item) - k
 
     def keys_in(self, words: np.ndarray, start: np.ndarray, n: np.ndarray, n_in: np.ndarray) -> np.ndarray:
         """Keys of windows that may reach past their text: the rest reads as nothing."""

@@ -306,6 +306,35 @@ def test_windows_lose_no_edited_passage():
     assert hit / total >= 0.95
 
 
+def edited(words, edits, how, rng):
+    w = list(words)
+    for n, at in enumerate(sorted(rng.sample(range(len(w)), edits), reverse=True)):
+        one = how if how != "mixed" else ("swap", "add", "drop")[n % 3]
+        w[at : at + (one != "add")] = [] if one == "drop" else [f"new{rng.randrange(10**6)}"]
+    return w
+
+
+def test_long_passages_at_the_largest_distance():
+    rng = random.Random(21)
+    items = [[f"v{rng.randrange(3000)}" for _ in range(n)] for n in (5, 16, 40, 60, 100, 200) for _ in range(3)] + [["so", "on"] * 20, ["x"] * 30]
+    index = decontam.Index(list(range(len(items))), [" ".join(w) for w in items], 0.8, 48, 4)
+    texts = []
+    for w in items:
+        k = decontam.allowed_edits(len(w), 0.8)
+        for how in ("swap", "add", "drop", "mixed"):
+            for edits in (k, k + 1):
+                texts.append(" ".join([f"p{rng.randrange(99)}" for _ in range(9)] + edited(w, edits, how, rng) + ["s"] * 9 + edited(w, k, how, rng)))
+    texts += [" ".join(["x"] * 500), "so on " * 90, "v1 v2 " * 40]
+    want = []
+    for t, text in enumerate(texts):
+        words = decontam.words_of([text])[0]
+        for i, (_, w) in enumerate(index.items):
+            d, end = decontam.fit_distance(w, words)
+            if d <= decontam.allowed_edits(len(w), 0.8):
+                want.append((t, i, d, max(end - len(w), 0)))
+    assert len(want) >= 8 * 18 and index.search(texts) == want
+
+
 # ------------------------------------------------------------------ 8 substrings
 
 
