@@ -108,6 +108,14 @@ def test_html_host_repeats_without_article(spark):
     assert got[9]["text"] == line
 
 
+def test_html_host_repeats_beside_an_article(spark):
+    line = "This site uses small files kept by your reader to count visits each day"
+    own = lambda i, c: " ".join(f"{c}{i}x{k}" for k in range(20))
+    rows = [(i, f"http://one.example/{i}", f"<body><div>{line}</div><div>{own(i, 'l')}</div><article><p>{own(i, 'a')}</p></article></body>") for i in range(3)]
+    got = by_id(html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert all(got[i]["text"] == f"{own(i, 'l')}\n\n{own(i, 'a')}" for i in range(3))
+
+
 def test_repeated_runs_brute_force():
     rng = np.random.default_rng(3)
     tokens = rng.integers(0, 3, 400)
