@@ -116,6 +116,15 @@ def test_html_host_repeats_beside_an_article(spark):
     assert all(got[i]["text"] == f"{own(i, 'l')}\n\n{own(i, 'a')}" for i in range(3))
 
 
+def test_html_cuts_runs_out_of_blocks(spark):
+    line = "This site uses small files kept by your reader to count visits each day"
+    own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    # mostly repeated, and mostly unique
+    rows = [(i, f"http://one.example/{i}", f"<body><div>{own(i, n)} {line}</div></body>") for i, n in enumerate((4, 40))]
+    got = by_id(html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert [got[i]["text"] for i in range(2)] == [own(0, 4), own(1, 40)]
+
+
 def test_repeated_runs_brute_force():
     rng = np.random.default_rng(3)
     tokens = rng.integers(0, 3, 400)
