@@ -125,6 +125,31 @@ def test_html_cuts_runs_out_of_blocks(spark):
     assert [got[i]["text"] for i in range(2)] == [own(0, 4), own(1, 40)]
 
 
+def test_html_repeats_over_a_whole_host(spark):
+    rng = random.Random(31)
+    line = "This site uses small files kept by your reader to count visits each day"
+    # more pages than any window, and the line on the first and the last alone
+    plain = [[f"<div>{' '.join(f'{i}x{k}' for k in range(12))}</div>"] for i in range(700)]
+    plain[0].append(f"<div>{line}</div>")
+    plain[-1].append(f"<div>{line}</div>")
+    mixed = [[f"<p>{' '.join(rng.choice('abc') for _ in range(rng.randrange(30)))}</p>" for _ in range(3)] for _ in range(12)]
+    rows = [(i, f"http://one.example/{i}", f"<body>{''.join(p)}</body>") for i, p in enumerate(plain)]
+    rows += [(1000 + i, f"http://two.example/{i}", f"<body>{''.join(p)}</body>") for i, p in enumerate(mixed)]
+    rows += [(5000, "http://three.example/", f"<body><div>{line}</div></body>")] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, many = (sorted(map(tuple, html_extract.extract(df.repartition(n)).collect())) for n in (1, 40))
+    got = {r[0]: r[2] for r in one}
+    assert one == many and len(one) == len(rows) and got[5000] == line
+    assert all(got[i] == " ".join(f"{i}x{k}" for k in range(12)) for i in range(700))
+    # the second host against the suffix array of all its pages
+    blocks = [html_extract.blocks_of("".join(p)) for p in mixed]
+    tokens = [[t for b in bs for t in ("<" + b.element, *b.text.split())] + [("end", i)] for i, bs in enumerate(blocks)]
+    names = {t: n for n, t in enumerate(dict.fromkeys(t for ts in tokens for t in ts))}
+    page = np.repeat(np.arange(12), [len(ts) for ts in tokens])
+    covered = html_extract.repeated(np.array([names[t] for ts in tokens for t in ts]), page)
+    assert [got[1000 + i] for i in range(12)] == [html_extract.main_text(bs, covered[page == i], html_extract.LEAST_RUN) for i, bs in enumerate(blocks)]
+
+
 def test_repeated_runs_brute_force():
     rng = np.random.default_rng(3)
     tokens = rng.integers(0, 3, 400)
