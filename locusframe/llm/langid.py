@@ -8,9 +8,10 @@ time on short windows with Adam.
 A text is cut into windows of ``WINDOW`` bytes that are read side by side, so
 every byte is labelled and work and memory are linear in the text.
 
-Training reads a bounded sample: about ``ROWS_PER_LANGUAGE`` texts of each
-language, chosen by a hash of the id, for at most ``MOST_LANGUAGES`` languages
-(the most frequent; ties by name), and ``SNIPPETS`` windows of each.  The fold
+Training reads a bounded sample of every language: about ``ROWS_PER_LANGUAGE``
+texts of each, chosen by a hash of the id, fewer where that is more than
+``SAMPLE`` texts in all, and ``SNIPPETS`` windows of each.  More languages than
+``MOST_LANGUAGES`` are too many to train and raise an error.  The fold
 asked to be held out is never read.
 
 Defined results: null texts and texts without a letter get ``und`` with score
@@ -38,7 +39,8 @@ WINDOW = 128
 TRAIN_WINDOW = 48
 SNIPPETS = 4
 ROWS_PER_LANGUAGE = 400
-MOST_LANGUAGES = 64
+SAMPLE = 64 * ROWS_PER_LANGUAGE
+MOST_LANGUAGES = 512
 STEPS, BATCH, RATE = 260, 192, 0.02
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -209,15 +211,16 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Train on a bounded sample of the rows outside the held-out fold."""
     rows = df.select(df[id_col].alias("i"), df[text_col].alias("t"), df[lang_col].alias("y"))
     known = rows.where(F.col("i").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("i")))
-    # languages are few by nature: the count table is bounded by MOST_LANGUAGES
-    counts = known.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MOST_LANGUAGES).collect()
-    if not counts:
+    counts = known.groupBy("y").count()
+    # one more than can be trained tells that there are too many
+    n = len(counts.limit(MOST_LANGUAGES + 1).collect())
+    if not n:
         return None
+    if n > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang_col}: too many to train")
     share = F.pmod(F.xxhash64("i"), F.lit(1 << 40)) / float(1 << 40)
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("y") == r["y"]) & (share <= ROWS_PER_LANGUAGE / r["count"]))
-    got = known.where(chosen & F.col("t").isNotNull()).select("i", "t", "y").limit(2 * MOST_LANGUAGES * ROWS_PER_LANGUAGE).collect()
+    rate = F.lit(min(ROWS_PER_LANGUAGE, SAMPLE / n)) / F.col("count")
+    got = known.where(F.col("t").isNotNull()).join(F.broadcast(counts), "y").where(share <= rate).select("i", "t", "y").limit(2 * SAMPLE).collect()
     got = [r for r in got if LETTER.search(r["t"])]
     got.sort(key=lambda r: (zlib.crc32(str(r["i"]).encode()), str(r["i"]), r["y"], r["t"]))
     return train([r["t"].encode("utf-8", "replace") for r in got], [r["y"] for r in got]) if got else None

@@ -506,6 +506,21 @@ def test_language_held_out(spark):
     assert {r["lang_pred"] for r in nothing.collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    rng = random.Random(13)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèçñøåłśžčěđ"
+    words = [["".join(rng.choice(letters) for _ in range(rng.randrange(2, 6))) for _ in range(8)] for _ in range(70)]
+    rows = [(i, " ".join(rng.choice(words[i % 70]) for _ in range(40)), f"l{i % 70:02}", None, None) for i in range(70 * 25)]
+    df = spark.createDataFrame(rows, DOC)
+    got = by_id(langid.identify(spark, df))
+    held = [i for i in got if got[i]["held_out"]]
+    assert np.mean([got[i]["lang_pred"] == rows[i][2] for i in held]) >= 0.9
+    assert {r["lang_pred"] for r in got.values()} == {r[2] for r in rows}
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 69)
+    with pytest.raises(ValueError, match="too many"):
+        langid.learn(df)
+
+
 # ------------------------------------------------------------------ pipeline
 
 
