@@ -384,6 +384,8 @@ def _cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def covered_runs(spark: SparkSession, docs: DataFrame, length: int = 100, gram: int = GRAM) -> DataFrame:
     """(doc, start, stop) of covered bytes of ``docs`` (doc, text); may overlap."""
+    if length - gram > 255:
+        raise ValueError(f"length is at most {gram + 255}: an anchor's place has 8 bits for its windows")
     total = docs.count()
     sample = docs.sample(False, min(1.0, SAMPLE_DOCS / max(total, 1)), 7).mapInPandas(_collect_anchors(length, gram, None), _ROWS)
     found = sample.where(F.col("kind") == ANCHOR).select("t0", "t1").orderBy(F.rand(5)).limit(20 * SAMPLE_DOCS).toPandas()

@@ -420,6 +420,11 @@ def test_substrings_brute_force(spark, monkeypatch, common_gram):
     assert suffix_dedup.dedup(spark, docs(spark, [])).count() == 0
 
 
+def test_too_long_substrings_raise(spark):
+    with pytest.raises(ValueError, match="at most 279"):
+        suffix_dedup.dedup(spark, docs(spark, ["a"]), length=280)
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(1)
     cols = [rng.integers(0, 4, 9000), rng.integers(0, 50, 9000), rng.integers(0, 9, 9000)]
