@@ -40,7 +40,7 @@ DEFAULT_KEY = "locusframe"
 
 # fixed values: the formats looked for, the more particular ones first
 PATTERNS = {
-    "secret": r"(?i:token|key|secret|password) ?[=:] ?\"?[0-9A-Fa-f]{16,128}(?![0-9A-Za-z])",
+    "secret": r"(?i:token|key|secret|password) ?[=:] ?\"?[0-9A-Fa-f]{16,}(?![0-9A-Za-z])",
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}",
     "date": r"(?<![\w.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![\w-]|\.[0-9])",
     "ssn": r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
@@ -205,7 +205,7 @@ def _email(v: Column, key: str) -> Column:
 
 
 def _secret(v: Column, key: str) -> Column:
-    hexed = F.regexp_extract(v, r"([0-9A-Fa-f]{16,128})$", 1)
+    hexed = F.regexp_extract(v, r"([0-9A-Fa-f]{16,})$", 1)
     pieces = F.transform(
         F.sequence(F.lit(0), F.floor((F.length(hexed) - 1) / 64).cast("int")), lambda i: F.sha2(F.concat(F.lit(key), F.lit("|secret|"), i.cast("string"), hexed), 256)
     )

@@ -295,6 +295,13 @@ def test_pii(spark):
     assert got[0]["kind"] is None and got[0]["component"] == "x"
 
 
+def test_pii_long_secrets(spark):
+    for n in (128, 129, 160, 5000):
+        value = "0123456789abcdef" * (n // 16) + "a" * (n % 16)
+        (got,) = pii.pseudonymize(docs(spark, [f"token = {value} end"])).collect()
+        assert re.fullmatch(rf"token = [0-9a-f]{{{n}}} end", got["text"]) and value[-64:] not in got["text"]
+
+
 def test_feistel_is_a_permutation(spark):
     n = spark.range(1000)
     three = n.select(pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("v"))
