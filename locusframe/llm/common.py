@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -26,12 +26,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def long_id(df: DataFrame, col: str) -> Column:
+    """An id column as long; ids that are no integers raise ``TypeError``."""
+    kind = dict(df.dtypes)[col]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"ids are integers; {col} is {kind}")
+    return df[col].cast("long")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else one for tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session on one machine (tests) gets a folder of its own;
+    a cluster raises ``ValueError``.
+    """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "locusframe-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

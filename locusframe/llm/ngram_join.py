@@ -1,40 +1,50 @@
-"""N-gram Jaccard join: documents whose 3-word shingle sets are alike.
+"""N-gram Jaccard join: documents whose word shingle sets are alike.
 
 Two documents link when ``100 * |A n B| >= percent * |A u B|``; the result is
 each document's set size and the smallest id reachable by links.
 
-1. One pass over the texts makes, for each document, its set of shingle hashes
-   and its routing signatures.  Sets of nearly equal size that link differ in
-   at most k elements, so of k + 1 parts of the hash space at least one is the
-   same in both: the signature of a part is the hash of its elements.  A part
-   with at most one element says little, so it is refined by the parts of a
-   second division (both partners refine alike: no link is lost).
-2. Rows of (signature, document) are grouped.  Each map task first replaces
-   equal signatures among its own documents by one row and a star of edges, so
-   a signature that a third of all documents share sends one row per task.
-   Documents with equal sets form a class the same way and go on as one.
-3. Components of the candidate edges are families: every link lies in one.
-   Families are dealt out in blocks of bounded total set size, every block also
-   gets the family's first document, and each block is joined exactly by
-   T-occurrence search with DivideSkip: the short inverted lists are merged and
-   counted, the long ones only probed by binary search for candidates that can
-   still reach the overlap; candidates already connected are skipped, and only
-   a spanning forest of links leaves the task.
-4. For families of several blocks, members not connected with the family's
-   main component are compared with all blocks: pairs inside one component
-   cannot change the result, every other pair is searched.
+1. One pass counts how many documents hold each shingle, over all documents, in
+   ``SLOTS`` counters by hash (a fixed size, whatever the corpus).  The counts
+   put all shingles in one order, rare ones first; shingles that share a
+   counter only look more frequent than they are.
+2. T-occurrence over the whole corpus: of a set of n elements any partner holds
+   at least T = ceil(percent n / 100), so the T - 1 longest inverted lists can be
+   left for probing and the n - T + 1 shortest are merged, as DivideSkip does.
+   A document is sent to the lists of those rarest elements with its size and
+   the largest size of a partner that it may still have if that element is the
+   first they share.  Documents of one list whose size intervals overlap are
+   candidates.  Each task joins the intervals of its own documents first, so a
+   list that a third of all documents share gets a few rows per task.
+3. Components of the candidates are families: every link lies in one.  Families
+   are dealt out in blocks of bounded shingles and rows, every block also gets
+   the family's first set, and each block is joined exactly by T-occurrence
+   search: the short inverted lists are merged by a heap, the long ones (their
+   number by DivideSkip's rule) are probed by binary search for candidates that
+   can still reach the overlap; what is connected already is skipped, and only a
+   spanning forest of links leaves the task.
+4. In families of several blocks, the sets outside the largest connected part
+   are gathered in chunks of bounded size, and each chunk is compared with all
+   blocks: pairs inside one part cannot change the result, all others are
+   searched.
 5. Components of all links.
 
+Equal sets are one vertex throughout.  Ids are only put back at the end.
+
 Defined results: null or empty texts, or texts of white space only, have an
 empty set, link with nothing and are their own component.  With fewer words
-than a shingle the whole sequence is the one shingle.  Repeated ids give one
-row each.  Sets are sets of 64-bit hashes of the shingles.  Other columns are
-ignored; an empty table gives an empty table.
+than a shingle the whole sequence is the one shingle.  Rows that repeat an id
+are separate documents of that name, each judged by its own text.  A row whose
+id is null gets its set size and a null component, and links with nothing.  Ids
+that are no integers raise ``TypeError``.  Sets are sets of 64-bit hashes of the
+shingles.  Other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,17 +52,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, UnionFind, batches, components, discard, materialize, maybe_in, mix64, to_bytes, word_hashes
+from .common import U64, UnionFind, batches, bounded_batches, components, discard, long_id, materialize, maybe_in, mix64, to_bytes, word_hashes
 
-BLOCK_SHINGLES = 250_000
+SLOTS, PIECES = 1 << 20, 64
+BLOCK_SHINGLES, BLOCK_ROWS = 250_000, 200
 FLUSH_ROWS = 400_000
 SLICE_ROWS = 100_000
-WEAK = 1
-SAMPLE_DOCS = 5_000
-COMMON_IN = 5
-MOST_COMMON = 100_000
+PROBE_LISTS = 32
+#: DivideSkip's weight of a probe against a merge step.
+MU = 0.01
 
-NODE, CLASS, SIG, SAME, NEAR = range(5)
+NODE, SIG, NEAR = range(3)
 
 
 def shingle_sets(texts: list[bytes], words: int = 3) -> Iterator[np.ndarray]:
@@ -76,317 +86,266 @@ def shingle_sets(texts: list[bytes], words: int = 3) -> Iterator[np.ndarray]:
                 yield np.zeros(0, U64)
 
 
-def bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """First size of each band, and its most differing elements.
+def set_print(s: np.ndarray) -> int:
+    """A set's fingerprint, as a signed word."""
+    return int(mix64(np.array([np.sum(mix64(s), dtype=U64) + U64(len(s))], U64)).view(np.int64)[0])
 
-    A set of size n links with sizes up to floor(100 n / percent), which lie in
-    its own band or the next, and differs from such a partner in at most
-    (n + m)(100 - percent) / (100 + percent) elements.
-    """
-    lows, ks, lo = [], [], 1
-    while lo <= most:
-        hi = lo * 100 // percent
-        lows.append(lo)
-        ks.append((hi + hi * 100 // percent) * (100 - percent) // (100 + percent))
-        lo = hi + 1
-    return np.array(lows, np.int64), np.array(ks, np.int64)
 
+# ---------------------------------------------------------------- frequencies
 
-def parts_for(low: int, k: int) -> int:
-    """Parts for sets of at least ``low`` elements that differ in at most k.
 
-    Of p parts at least p - k are the same in both sets, and about
-    p (1 + v) exp(-v) of parts with v elements on average hold one element or
-    none; the fewest parts are taken whose equal ones surely outnumber those.
-    """
-    best, best_slack = k + 1, -math.inf
-    for p in range(k + 1, 2 * k + 3, 1 + k // 64):
-        v = low / p
-        weak = p * (1 + v) * math.exp(-v)
-        slack = p - k - (weak + 2 * math.sqrt(weak) + 0.5)
-        if slack >= 0:
-            return p
-        if slack > best_slack:
-            best, best_slack = p, slack
-    return best
-
-
-def part_hashes(s: np.ndarray, parts: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, elements) of each part of a set."""
-    m = mix64(s + U64(base))
-    part = ((m >> U64(32)) % U64(parts)).astype(np.int64)
-    counts = np.bincount(part, minlength=parts)
-    order = np.argsort(part, kind="stable")
-    sums = np.concatenate((np.zeros(1, U64), np.cumsum(m[order], dtype=U64)))
-    ends = np.cumsum(counts)
-    total = sums[ends] - sums[ends - counts]
-    return mix64(total + mix64(np.arange(parts, dtype=U64) * U64(0x2545F4914F6CDD1D) + U64(base))), counts
-
-
-class Signatures:
-    """Routing signatures: linked sets share at least one.
-
-    First the parts of a set without the ``common`` elements (removing the same
-    elements from both sets adds no difference).  Parts of more than one
-    element are sent.  Where a set has as many weaker parts as there may be
-    equal ones, it also sends parts of the whole set, under new divisions, and
-    after the last one single elements by the prefix filter; since an equal
-    part is as weak in the one set as in the other, both partners do so or share
-    a stronger part before.
-    """
+def _slot(s: np.ndarray) -> np.ndarray:
+    return (s >> U64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
-    SEEDS = 6
-
-    def __init__(self, percent: int, common: np.ndarray):
-        self.percent, self.common = percent, common
-        self.plan(1 << 16)
-
-    def plan(self, most: int) -> None:
-        self.lows, self.ks = bands(self.percent, most)
-        self.parts = [parts_for(int(lo), int(k)) for lo, k in zip(self.lows, self.ks, strict=True)]
-        self.most = most
-
-    def prefix(self, s: np.ndarray, rare: np.ndarray) -> np.ndarray:
-        """The first elements, rare ones first: linked sets share one of them."""
-        n = len(s)
-        some = rare[: n - -(-n * self.percent // 100) + 1]
-        rest = n - -(-n * self.percent // 100) + 1 - len(some)
-        if rest > 0:
-            some = np.concatenate((some, s[np.isin(s, self.common)][:rest]))
-        return mix64(some + U64(0x7F4A7C15D1B54A32))
-
-    def of(self, s: np.ndarray) -> np.ndarray:
-        n = len(s)
-        if n >= self.most:
-            self.plan(4 * n)
-        b = int(np.searchsorted(self.lows, n, side="right")) - 1
-        rare = s
-        if len(self.common):
-            at = np.minimum(np.searchsorted(self.common, s), len(self.common) - 1)
-            rare = s[self.common[at] != s]
-        out = []
-        for scheme in (b, b - 1) if b else (b,):
-            p, k = self.parts[scheme], int(self.ks[scheme])
-            for seed in range(self.SEEDS + 1):
-                base = (scheme * 0xD6E8FEB86659FD93 + (seed + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1)
-                sig, counts = part_hashes(s if seed else rare, p, base)
-                strong = counts > WEAK
-                if seed == self.SEEDS:
-                    out.append(self.prefix(s, rare))
-                    break
-                out.append(sig[strong])
-                if p - int(strong.sum()) < p - k:
-                    break
-        return np.concatenate(out)
-
-
-def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles frequent in a bounded sample of documents, sorted.
-
-    They are only left out of the first signatures; any set gives the same
-    links, so the sample (about ``SAMPLE_DOCS`` documents, at most
-    ``MOST_COMMON`` shingles) only saves work.
-    """
-    total = docs.count()
+
+def _count(words: int):
+    """Each task's counters, in compressed pieces."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(SLOTS, np.int64)
         for pdf in it:
-            sets = list(shingle_sets(to_bytes(pdf["text"]), words))
-            s, c = np.unique(np.concatenate(sets) if sets else np.zeros(0, U64), return_counts=True)
-            yield pd.DataFrame({"s": s.view(np.int64), "c": c})
+            for part in _pieces(shingle_sets(to_bytes(pdf["text"]), words)):
+                total += np.bincount(_slot(part), minlength=SLOTS)
+        if total.any():
+            cut = np.minimum(total, 0xFFFFFFFF).astype("<u4").reshape(PIECES, -1)
+            yield pd.DataFrame({"piece": np.arange(PIECES), "counts": [zlib.compress(c.tobytes(), 1) for c in cut]})
+
+    return run
+
+
+def _pieces(sets: Iterator[np.ndarray], most: int = 1 << 20) -> Iterator[np.ndarray]:
+    held, size = [], 0
+    for s in sets:
+        held.append(s)
+        size += len(s)
+        if size > most:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def _add_counts(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sums: dict[int, np.ndarray] = {}
+    for pdf in it:
+        for piece, counts in zip(pdf["piece"].tolist(), pdf["counts"], strict=True):
+            more = np.frombuffer(zlib.decompress(counts), "<u4").astype(np.int64)
+            sums[piece] = sums[piece] + more if piece in sums else more
+    yield pd.DataFrame({"piece": np.array(list(sums), np.int64), "counts": [c.astype("<i8").tobytes() for c in sums.values()]})
 
-    sample = docs.select("text").sample(False, min(1.0, SAMPLE_DOCS / max(total, 1)), 11)
-    counts = sample.mapInPandas(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON_IN)
-    rows = counts.orderBy(F.desc("c"), "s").limit(MOST_COMMON).select("s").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(U64))
 
+def frequency_order(docs: DataFrame, words: int) -> np.ndarray:
+    """Rank (a byte, growing with the logarithm of the count) of each counter.
+
+    ``SLOTS`` bytes whatever the corpus; counts cover all documents.
+    """
+    schema = "piece long, counts binary"
+    summed = docs.select("text").mapInPandas(_count(words), schema).repartition(PIECES, "piece").mapInPandas(_add_counts, schema)
+    counts = np.zeros((PIECES, SLOTS // PIECES), np.int64)
+    for piece, c in summed.collect():
+        counts[piece] = np.frombuffer(c, "<i8")
+    return np.floor(4 * np.log2(1.0 + counts.ravel())).astype(np.uint8)
 
-def _group_heads(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows (key, id): distinct keys, the smallest id of each, all ids' heads."""
-    order = np.lexsort((ids, keys))
-    k, v = keys[order], ids[order]
-    first = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
-    heads = v[first]
-    return order, first, heads[np.cumsum(first) - 1] if len(k) else heads
 
+# ---------------------------------------------------------------- candidates
 
-def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, their heads, edge ends, edge heads without repeats)."""
-    order, first, head = _group_heads(keys, ids)
-    k, v = keys[order], ids[order]
-    edge = v != head
-    pairs = np.unique(np.stack((v[edge], head[edge]), 1), axis=0) if edge.any() else np.zeros((0, 2), np.int64)
-    return k[first], v[first], pairs[:, 0], pairs[:, 1]
 
+def prefix(s: np.ndarray, order: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rarest elements of a set, largest partner by each if it is the first shared).
+
+    Linked sets share such an element, and the larger one is no larger than the
+    smaller one's largest partner there.  If the element stands too late for any
+    partner of at least the set's own size, that is less than the size.
+    """
+    n = len(s)
+    first = s[np.argsort(order[_slot(s)], kind="stable")[: n - -(-n * percent // 100) + 1]]
+    reach = (n - np.arange(len(first))) * (100 + percent) // percent - n
+    return first, np.maximum(reach, n - 1)
 
-_ROUTE = "kind byte, key long, a long, b long"
+
+def _overlaps(key: np.ndarray, n: np.ndarray, reach: np.ndarray, before: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first of each run of overlapping intervals [n, reach], largest reach so far).
+
+    Rows are sorted by key, n, and falling reach; ``before`` is the last row's
+    key and largest reach of what came earlier.
+    """
+    new_key = np.concatenate(([before is None or before[0] != key[0]], key[1:] != key[:-1]))
+    lift = np.cumsum(new_key) * (1 << 34)
+    so_far = reach + lift
+    if not new_key[0]:
+        so_far[0] = max(int(reach[0]), before[1])
+    so_far = np.maximum.accumulate(so_far) - lift
+    last = np.concatenate(([before[1] if before else 0], so_far[:-1]))
+    return new_key | (n > last), so_far
 
 
-def _rows(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"kind": np.full(len(a), kind, np.int8), "key": key.astype(U64).view(np.int64), "a": a.astype(np.int64), "b": b.astype(np.int64)})
+_ROUTE = "kind byte, key long, n int, a long, b long"
+
+
+def _rows(kind: int, key: np.ndarray, n, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    size = len(a)
+    return pd.DataFrame({"kind": np.full(size, kind, np.int8), "key": key.view(np.int64), "n": np.zeros(size, np.int32) + np.asarray(n, np.int32), "a": a, "b": b})
 
 
 def _spread(ids: np.ndarray) -> np.ndarray:
-    return mix64(ids.astype(np.int64).view(U64))
+    return mix64(ids.view(U64))
+
 
+def _near(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    pairs = np.unique(np.stack((a, b), 1), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    return _rows(NEAR, _spread(pairs[:, 0].copy()), 0, pairs[:, 0], pairs[:, 1])
 
-def _route(percent: int, words: int, common: np.ndarray):
-    """Map side of steps 1 and 2."""
 
-    def flush(ids: list[int], prints: list[int], sigs: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
-        doc, fp = np.array(ids, np.int64), np.array(prints, U64)
-        if not len(doc):
+def _route(percent: int, words: int, order: np.ndarray):
+    """Map side of step 2: rows of documents, of lists, and candidates found here."""
+
+    def flush(sent: dict[int, tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+        if not sent:
             return
-        keys, heads, a, b = _stars(fp, doc)
-        yield _rows(CLASS, keys, heads, np.zeros(len(heads)))
-        yield _rows(SAME, _spread(a), a, b)
-        own = [sigs[k] for k in keys.tolist()]
-        sig, of = np.concatenate(own), np.repeat(heads, list(map(len, own)))
-        keys, heads, a, b = _stars(sig, of)
-        for lo in range(0, len(keys), SLICE_ROWS):
-            part = slice(lo, lo + SLICE_ROWS)
-            yield _rows(SIG, keys[part], heads[part], np.zeros(len(heads[part])))
-        yield _rows(NEAR, _spread(a), a, b)
+        sizes = [len(v[1]) for v in sent.values()]
+        fp = np.repeat(np.array(list(sent), np.int64), sizes)
+        n = np.repeat(np.array([v[0] for v in sent.values()], np.int64), sizes)
+        key = np.concatenate([v[1] for v in sent.values()])
+        reach = np.concatenate([v[2] for v in sent.values()])
+        at = np.lexsort((-reach, n, key))
+        fp, n, key, reach = fp[at], n[at], key[at], reach[at]
+        first, so_far = _overlaps(key, n, reach)
+        head = np.flatnonzero(first)
+        last = np.concatenate((head[1:], [len(key)])) - 1
+        yield _near(fp, fp[head][np.cumsum(first) - 1])
+        for lo in range(0, len(head), SLICE_ROWS):
+            some, end = head[lo : lo + SLICE_ROWS], last[lo : lo + SLICE_ROWS]
+            # the reach of this run alone: earlier runs of the list end before it
+            yield _rows(SIG, key[some], n[some], fp[some], so_far[end])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make = Signatures(percent, common)
-        ids: list[int] = []
-        prints: list[int] = []
-        sigs: dict[int, np.ndarray] = {}
+        sent: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
         rows = 0
         for pdf in it:
-            doc, ns = pdf["doc"].to_numpy(np.int64), []
-            for d, s in zip(doc.tolist(), shingle_sets(to_bytes(pdf["text"]), words), strict=True):
+            doc, ns, prints = pdf["doc"].to_numpy(np.int64), [], []
+            for s in shingle_sets(to_bytes(pdf["text"]), words):
+                fp = set_print(s)
                 ns.append(len(s))
-                if not len(s):
-                    continue
-                fp = int(mix64(np.array([np.sum(mix64(s), dtype=U64) + U64(len(s))], U64))[0])
-                ids.append(d)
                 prints.append(fp)
-                if fp not in sigs:
-                    sigs[fp] = make.of(s)
-                    rows += len(sigs[fp])
-            yield _rows(NODE, _spread(doc), doc, np.array(ns, np.int64))
+                if len(s) and fp not in sent:
+                    sent[fp] = (len(s), *prefix(s, order, percent))
+                    rows += len(sent[fp][1])
+            yield _rows(NODE, _spread(doc), ns, doc, np.array(prints, np.int64))
             if rows > FLUSH_ROWS:
-                yield from flush(ids, prints, sigs)
-                ids, prints, sigs, rows = [], [], {}, 0
-        yield from flush(ids, prints, sigs)
+                yield from flush(sent)
+                sent, rows = {}, 0
+        yield from flush(sent)
 
     return run
 
 
 def _meet(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Reduce side of step 2: rows come sorted by (kind, key, a)."""
-    last_kind, last_key, head = -1, 0, 0
+    """Reduce side of step 2: rows come sorted by (kind, key, n, falling reach)."""
+    before, head = None, 0
     for pdf in it:
-        kind, key = pdf["kind"].to_numpy(), pdf["key"].to_numpy()
-        a, b = pdf["a"].to_numpy(), pdf["b"].to_numpy()
-        keep = (kind == NODE) | (kind >= SAME)
-        if keep.any():
-            yield pdf[keep]
-        group = ~keep
-        if not group.any():
+        lists = pdf["kind"].to_numpy() == SIG
+        if not lists.all():
+            yield pdf[~lists]
+        if not lists.any():
             continue
-        kind, key, a = kind[group], key[group], a[group]
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])))
-        if kind[0] == last_kind and key[0] == last_key:
-            new[0] = False
-            heads = np.where(np.cumsum(new) > 0, a[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))], head)
-        else:
-            heads = a[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
-        last_kind, last_key, head = kind[-1], key[-1], heads[-1]
-        edge = a != heads
-        for from_kind, to_kind in ((CLASS, SAME), (SIG, NEAR)):
-            hit = edge & (kind == from_kind)
-            if hit.any():
-                pairs = np.unique(np.stack((a[hit], heads[hit]), 1), axis=0)
-                yield _rows(to_kind, pairs[:, 0], pairs[:, 0], pairs[:, 1])
-
-
-def search_block(ids: list[int], sets: list[np.ndarray], queries: list[int], percent: int, uf: UnionFind) -> None:
+        part = pdf[lists]
+        key, n, fp, reach = (part[c].to_numpy() for c in ("key", "n", "a", "b"))
+        first, so_far = _overlaps(key, n.astype(np.int64), reach, before)
+        start = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
+        heads = np.where(start < 0, head, fp[start])
+        before, head = (int(key[-1]), int(so_far[-1])), int(heads[-1])
+        yield _near(fp, heads)
+
+
+# ---------------------------------------------------------------- search
+
+
+def search_block(ids: list[int], sets: list[np.ndarray], queries: list[int], percent: int, uf: UnionFind, parts: list[int] | None = None) -> None:
     """T-occurrence search of some sets of a block against all of them.
 
-    ``queries`` are indices into ``sets``.  For each query the inverted lists
-    of its elements are split: the L longest are set aside, the others are
-    merged with counts; a candidate that can still reach its overlap T is
-    probed by binary search in the long lists, shortest first, and given up as
-    soon as it cannot.  Links go to ``uf``.
+    ``queries`` are indices into ``sets``; ``parts`` tells what is connected
+    already.  For each query the L longest inverted lists of its elements are set
+    aside, L by DivideSkip's rule; the others are merged by a heap with counts;
+    candidates that can still reach their overlap are probed by binary search in
+    the long lists, shortest first, and given up as soon as they cannot.  Links
+    go to ``uf``.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     if n < 2 or not sizes.sum():
         return
-    flat = np.concatenate(sets)
     owner = np.repeat(np.arange(n), sizes)
-    terms, inverse = np.unique(flat, return_inverse=True)
-    order = np.lexsort((owner, inverse))
-    posting = owner[order]
-    df = np.bincount(inverse, minlength=len(terms))
+    inverse = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    at = np.argsort(inverse, kind="stable")
+    posting = owner[at]
+    entry = inverse[at] * n + posting  # (list, set), sorted: all lists one after the other
+    df = np.bincount(inverse)
     end = np.cumsum(df)
     start = end - df
     of_set = np.split(inverse, np.cumsum(sizes)[:-1])
-    lists = [posting[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    label = np.unique(ids if parts is None else parts, return_inverse=True)[1]
     up = 100 + percent
     for q in queries:
         size = int(sizes[q])
         if not size:
             continue
-        least_size = -(-size * percent // 100)
-        # the smallest overlap that any partner may have
-        least = max(1, -(-percent * (size + least_size) // up))
+        low = -(-size * percent // 100)
+        open_ = (label != label[q]) & (sizes >= low) & (sizes * percent <= size * 100)
+        if not open_.any():
+            continue
+        least = max(1, -(-percent * (size + low) // up))  # the smallest overlap of any partner
         mine = of_set[q][np.argsort(df[of_set[q]], kind="stable")]
-        # lists in order of length; at most least - 1 of the longest are only probed
-        long_ones = min(least - 1, int((df[mine] > 8).sum()))
+        long_ones = min(least - 1, int(least / (MU * math.log2(max(2, int(df[mine[-1]]))) + 1)))
         short, rest = mine[: size - long_ones], mine[size - long_ones :]
-        merged = np.concatenate([lists[t] for t in short.tolist()])
-        count = np.bincount(merged, minlength=n)
-        cand = np.flatnonzero(count)
-        cand = cand[cand != q]
-        need = -(-percent * (size + sizes[cand]) // up)
-        ok = (np.minimum(size, sizes[cand]) * 100 >= percent * np.maximum(size, sizes[cand])) & (count[cand] + long_ones >= need)
-        cand = cand[ok]
-        if not len(cand):
+        merged = np.concatenate([posting[start[t] : end[t]] for t in short.tolist()])
+        can = open_[merged]
+        if not can.any():
             continue
-        need, got = need[ok], count[cand]
-        mine_id = ids[q]
-        for c, t, have in sorted(zip(cand.tolist(), need.tolist(), got.tolist(), strict=True), key=lambda x: -x[2]):
-            if uf.find(ids[c]) == uf.find(mine_id):
-                continue
-            if have < t and long_ones:
-                have += int(np.count_nonzero(_in_sorted(of_set[c], rest)))
-            if have >= t:
-                uf.join(ids[c], mine_id)
-
-
-def _in_sorted(haystack: np.ndarray, needles: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(haystack, needles)
-    at[at == len(haystack)] = 0
-    return haystack[at] == needles
+        cuts = np.flatnonzero(np.diff(np.repeat(np.arange(len(short)), df[short])[can])) + 1
+        lists = [part.tolist() for part in np.split(merged[can], cuts)]
+        counted = [(c, sum(1 for _ in same)) for c, same in itertools.groupby(heapq.merge(*lists))]
+        cand = np.array([c for c, _ in counted], np.int64)
+        have = np.array([k for _, k in counted], np.int64)
+        need = -(-percent * (size + sizes[cand]) // up)
+        done = 0
+        while len(cand):
+            for c in cand[have >= need].tolist():
+                if label[c] != label[q]:
+                    label[label == label[c]] = label[q]
+                    uf.join(ids[c], ids[q])
+            alive = (label[cand] != label[q]) & (have + (len(rest) - done) >= need)
+            cand, have, need = cand[alive], have[alive], need[alive]
+            if done == len(rest):
+                break
+            probe = rest[done : done + PROBE_LISTS, None] * n + cand[None, :]
+            place = np.minimum(np.searchsorted(entry, probe), len(entry) - 1)
+            have = have + (entry[place] == probe).sum(axis=0)
+            done += len(probe)
 
 
 def _search(percent: int, words: int):
-    """Rows of (group, id, text, query) sorted by group -> links."""
-
-    def solve(rows: list[tuple[int, str, bool]]) -> pd.DataFrame:
-        seen: dict[int, tuple[str, bool]] = {}
-        for d, text, query in rows:
-            seen[d] = (text, query or (d in seen and seen[d][1]))
-        ids = sorted(seen)
-        sets = list(shingle_sets(to_bytes(pd.Series([seen[d][0] for d in ids], dtype=object)), words))
-        uf = UnionFind()
-        search_block(ids, sets, [i for i, d in enumerate(ids) if seen[d][1]], percent, uf)
+    """Rows of (grp, fp, part, query, text) sorted by group -> links."""
+
+    def solve(rows: list[tuple]) -> pd.DataFrame:
+        seen: dict[int, list] = {}
+        for (_, fp, part, query, _), s in zip(rows, shingle_sets(to_bytes(pd.Series([r[4] for r in rows], dtype=object)), words), strict=True):
+            if set_print(s) == fp:  # another row of the same id may have another text
+                seen[fp] = [part, query or (fp in seen and seen[fp][1]), s]
+        ids, uf = sorted(seen), UnionFind()
+        search_block(ids, [seen[d][2] for d in ids], [i for i, d in enumerate(ids) if seen[d][1]], percent, uf, [seen[d][0] for d in ids])
         a, b = uf.stars()
         return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, rows = None, []
         for pdf in it:
-            for g, d, text, query in zip(pdf["grp"].tolist(), pdf["doc"].tolist(), pdf["text"].tolist(), pdf["query"].tolist(), strict=True):
-                if g != group:
+            for row in zip(pdf["grp"].tolist(), pdf["fp"].tolist(), pdf["part"].tolist(), pdf["query"].tolist(), pdf["text"].tolist(), strict=True):
+                if row[0] != group:
                     if len(rows) > 1:
                         yield solve(rows)
-                    group, rows = g, []
-                rows.append((d, text, query))
+                    group, rows = row[0], []
+                rows.append(row)
         if len(rows) > 1:
             yield solve(rows)
 
@@ -394,69 +353,79 @@ def _search(percent: int, words: int):
 
 
 def _verify(spark: SparkSession, docs: DataFrame, members: DataFrame, percent: int, words: int) -> DataFrame:
-    """Links among rows (doc, grp, query) of ``members``, searched by group."""
+    """Links among rows (doc, fp, grp, part, query) of ``members``, searched by group."""
     near = maybe_in(spark, docs, "doc", members.select("doc"))
-    dealt = near.join(members, "doc").select("grp", "doc", "text", "query")
-    return dealt.repartition("grp").sortWithinPartitions("grp").mapInPandas(_search(percent, words), "a long, b long")
+    dealt = near.join(members, "doc").select("grp", "fp", "part", "query", "text")
+    return materialize(spark, dealt.repartition("grp").sortWithinPartitions("grp").mapInPandas(_search(percent, words), "a long, b long"))
+
+
+def _each(n: str):
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+
+def _blocks(n: str, rows: str):
+    return F.ceil(F.greatest(F.col(n) / BLOCK_SHINGLES, F.col(rows) / BLOCK_ROWS)).cast("long")
+
+
+def _link_sets(spark: SparkSession, docs: DataFrame, sets: DataFrame, near: DataFrame, percent: int, words: int) -> DataFrame:
+    """Steps 3 and 4: links (a, b) between the fingerprints of ``sets`` (fp, doc, n)."""
+    families = components(spark, near).withColumnsRenamed({"id": "fp", "component": "family"}).join(sets.select("fp", "doc", "n"), "fp")
+    families = materialize(spark, families)
+    large = families.groupBy("family").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).select("family", _blocks("total", "sets").alias("blocks"))
+    large = materialize(spark, large.where("blocks > 1"))
+    placed = families.join(large, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    placed = materialize(spark, placed.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks"))))
+    group = F.xxhash64("family", "block").alias("grp")
+    inside = placed.select("doc", "fp", group, F.col("fp").alias("part"), F.lit(True).alias("query"))
+    # each family's first set stands in all of its blocks
+    heads = placed.where("fp = family and blocks > 1").withColumn("block", _each("blocks"))
+    links = _verify(spark, docs, inside.union(heads.select("doc", "fp", group, F.col("fp").alias("part"), F.lit(True).alias("query"))), percent, words)
+    big = placed.where("blocks > 1")
+    if not big.isEmpty():
+        part = components(spark, links)
+        big = big.join(part, F.col("fp") == F.col("id"), "left").withColumn("part", F.coalesce("component", "fp")).drop("id", "component")
+        counts = big.groupBy("family", "part").agg(F.count("*").alias("c"))
+        main = materialize(spark, counts.groupBy("family").agg(F.max_by("part", F.struct("c", "part")).alias("main")))
+        big = materialize(spark, big.join(main, "family"))
+        outside = big.where("part <> main")
+        chunks = materialize(spark, outside.groupBy("family").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).select("family", _blocks("total", "sets").alias("chunks")))
+        if not chunks.isEmpty():
+            group = F.xxhash64("family", "block", "chunk").alias("grp")
+            hosts = big.join(chunks, "family").withColumn("chunk", _each("chunks")).select("doc", "fp", group, "part", F.lit(False).alias("query"))
+            asks = outside.join(chunks, "family").withColumn("chunk", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks"))).withColumn("block", _each("blocks"))
+            links = links.union(_verify(spark, docs, hosts.union(asks.select("doc", "fp", group, "part", F.lit(True).alias("query"))), percent, words))
+    discard(spark, families)
+    return links
 
 
 def jaccard_components(spark: SparkSession, df: DataFrame, percent: int = 90, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``df``."""
-    docs = df.select(df[id_col].cast("long").alias("doc"), df[text_col].alias("text"))
-    routed = docs.mapInPandas(_route(percent, words, common_shingles(docs, words)), _ROUTE)
+    bounded_batches(spark)
+    rows = df.select(long_id(df, id_col).alias("doc"), df[text_col].alias("text"))
+    docs = rows.where("doc IS NOT NULL")
+    routed = docs.mapInPandas(_route(percent, words, frequency_order(docs, words)), _ROUTE)
     # a set number: partitions that are merged by their small compressed size
     # would hold too many rows for a worker
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = materialize(spark, routed.repartition(tasks, "key").sortWithinPartitions("kind", "key", "a").mapInPandas(_meet, _ROUTE))
-    nodes = met.where(F.col("kind") == NODE).select(F.col("a").alias("doc"), F.col("b").alias("n"))
-    same = met.where(F.col("kind") == SAME).select("a", "b")
-    near = met.where(F.col("kind") == NEAR).select("a", "b")
-
-    classes = materialize(spark, components(spark, same))
-    head = classes.select(F.col("id").alias("_x"), F.col("component").alias("_h"))
-    mapped = (
-        near.join(head, near["a"] == head["_x"], "left")
-        .select(F.coalesce("_h", "a").alias("a"), "b")
-        .join(head, F.col("b") == F.col("_x"), "left")
-        .select("a", F.coalesce("_h", "b").alias("b"))
-        .where("a <> b")
-        .distinct()
-    )
-    families = components(spark, mapped).join(nodes.distinct(), F.col("id") == F.col("doc")).select("doc", F.col("component").alias("family"), "n")
-    families = materialize(spark, families)
-    sizes = families.groupBy("family").agg(F.sum("n").alias("total")).withColumn("blocks", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("long"))
-    placed = families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
-    placed = materialize(spark, placed.select("doc", "family", "blocks", "block"))
-    # inside blocks, with each family's first document in all of its blocks
-    inside = placed.select("doc", F.xxhash64("family", "block").alias("grp"), F.lit(True).alias("query"))
-    heads = (
-        placed.where("doc = family and blocks > 1")
-        .select("doc", "family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-        .select("doc", F.xxhash64("family", "block").alias("grp"), F.lit(True).alias("query"))
-    )
-    first = materialize(spark, _verify(spark, docs, inside.union(heads), percent, words))
-    links = first
-    if not placed.where("blocks > 1").isEmpty():
-        part = components(spark, first)
-        big = placed.where("blocks > 1").join(part, F.col("doc") == F.col("id"), "left").select("doc", "family", "blocks", "block", F.coalesce("component", "doc").alias("part"))
-        counts = big.groupBy("family", "part").agg(F.count("*").alias("c"))
-        main = counts.groupBy("family").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
-        big = materialize(spark, big.join(main, "family"))
-        if not big.where("part <> main").isEmpty():
-            # every block meets the chunks of what is outside the main component
-            outside = big.where("part <> main").withColumn("chunk", F.col("block"))
-            hosts = big.select("doc", "family", "block")
-            chunks = outside.select("family", "chunk").distinct()
-            targets = hosts.join(chunks, "family").select("doc", F.xxhash64("family", "block", "chunk").alias("grp"), F.lit(False).alias("query"))
-            asks = outside.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-                "doc", F.xxhash64("family", "block", "chunk").alias("grp"), F.lit(True).alias("query")
-            )
-            links = links.union(materialize(spark, _verify(spark, docs, targets.union(asks), percent, words)))
-    all_links = links.union(same)
-    comp = components(spark, all_links)
-    out = nodes.join(comp, F.col("doc") == F.col("id"), "left").select(
-        F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id")
-    )
-    for t in (families, classes):
+    met = materialize(spark, routed.repartition(tasks, "key").sortWithinPartitions("kind", "key", "n", F.desc("b")).mapInPandas(_meet, _ROUTE))
+    nodes = met.where(F.col("kind") == NODE).select(F.col("a").alias("doc"), F.when(F.col("n") > 0, F.col("b")).alias("fp"), F.col("n").cast("long").alias("n"))
+    sets = materialize(spark, nodes.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc").alias("doc"), F.max("n").alias("n"), F.count("*").alias("copies")))
+    links = _link_sets(spark, docs, sets, met.where(F.col("kind") == NEAR).select("a", "b"), percent, words)
+    comp = components(spark, links)
+    named = sets.join(comp, F.col("fp") == F.col("id"), "left").where("component IS NOT NULL OR copies > 1").withColumn("component", F.coalesce("component", "fp"))
+    named = materialize(spark, named.select("fp", "doc", "component"))
+    least = named.groupBy("component").agg(F.min("doc").alias("least"))
+    found = materialize(spark, named.join(least, "component").select("fp", "least"))
+    out = nodes.join(found, "fp", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))
+    for t in (sets, named):
         discard(spark, t)
-    return out
+    nameless = rows.where("doc IS NULL").select("text").mapInPandas(_sizes(words), "n_shingles long")
+    return out.unionByName(nameless.select(F.lit(None).cast("long").alias("doc"), "n_shingles", F.lit(None).cast("long").alias("component_id"))).withColumnRenamed("doc", id_col)
+
+
+def _sizes(words: int):
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pd.DataFrame({"n_shingles": [len(s) for s in shingle_sets(to_bytes(pdf["text"]), words)]}, dtype="int64")
+
+    return run

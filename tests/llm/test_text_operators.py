@@ -196,27 +196,94 @@ def near_copies(rng, n_groups=8, copies=6):
 
 
 @pytest.mark.parametrize("percent,words", [(90, 3), (80, 5)])
-def test_join_brute_force(spark, percent, words, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 150)  # many blocks a family
+@pytest.mark.parametrize("block", [None, 150])
+def test_join_brute_force(spark, percent, words, block, monkeypatch):
+    if block:  # many blocks a family
+        monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
+        monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 3)
     texts = [None, "", "one", "One", "one two", "ONE TWO", "  "] + near_copies(random.Random(percent)) + ["a b c d e f g"] * 9
     got = by_id(ngram_join.jaccard_components(spark, docs(spark, texts).repartition(3), percent, words))
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == plain_join(texts, percent, words)
     assert ngram_join.jaccard_components(spark, docs(spark, [])).count() == 0
 
 
-def test_linked_sets_share_a_signature():
+def test_join_of_odd_ids(spark):
+    a, b = "one two three four five", "six seven eight nine ten eleven"
+    got = ngram_join.jaccard_components(spark, docs(spark, [a, a, b, b, a, None, b], [3, 5, 5, 2, None, None, 5]))
+    rows = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=str)
+    # both texts of id 5 are judged, and rows without an id take part in no group
+    assert rows == sorted([(3, 3, 3), (5, 3, 3), (5, 4, 2), (2, 4, 2), (None, 3, None), (None, 0, None), (5, 4, 2)], key=str)
+    with pytest.raises(TypeError, match="integers"):
+        ngram_join.jaccard_components(spark, docs(spark, [a]).withColumn("doc_id", F.lit("x")))
+
+
+def overlapping(lists):
+    """Pairs whose intervals overlap in some list, joined as the two sides of the shuffle join them."""
+    uf = common.UnionFind()
+    for rows in lists.values():
+        rows.sort(key=lambda r: (r[0], -r[1]))
+        n, reach = (np.array([r[i] for r in rows], np.int64) for i in range(2))
+        first, _ = ngram_join._overlaps(np.zeros(len(rows), np.int64), n, reach)
+        for k, new in enumerate(first):
+            if not new:
+                uf.join(rows[k][2], rows[k - 1][2])
+    return uf
+
+
+@pytest.mark.parametrize("percent", [90, 80])
+def test_linked_sets_meet_in_a_list(percent):
     rng = np.random.default_rng(2)
-    for percent in (90, 80):
-        make = ngram_join.Signatures(percent, np.sort(rng.integers(0, 1 << 62, 50).astype(np.uint64)))
-        for n in list(range(1, 40)) + [100, 333, 900]:
-            for _ in range(6):
-                a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
-                most = (len(a) * (100 - percent)) // 100
-                drop = rng.integers(0, most + 1)
-                b = np.unique(np.concatenate((a[drop:], rng.integers(0, 1 << 62, max(0, most - drop) // 2).astype(np.uint64))))
-                k = len(np.intersect1d(a, b))
-                if len(b) and 100 * k >= percent * (len(a) + len(b) - k):
-                    assert len(np.intersect1d(make.of(a), make.of(b)))
+    order = rng.integers(0, 9, ngram_join.SLOTS).astype(np.uint8)
+    vocab = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
+    sets = []
+    for n in list(range(1, 40)) + [100, 333, 900]:
+        for _ in range(4):
+            a = np.unique(rng.choice(vocab, n))
+            drop = rng.integers(0, len(a) * (100 - percent) // 100 + 1)
+            sets += [a, a[drop:], np.unique(np.concatenate((a, rng.choice(vocab, n * (100 - percent) // 150))))]
+    lists = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for e, r in zip(*ngram_join.prefix(s, order, percent), strict=True):
+            lists[int(e)].append((len(s), int(r), i))
+    uf, links = overlapping(lists), 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            k = len(np.intersect1d(a, sets[j]))
+            if k and 100 * k >= percent * (len(a) + len(sets[j]) - k):
+                links += 1
+                assert uf.find(i) == uf.find(j)
+    assert links > 100
+
+
+def test_runs_of_a_list_do_not_depend_on_batches():
+    rng = np.random.default_rng(6)
+    rows = sorted((int(rng.integers(0, 4)), int(n), -int(n + rng.integers(-1, 6))) for n in rng.integers(1, 200, 300))
+    key, n, reach = (np.array(c, np.int64) * f for c, f in zip(zip(*rows, strict=True), (1, 1, -1), strict=True))
+    whole = ngram_join._overlaps(key, n, reach)
+    for cut in (1, 7, 100, 299):
+        one = ngram_join._overlaps(key[:cut], n[:cut], reach[:cut])
+        two = ngram_join._overlaps(key[cut:], n[cut:], reach[cut:], (int(key[cut - 1]), int(one[1][-1])))
+        for w, x, y in zip(whole, one, two, strict=True):
+            assert (w == np.concatenate((x, y))).all()
+
+
+def test_search_of_a_block_probes_long_lists():
+    rng = np.random.default_rng(4)
+    vocab = np.sort(rng.integers(0, 1 << 63, 600).astype(np.uint64))
+    sets = []
+    for _ in range(12):
+        base = rng.choice(vocab, 200, replace=False)
+        sets += [np.unique(np.concatenate((base[rng.integers(0, 40) :], rng.choice(vocab, 9)))) for _ in range(9)]
+    ids = list(range(len(sets)))
+    for percent in (80, 90):
+        uf, want = common.UnionFind(), common.UnionFind()
+        ngram_join.search_block(ids, sets, ids, percent, uf)
+        for i in ids:
+            for j in range(i):
+                k = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * k >= percent * (len(sets[i]) + len(sets[j]) - k):
+                    want.join(i, j)
+        assert [uf.find(i) for i in ids] == [want.find(i) for i in ids]
 
 
 # ------------------------------------------------------------------ 4 embeddings
