@@ -18,7 +18,7 @@ U64 = np.uint64
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes: texts may be long, signatures are many."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,16 @@ def long_id(df: DataFrame, col: str) -> Column:
     return df[col].cast("long")
 
 
+def as_text(df: DataFrame, col: str) -> Column:
+    """An id column on its way through pandas, where a null beside it would turn
+    integers into doubles; ``as_before`` casts it back."""
+    return df[col].cast("string").alias(col)
+
+
+def as_before(out: DataFrame, df: DataFrame, col: str) -> DataFrame:
+    return out.withColumn(col, F.col(col).cast(dict(df.dtypes)[col]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir.
 

@@ -7,14 +7,16 @@ input.
 Sorting every suffix of the corpus would move many times its size.  Two equal
 strings of ``length`` bytes hold the same least-hash gram at the same place,
 so only suffixes at such anchors are kept: about one in forty.  An anchor
-stands for the run of windows whose least gram it is; its leading tokens are
-the gram's hash and the hash of the bytes under that run of windows.
-
-1. Each task sorts its own anchors and settles equal ones at once: all but the
-   first of an equal run are covered.  What is left goes to buckets between
-   splitters sampled from the anchors, so a common gram spreads over buckets
-   by its second token.
-2. Buckets are sorted by multikey quicksort on the tokens.  In a run with both
+stands for the run of windows whose least gram it is.  Its tokens are the first
+eight bytes of the suffix, which order suffixes as their bytes do, then the hash
+of the gram and the hash of the bytes under that run of windows.
+
+1. Each task sorts its own anchors by their tokens and settles equal ones at
+   once: all but the first of an equal run are covered.  What is left goes to
+   buckets between splitters sampled from the anchors, so suffixes that begin
+   alike spread over buckets by their later tokens.  Buckets number by the bytes
+   of the corpus (``BUCKET_BYTES`` each, ``MOST_BUCKETS`` at most).
+2. Buckets are sorted by multikey quicksort on the tokens.  In a run with all
    tokens equal all but the first are covered.  Runs that share only the gram,
    and grams at a bucket's first or last place (which may go on in the next
    bucket), are compared below the gram.
@@ -27,9 +29,11 @@ the gram's hash and the hash of the bytes under that run of windows.
 Bytes are compared by 64-bit hashes of random byte codes.
 
 Defined results: a null or empty text has no bytes; texts shorter than
-``length`` keep all; rows that repeat an id are judged as one document id
-(their covered places are united); other columns are ignored; an empty table
-gives an empty table.
+``length`` keep all.  Rows equal in id and text are one document: none of them
+covers another, and all lose the same.  Rows of one id with different texts are
+documents one after the other, in the order of a hash of the text.  A row whose
+id is null keeps all, and covers nothing.  Ids that are no integers raise
+``TypeError``; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -42,13 +46,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, RollingHash, materialize, mix64, to_bytes
+from .common import U64, RollingHash, bounded_batches, long_id, materialize, mix64, to_bytes
 
 GRAM = 24
 SAMPLE_DOCS = 2_000
 FLUSH = 400_000
 COMMON_GRAM = 64
-BUCKETS_PER_TASK = 3
+BUCKET_BYTES, MOST_BUCKETS, SAMPLES_PER_BUCKET = 4 << 20, 100_000, 32
 
 COVERED, ANCHOR, PART, CONTEXT, WINDOW = range(5)
 
@@ -70,15 +74,15 @@ def sliding_argmin(v: np.ndarray, w: int) -> np.ndarray:
     return at
 
 
-def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, surroundings hash, packed place) of a text's anchors.
+def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(leading bytes, gram hash, surroundings hash, packed place) of a text's anchors.
 
-    Place: first window << 16 | windows - 1 << 8 | anchor - first window.
+    Leading bytes are a signed word in the order of the bytes.  Place: first window << 16 | windows - 1 << 8 | anchor - first window.
     """
     n = len(text)
     if n < length:
-        z = np.zeros(0, U64)
-        return z, z, z.astype(np.int64)
+        z = np.zeros(0, np.int64)
+        return z, z, z, z
     h = RollingHash(np.frombuffer(text, np.uint8))
     starts = np.arange(n - gram + 1)
     g = mix64(h.of(starts, starts + gram))
@@ -88,7 +92,8 @@ def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray
     a = at[first]
     form = ((last - first).astype(U64) << U64(8)) | (a - first).astype(U64)
     around = mix64(h.of(first, last + length) + mix64(form + U64(1)))
-    return g[a], around, (first << 16) | form.astype(np.int64)
+    lead = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), 8)[a].copy().view(">u8").ravel().astype(U64)
+    return (lead ^ U64(1 << 63)).view(np.int64), g[a].view(np.int64), around.view(np.int64), (first << 16) | form.astype(np.int64)
 
 
 def _place(loc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,20 +136,19 @@ def merge_runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
     return doc[new], start[new], (reach - shift)[last]
 
 
-_ROWS = "kind byte, bucket long, t0 long, t1 long, doc long, loc long"
+_ROWS = "kind byte, bucket long, t0 long, t1 long, t2 long, doc long, loc long"
 
 
-def _frame(kind: int, bucket, t0, t1, doc, loc) -> pd.DataFrame:
-    n = len(doc)
-    col = lambda x: np.full(n, x, np.int64) if np.isscalar(x) else (x.view(np.int64) if x.dtype == U64 else x.astype(np.int64))
-    return pd.DataFrame({"kind": np.full(n, kind, np.int8), "bucket": col(bucket), "t0": col(t0), "t1": col(t1), "doc": col(doc), "loc": col(loc)})
+def _frame(kind: int, bucket, t0, t1, t2, doc, loc) -> pd.DataFrame:
+    cols = {c: np.zeros(len(doc), np.int64) + v for c, v in zip(("bucket", "t0", "t1", "t2", "doc", "loc"), (bucket, t0, t1, t2, doc, loc), strict=True)}
+    return pd.DataFrame({"kind": np.full(len(doc), kind, np.int8)} | cols)
 
 
 def _covered(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pd.DataFrame:
     """Covered runs: t0 and t1 hold start and end; dealt out by document."""
     doc, start, end = merge_runs(doc, start, end)
     spread = -1 - (mix64(doc.astype(np.int64).view(U64)) >> U64(40)).astype(np.int64)
-    return _frame(COVERED, spread, start, end, doc, 0)
+    return _frame(COVERED, spread, start, end, 0, doc, 0)
 
 
 def _first_of_equal(key: np.ndarray, doc: np.ndarray, loc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,26 +159,41 @@ def _first_of_equal(key: np.ndarray, doc: np.ndarray, loc: np.ndarray) -> tuple[
     return order[head], order[~head]
 
 
-def _collect_anchors(length: int, gram: int, splitters: dict[str, np.ndarray] | None):
-    """Map side: anchors of a task's texts, equal ones settled."""
+def _changes(columns: list[np.ndarray]) -> np.ndarray:
+    """True for the first row of each run of rows that are equal in sorted columns."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
 
-    def flush(docs: list[int], parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+
+def _buckets(columns: list[np.ndarray], splitters: list[tuple[int, ...]]) -> np.ndarray:
+    """Number of splitters at or below each row of sorted columns."""
+    cuts = np.zeros(len(columns[0]) + 1, np.int64)
+    for splitter in splitters:
+        lo, hi = 0, len(columns[0])
+        for c, v in zip(columns, splitter, strict=True):
+            lo, hi = lo + np.searchsorted(c[lo:hi], v, "left"), lo + np.searchsorted(c[lo:hi], v, "right")
+        cuts[lo] += 1
+    return np.cumsum(cuts)[:-1]
+
+
+def _collect_anchors(length: int, gram: int, splitters: list[tuple[int, ...]]):
+    """Map side: anchors of a task's texts, sorted, equal ones settled."""
+
+    def flush(docs: list[int], parts: list[tuple[np.ndarray, ...]]) -> Iterator[pd.DataFrame]:
         if not parts:
             return
         doc = np.repeat(np.array(docs, np.int64), [len(p[0]) for p in parts])
-        t0, t1, loc = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        head, rest = _first_of_equal(t1, doc, loc)
-        first, last, _ = _place(loc[rest])
-        yield _covered(doc[rest], first, last + length)
-        t0, t1, doc, loc = t0[head].view(np.int64), t1[head].view(np.int64), doc[head], loc[head]
-        if splitters is None:
-            bucket = np.zeros(len(doc), np.int64)
-        else:
-            bucket = np.searchsorted(splitters["t0"], t0, side="left")
-            upto = np.searchsorted(splitters["t0"], t0, side="right")
-            for i in np.flatnonzero(bucket != upto).tolist():  # a gram that splitters divide
-                bucket[i] += np.searchsorted(splitters["t1"][bucket[i] : upto[i]], t1[i], side="left")
-        yield _frame(ANCHOR, bucket, t0, t1, doc, loc)
+        *tokens, loc = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        order = multikey_quicksort([*tokens, doc, loc])
+        tokens, doc, loc = [t[order] for t in tokens], doc[order], loc[order]
+        head = _changes(tokens)
+        first, last, _ = _place(loc[~head])
+        yield _covered(doc[~head], first, last + length)
+        tokens = [t[head] for t in tokens]
+        yield _frame(ANCHOR, _buckets(tokens, splitters), *tokens, doc[head], loc[head])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         docs: list[int] = []
@@ -195,18 +214,19 @@ def _collect_anchors(length: int, gram: int, splitters: dict[str, np.ndarray] |
 
 
 def _sort_bucket(rows: pd.DataFrame, length: int) -> Iterator[pd.DataFrame]:
-    t0, t1, doc, loc = (rows[c].to_numpy() for c in ("t0", "t1", "doc", "loc"))
-    order = multikey_quicksort([t0, t1, doc, loc])
-    t0, t1, doc, loc = t0[order], t1[order], doc[order], loc[order]
-    new1 = np.concatenate(([True], (t1[1:] != t1[:-1]) | (t0[1:] != t0[:-1])))
-    first, last, _ = _place(loc[~new1])
-    yield _covered(doc[~new1], first, last + length)
-    t0, doc, loc = t0[new1], doc[new1], loc[new1]
-    like_next = np.concatenate((t0[1:] == t0[:-1], [False]))
-    like_last = np.concatenate(([False], t0[1:] == t0[:-1]))
+    *tokens, doc, loc = (rows[c].to_numpy() for c in ("t0", "t1", "t2", "doc", "loc"))
+    order = multikey_quicksort([*tokens, doc, loc])
+    tokens, doc, loc = [t[order] for t in tokens], doc[order], loc[order]
+    head = _changes(tokens)
+    first, last, _ = _place(loc[~head])
+    yield _covered(doc[~head], first, last + length)
+    grams, doc, loc = [t[head] for t in tokens[:2]], doc[head], loc[head]
+    new = _changes(grams)
     # what may go on over a boundary is compared below the gram too
-    part = like_next | like_last | (t0 == t0[0]) | (t0 == t0[-1])
-    yield _frame(PART, 0, t0[part], 0, doc[part], loc[part])
+    part = ~new | ~np.concatenate((new[1:], [False]))
+    run = np.cumsum(new)
+    part |= (run == 1) | (run == run[-1])
+    yield _frame(PART, 0, grams[1][part], 0, 0, doc[part], loc[part])
 
 
 def _sort_buckets(length: int):
@@ -379,22 +399,28 @@ def _cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kept = b"".join(t[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True))
             out.append((len(t), len(t) - len(kept), int((stop > start).sum()), hashlib.sha256(kept).hexdigest(), kept))
         cols = list(zip(*out, strict=True)) if out else [[]] * 5
-        yield pd.DataFrame({"doc": pdf["doc"], "n_bytes": cols[0], "n_removed": cols[1], "n_spans": cols[2], "kept_sha256": cols[3], "kept": cols[4]})
+        yield pd.DataFrame({"id": pdf["id"], "n_bytes": cols[0], "n_removed": cols[1], "n_spans": cols[2], "kept_sha256": cols[3], "kept": cols[4]})
+
+
+def _splitters(docs: DataFrame, length: int, gram: int) -> list[tuple[int, ...]]:
+    """Bounds of the buckets, from the anchors of a sample of documents."""
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).collect()[0]
+    n = min(-(-(size or 0) // BUCKET_BYTES), MOST_BUCKETS)
+    if n < 2:
+        return []
+    # a document has dozens of anchors
+    sample = docs.sample(False, min(1.0, max(SAMPLE_DOCS, n * SAMPLES_PER_BUCKET // 20) / rows), 7)
+    found = sample.mapInPandas(_collect_anchors(length, gram, []), _ROWS).where(F.col("kind") == ANCHOR).select("t0", "t1", "t2", "doc", "loc")
+    some = found.orderBy(F.xxhash64("doc", "loc"), "doc", "loc").limit(n * SAMPLES_PER_BUCKET).select("t0", "t1", "t2").collect()
+    some = sorted(tuple(r) for r in some)
+    return sorted({some[i * len(some) // n] for i in range(1, n)}) if some else []
 
 
 def covered_runs(spark: SparkSession, docs: DataFrame, length: int = 100, gram: int = GRAM) -> DataFrame:
     """(doc, start, stop) of covered bytes of ``docs`` (doc, text); may overlap."""
     if length - gram > 255:
         raise ValueError(f"length is at most {gram + 255}: an anchor's place has 8 bits for its windows")
-    total = docs.count()
-    sample = docs.sample(False, min(1.0, SAMPLE_DOCS / max(total, 1)), 7).mapInPandas(_collect_anchors(length, gram, None), _ROWS)
-    found = sample.where(F.col("kind") == ANCHOR).select("t0", "t1").orderBy(F.rand(5)).limit(20 * SAMPLE_DOCS).toPandas()
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = min(len(found), max(tasks * BUCKETS_PER_TASK, 1))
-    found = found.sort_values(["t0", "t1"])
-    pick = (np.arange(1, n) * len(found)) // max(n, 1)
-    splitters = {c: found[c].to_numpy(np.int64)[pick] for c in ("t0", "t1")} if n > 1 else None
-    routed = docs.mapInPandas(_collect_anchors(length, gram, splitters), _ROWS)
+    routed = docs.mapInPandas(_collect_anchors(length, gram, _splitters(docs, length, gram)), _ROWS)
     sorted_ = materialize(spark, routed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_sort_buckets(length), _ROWS).drop("bucket"))
     done = sorted_.where(F.col("kind") == COVERED).select("doc", F.col("t0").alias("start"), F.col("t1").alias("stop"))
     part = sorted_.where(F.col("kind") == PART).select("t0", "doc", "loc")
@@ -409,9 +435,27 @@ def covered_runs(spark: SparkSession, docs: DataFrame, length: int = 100, gram:
     return done.union(more)
 
 
+def _named(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (id, text) with ``doc``, one number in their order for rows equal in
+    both; and each ``doc`` once."""
+    if docs.groupBy("id").count().where("count > 1").isEmpty():
+        docs = docs.withColumn("doc", F.col("id"))
+        return docs, docs
+    docs = docs.withColumn("print", F.xxhash64("text"))
+    order = docs.select("id", "print").distinct().repartitionByRange("id", "print").sortWithinPartitions("id", "print")
+    names = materialize(spark, order.withColumn("doc", F.monotonically_increasing_id()))
+    docs = docs.join(names, ["id", "print"]).drop("print")
+    return docs, docs.dropDuplicates(["doc"])
+
+
 def dedup(spark: SparkSession, df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row."""
-    docs = df.select(df[id_col].cast("long").alias("doc"), df[text_col].alias("text"))
-    runs = covered_runs(spark, docs, length).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-    out = docs.join(runs, "doc", "left").mapInPandas(_cut, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out.withColumnRenamed("doc", id_col) if keep_bytes else out.drop("kept").withColumnRenamed("doc", id_col)
+    bounded_batches(spark)
+    rows = df.select(long_id(df, id_col).alias("id"), df[text_col].alias("text"))
+    docs, once = _named(spark, rows.where("id IS NOT NULL"))
+    runs = covered_runs(spark, once.select("doc", "text"), length).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    nameless = rows.where("id IS NULL").select("id", "text", F.lit(None).cast(dict(runs.dtypes)["runs"]).alias("runs"))
+    whole = docs.join(runs, "doc", "left").select("id", "text", "runs").union(nameless)
+    out = whole.select(F.col("id").cast("string").alias("id"), "text", "runs").mapInPandas(_cut, "id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = out.withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)
+    return out if keep_bytes else out.drop("kept")
