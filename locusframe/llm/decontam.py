@@ -11,7 +11,8 @@ A document is contaminated by an item if some stretch of its words lies within
    own; places with fewer are dropped, and the rest join to stretches that hold
    every match whole.  This drops nothing that the edit check would accept.
 3. CGK: a window is read by a pointer that stays or moves on by a random bit of
-   the word under it; the 2n words read are the embedding, in which few edits
+   the word under it; the 3n words read are the embedding, so that nearly every
+   walk reads its window to the end, in which few edits
    are few differing places.  Each of ``tables`` hash tables samples ``bits``
    of those places, with a new walk after every few tables.
 4. Stretches with a window that shares a key with the item in any table are
@@ -27,8 +28,9 @@ Items are read in chunks of bounded bytes that travel with the tasks; texts are
 read whole in one narrow pass per chunk, without a shuffle.
 
 Defined results: null, empty or wordless texts and items match nothing;
-repeated items and rows each give their own rows; other columns are ignored;
-with an empty table on either side the result is empty.
+repeated items and rows each give their own rows; rows and items without an id
+cannot be named in a pair and give none; ids that are no integers raise
+``TypeError``; other columns are ignored; with an empty table on either side the result is empty.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, RollingHash, batches, mix64, word_bounds
+from .common import U64, RollingHash, batches, bounded_batches, long_id, mix64, word_bounds
 
 SIMILARITY = 0.8
 TABLES = 48
@@ -162,16 +164,16 @@ class Index:
             own = range(walk * per, min(self.tables, (walk + 1) * per))
             if not len(own):
                 break
-            read = np.empty((2 * most + 1, len(n)), U64)
+            read = np.empty((3 * most + 1, len(n)), U64)
             at = np.zeros(len(n), np.int64)
-            for j in range(2 * most + 1):
+            for j in range(3 * most + 1):
                 sym = np.where(at < n, padded[start + np.minimum(at, n)], U64(0))
                 read[j] = sym
                 at += (mix64(sym + self.step_seed[walk, j]) >> U64(63)).astype(np.int64)
             for t in own:
                 key = mix64(n.astype(U64) + self.salt[t])
                 for b in range(self.bits):
-                    place = (self.where[t, b] * 2 * n).astype(np.int64)
+                    place = (self.where[t, b] * 3 * n).astype(np.int64)
                     key = mix64(key * U64(0x100000001B3) + read[place, np.arange(len(n))])
                 out[:, t] = key
         return out
@@ -298,8 +300,9 @@ def find_leaks(
     id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """(id, item id, edits, first_word, item_words) of every contaminated pair."""
-    docs = df.select(df[id_col].cast("long").alias("doc"), df[text_col].alias("text"))
-    bench = items.select(items[item_id_col].cast("long").alias("item"), items[item_text_col].alias("text"))
+    bounded_batches(spark)
+    docs = df.select(long_id(df, id_col).alias("doc"), df[text_col].alias("text")).where("doc IS NOT NULL")
+    bench = items.select(long_id(items, item_id_col).alias("item"), items[item_text_col].alias("text")).where("item IS NOT NULL")
     total = bench.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     chunks = max(1, -(-int(total) // CHUNK_BYTES))
     out = None

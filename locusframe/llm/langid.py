@@ -16,7 +16,8 @@ asked to be held out is never read.
 
 Defined results: null texts and texts without a letter get ``und`` with score
 0; with no labelled text to learn from, so do all.  Repeated rows get equal
-results; other columns are ignored; an empty table gives an empty table.
+results; ids pass through, be they null (never learned from, never held out),
+repeated or strings; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import as_before, as_text, batches, bounded_batches
 from .toxicity import held_out
 
 HIDDEN = 8
@@ -220,7 +221,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang_col}: too many to train")
     share = F.pmod(F.xxhash64("i"), F.lit(1 << 40)) / float(1 << 40)
     rate = F.lit(min(ROWS_PER_LANGUAGE, SAMPLE / n)) / F.col("count")
-    got = known.where(F.col("t").isNotNull()).join(F.broadcast(counts), "y").where(share <= rate).select("i", "t", "y").limit(2 * SAMPLE).collect()
+    got = known.where(F.col("t").isNotNull()).join(F.broadcast(counts), "y").where(share <= rate).select("i", "t", "y").orderBy(share, "i", "t").limit(2 * SAMPLE).collect()
     got = [r for r in got if LETTER.search(r["t"])]
     got.sort(key=lambda r: (zlib.crc32(str(r["i"]).encode()), str(r["i"]), r["y"], r["t"]))
     return train([r["t"].encode("utf-8", "replace") for r in got], [r["y"] for r in got]) if got else None
@@ -228,7 +229,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predict(df: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) for every row: whole texts, one narrow pass."""
-    kind = dict(df.dtypes)[id_col]
+    bounded_batches(df.sparkSession)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -243,7 +244,8 @@ def predict(df: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
                         scores[lo + k] = min(1.0, p[k, best[k]])
             yield pd.DataFrame({id_col: pdf[id_col], "lang_pred": names, "score": scores})
 
-    return df.select(df[id_col], df[text_col]).mapInPandas(run, f"{id_col} {kind}, lang_pred string, score double")
+    out = df.select(as_text(df, id_col), df[text_col]).mapInPandas(run, f"{id_col} string, lang_pred string, score double")
+    return as_before(out, df, id_col)
 
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -15,8 +15,10 @@ language is guessed from function words of the text itself.
 
 Training reads at most ``MOST_ROWS`` labelled rows of each class, those with
 the smallest hash of their id; scoring reads every whole text in one narrow
-pass.  Null and empty texts are scored as texts without words.  Ids that are
-null, repeated, or labelled twice do not matter (each labelled row counts).
+pass.  Null and empty texts are scored as texts without words.  Ids pass
+through, be they null (never learned from, never held out), repeated or strings.
+An id labelled twice counts with each label; of a labelled id that repeats among
+the documents, the first text by value is learned from.
 Without labelled rows of both classes every score is 0.  Other columns are
 ignored; an empty table gives an empty table.
 """
@@ -29,10 +31,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, RollingHash, batches, mix64, word_bounds
+from .common import U64, RollingHash, as_before, as_text, batches, bounded_batches, mix64, word_bounds
 
 MOST_ROWS = 1_500
 SLOTS = 1 << 15
@@ -275,7 +278,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
         return Model.fresh()
     # at most 2 * MOST_ROWS ids: a bounded broadcast
     sample = spark.createDataFrame(ids, known.schema)
-    rows = docs.select(docs[id_col].alias("_d"), docs[text_col].alias("_t")).join(F.broadcast(sample), F.col("_d") == F.col("_id")).select("_d", "_t", "_y").collect()
+    rows = docs.select(docs[id_col].alias("_d"), docs[text_col].alias("_t")).join(F.broadcast(sample), F.col("_d") == F.col("_id")).groupBy("_d", "_y").agg(F.min("_t").alias("_t")).select("_d", "_t", "_y").collect()
     rows = sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), r[2]))
     return fit([r[1] for r in rows], np.array([r[2] for r in rows]))
 
@@ -293,25 +296,28 @@ def scores_of(texts: list[str | None], model: Model, table: np.ndarray) -> np.nd
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for every row."""
-    kind = dict(df.dtypes)[id_col]
+    bounded_batches(df.sparkSession)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = _function_table()
         for pdf in it:
             yield pd.DataFrame({id_col: pdf[id_col], "score": scores_of(list(pdf[text_col]), model, table)})
 
-    return df.select(df[id_col], df[text_col]).mapInPandas(run, f"{id_col} {kind}, score double")
+    out = df.select(as_text(df, id_col), df[text_col]).mapInPandas(run, f"{id_col} string, score double")
+    return as_before(out, df, id_col)
 
 
 def keep_clean(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Rows that are not scored as toxic, with their columns as they are."""
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    bounded_batches(df.sparkSession)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _function_table()
-        for pdf in it:
-            yield pdf[scores_of(list(pdf[text_col]), model, table) < CUT]
+        for batch in it:
+            yield batch.filter(pa.array(scores_of(batch.column(text_col).to_pylist(), model, table) < CUT))
 
-    return df.mapInPandas(run, df.schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
