@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``.  All but the last
 return the columns of ``documents``.
+
+In every stage a null or empty text is a text without words, and an empty table
+gives an empty table.  Ids may be null or repeat: rows without an id are judged
+by their own text where a stage judges texts (toxicity, pii, bpe) and stay where
+it names documents by id (ngram_join, decontamination); there, an id that
+repeats goes with all its rows if one of them goes.
 """
 
 from __future__ import annotations
@@ -46,7 +52,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, with their digests."""
-    return bpe.encode_decode(docs, tokenizer_path(), keep_ids=True).drop("decoded")
+    return bpe.encode_decode(docs, tokenizer_path(), keep_text=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

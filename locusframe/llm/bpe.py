@@ -2,15 +2,17 @@
 
 A byte pair that occurs inside no vocabulary token can never be merged across,
 so it marks a certain cut: what lies on either side may be encoded alone and
-the ids concatenated.  Two kinds of certain cut are used, both also safe for
-the splitting pattern that runs before the merges: before a single space that
-follows a non-space and precedes a non-space, and between two ASCII letters.
+the ids concatenated.  Of all 65,536 pairs those are used that no token holds,
+wherever the cut is also safe for the splitting pattern that runs before the
+merges (``safe_cut``): the pattern must split, or go on, alike with and without
+it.  Cuts before single spaces are found first, all others in what is longer
+than ``WHOLE_LENGTH``.
 Fragments repeat far more often than words, so each task keeps a bounded cache
 of fragment -> packed ids and a text's ids are one join over its fragments.
 
 Defined results: a null text counts as empty (no ids, empty decoded text);
-repeated rows give repeated results; other columns are never read; an empty
-table gives an empty table.  Texts of any length are handled whole.
+repeated rows give repeated results; ids pass through, be they null, repeated or
+strings; other columns are never read; an empty table gives an empty table.  Texts of any length are handled whole.
 """
 
 from __future__ import annotations
@@ -19,16 +21,19 @@ import hashlib
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import as_before, as_text, bounded_batches
+
 CACHE_ENTRIES = 400_000
 CACHED_LENGTH = 64
 #: Fragments up to this length are merged as they are; longer ones are cut
-#: between letters first.
+#: inside words first.
 WHOLE_LENGTH = 24
 LATIN_END = "\u0250"
 
@@ -43,6 +48,27 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def kind(c: str) -> str:
+    """What the splitting pattern takes a character for: L, N, space or P."""
+    return "S" if c.isspace() else k if (k := unicodedata.category(c)[0]) in "LN" else "P"
+
+
+def safe_cut(c: str, d: str) -> bool:
+    """Whether the splitting pattern finds the same pieces with a cut between c and d.
+
+    Runs of letters, of digits, and of other signs may be cut anywhere, and the
+    pattern itself splits where one kind follows another.  A space may belong to
+    what follows it.  A quotation mark may begin a contraction: nothing is cut
+    after it before a letter, and a run of signs is not cut before it.
+    """
+    before, after = kind(c), kind(d)
+    if "S" in (before, after):
+        return False
+    if before == after:
+        return before != "P" or d != "'"
+    return not (c == "'" and after == "L")
+
+
 class ForcedBoundaryBPE:
     """Encoder and decoder over a tokenizers file with a byte-level BPE model."""
 
@@ -71,13 +97,6 @@ class ForcedBoundaryBPE:
         self.special = re.compile("(" + "|".join(special) + ")") if special else None
         # bytes that some token holds before a space: no certain cut after them
         self.held = [bytes([b]) for b in range(256) if b != 0x20 and self.inside[b, 0x20]]
-        letters = [*range(65, 91), *range(97, 123)]
-        cuts = [(x, y) for x in letters for y in letters if not self.inside[x, y]]
-        by_left: dict[int, list[int]] = {}
-        for x, y in cuts:
-            by_left.setdefault(x, []).append(y)
-        rule = "|".join(f"(?<={chr(x)})(?=[{''.join(map(chr, ys))}])" for x, ys in sorted(by_left.items()))
-        self.letter_cut = re.compile(rule) if rule else None
         self.cache: dict[str, bytes] = {}
         self.merger = self._merger(spec, alphabet)
 
@@ -100,10 +119,10 @@ class ForcedBoundaryBPE:
         return np.array(self.tok.encode(fragment, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _fragment(self, unit: str) -> bytes:
-        """Ids of a unit, by the certain cuts between its letters."""
+        """Ids of a unit, by its certain cuts."""
         cache = self.cache
         out = []
-        for part in self.letter_cut.split(unit) if self.letter_cut and len(unit) > WHOLE_LENGTH else [unit]:
+        for part in self.fragments(unit) if len(unit) > WHOLE_LENGTH else [unit]:
             got = cache.get(part)
             if got is None:
                 got = self._library(part)
@@ -117,6 +136,15 @@ class ForcedBoundaryBPE:
             cache.clear()
         return whole
 
+    def fragments(self, unit: str) -> list[str]:
+        """A unit's pieces between all of its certain cuts."""
+        chars = [c.encode("utf-8", "replace") for c in unit]
+        last = np.frombuffer(b"".join(c[-1:] for c in chars), np.uint8)
+        first = np.frombuffer(b"".join(c[:1] for c in chars), np.uint8)
+        never = np.flatnonzero(~self.inside[last[:-1], first[1:]]) + 1
+        cuts = [0, *(i for i in never.tolist() if safe_cut(unit[i - 1], unit[i])), len(unit)]
+        return [unit[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def units(self, text: str) -> list[str]:
         """Fragments between certain cuts at spaces; their join is the text."""
         parts = text.split(" ")
@@ -162,15 +190,17 @@ def tokenizer(path: str) -> ForcedBoundaryBPE:
     return _LOADED[path]
 
 
-def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """Per row: id, n_tokens, ids (if kept), decoded text, digests of both.
+def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_text: bool = True) -> DataFrame:
+    """Per row: id, n_tokens, digests of ids and decoded text, and both if kept.
 
     ``path`` is a tokenizers file that every executor can open.  A narrow map:
     no shuffle, memory bounded by a batch and the fragment cache.
     """
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    extra = ", ids array<int>, decoded string" if keep_ids else ""
-    schema = f"{id_col} {types[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}"
+    bounded_batches(df.sparkSession)
+    kept = {"ids": "array<int>"} if keep_ids else {}
+    kept |= {"decoded": "string"} if keep_text else {}
+    extra = "".join(f", {name} {of}" for name, of in kept.items())
+    schema = f"{id_col} string, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}"
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = tokenizer(path)
@@ -178,16 +208,15 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             cols: dict[str, list] = {c: [] for c in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
             for text in pdf[text_col]:
                 packed = bpe.encode_packed(text) if isinstance(text, str) else b""
-                ids = np.frombuffer(packed, "<u4").tolist()
-                decoded = bpe.decode(ids)
+                ids = np.frombuffer(packed, "<i4")
+                decoded = bpe.decode(ids.tolist())
                 cols["n_tokens"].append(len(ids))
                 cols["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
                 cols["decoded_sha256"].append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
                 if keep_ids:
                     cols["ids"].append(ids)
+                if keep_text:
                     cols["decoded"].append(decoded)
-            yield pd.DataFrame({id_col: pdf[id_col]} | {c: v for c, v in cols.items() if v or not len(pdf)})[
-                [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])]
-            ]
+            yield pd.DataFrame({id_col: pdf[id_col]} | {c: cols[c] for c in ("n_tokens", "ids_sha256", "decoded_sha256", *kept)})
 
-    return df.select(df[id_col], df[text_col]).mapInPandas(run, schema)
+    return as_before(df.select(as_text(df, id_col), df[text_col]).mapInPandas(run, schema), df, id_col)

@@ -56,7 +56,7 @@ from .common import U64, UnionFind, batches, bounded_batches, components, discar
 
 SLOTS, PIECES = 1 << 20, 64
 BLOCK_SHINGLES, BLOCK_ROWS = 250_000, 200
-FLUSH_ROWS = 400_000
+FLUSH_ROWS = 250_000
 SLICE_ROWS = 100_000
 PROBE_LISTS = 32
 #: DivideSkip's weight of a probe against a merge step.

@@ -20,7 +20,7 @@ def tokenizer_path() -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False, keep_text=False)
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
