@@ -76,9 +76,26 @@ def test_bpe_matches_the_library(spark):
 
 def test_bpe_cuts_are_certain():
     b = bpe.ForcedBoundaryBPE(PATH)
-    for unit in b.units("one two  three\n four"):
-        assert unit
     assert "".join(b.units("one two  three\n four à b")) == "one two  three\n four à b"
+    encode = lambda t: b.tok.encode(t, add_special_tokens=False).ids
+    rng = random.Random(12)
+    letters = ["q", "x", "Z", "j", "é", "ß", "中", "я", "v", "k", "7", "½", "٣", "%", "'", "'s", "'re", "!", "😀", "€", "_", "\u0301", "ll", "t"]
+    seen = collections.Counter()
+    for _ in range(3000):
+        unit = rng.choice(["", " "]) + "".join(rng.choice(letters) for _ in range(rng.randrange(2, 12)))
+        parts = b.fragments(unit)
+        assert "".join(parts) == unit and [i for p in parts for i in encode(p)] == encode(unit)
+        seen.update(bpe.kind(p[-1]) + bpe.kind(q[0]) for p, q in zip(parts, parts[1:], strict=False))
+    # cuts inside runs of letters, digits and signs, and between them
+    assert {"LL", "NN", "PP", "LN", "NL", "LP", "PL", "NP", "PN"} <= set(seen)
+
+
+def test_bpe_ids_of_rows(spark):
+    rows = spark.createDataFrame([(2**60 + 1, "a b"), (None, "a b"), (2**60 + 1, "a b")], "doc_id long, text string")
+    got = bpe.encode_decode(rows.repartition(1), PATH).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(0, 2), (2**60 + 1, 2), (2**60 + 1, 2)]
+    named = bpe.encode_decode(rows.withColumn("doc_id", F.lit("x")), PATH).collect()
+    assert [r["doc_id"] for r in named] == ["x"] * 3
 
 
 # ------------------------------------------------------------------ 2 HTML
@@ -382,6 +399,26 @@ def test_feistel_is_a_permutation(spark):
 # ------------------------------------------------------------------ 7 benchmark
 
 
+def test_decontamination_of_odd_ids(spark):
+    item = " ".join(f"v{k}" for k in range(20))
+    bench = spark.createDataFrame([(4, item), (4, item), (None, item)], "item_id long, text string")
+    got = decontam.find_leaks(spark, docs(spark, [item, item, "x " + item, "other words", item], [1, 1, 2, 2, None]), bench)
+    assert collections.Counter((r["doc_id"], r["item_id"], r["first_word"]) for r in got.collect()) == {(1, 4, 0): 4, (2, 4, 1): 2}
+    for bad in (lambda: decontam.find_leaks(spark, docs(spark, []).withColumn("doc_id", F.lit("x")), bench), lambda: decontam.find_leaks(spark, docs(spark, []), bench.withColumn("item_id", F.lit("x")))):
+        with pytest.raises(TypeError, match="integers"):
+            bad()
+
+
+def test_walk_reads_windows_to_the_end():
+    # two windows that differ in the last words alone differ in the last places read
+    index = decontam.Index([0], [" ".join(f"v{k}" for k in range(60))], 0.8, 400, 1)
+    words = np.arange(1, 61).astype(np.uint64)
+    other = words.copy()
+    other[-3:] += np.uint64(500)
+    keys = index.keys(np.concatenate((words, other)), np.array([0, 60]), np.array([60, 60]))
+    assert 0 < (keys[0] != keys[1]).sum() < 100
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     items = [" ".join(f"v{rng.randrange(5000)}" for _ in range(rng.randrange(14, 60))) for _ in range(40)]
@@ -494,6 +531,27 @@ def test_substrings_brute_force(spark, monkeypatch, common_gram):
     assert suffix_dedup.dedup(spark, docs(spark, [])).count() == 0
 
 
+def test_substrings_of_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 500)
+    rng = random.Random(16)
+    passage = "".join(rng.choice("abcd ") for _ in range(400))
+    texts = [passage[rng.randrange(200) :] + "".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(60)]
+    texts[7] = "long words " * 20_000
+    got = by_id(suffix_dedup.dedup(spark, docs(spark, texts).repartition(5), 100))
+    assert {d: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for d, r in got.items()} == plain_dedup(list(enumerate(texts)), 100)
+
+
+def test_substrings_of_odd_ids(spark):
+    rng = random.Random(17)
+    t, u, v = ("".join(rng.choice("abcdefgh ") for _ in range(230)) for _ in range(3))
+    got = suffix_dedup.dedup(spark, docs(spark, [t, t, u, u + v, v, t, None], [5, 5, 5, 2, None, 9, 5]).repartition(3), 100)
+    rows = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in got.collect())
+    # equal rows keep what they hold; another text under the same id is judged by its own places
+    assert rows == {(5, 230, 0): 2, (5, 230, 230): 1, (2, 460, 0): 1, (None, 230, 0): 1, (9, 230, 230): 1, (5, 0, 0): 1}
+    with pytest.raises(TypeError, match="integers"):
+        suffix_dedup.dedup(spark, docs(spark, [t]).withColumn("doc_id", F.lit("x")))
+
+
 def test_too_long_substrings_raise(spark):
     with pytest.raises(ValueError, match="at most 279"):
         suffix_dedup.dedup(spark, docs(spark, ["a"]), length=280)
@@ -538,6 +596,22 @@ def test_toxicity_held_out(spark):
     assert kept.columns == docs(spark, []).columns
 
 
+def test_toxicity_of_odd_rows(spark):
+    texts, marks, labels = labelled(spark, 600)
+    twice = labels.union(labels.limit(40).withColumn("toxic", 1 - F.col("toxic")))
+    ids = list(range(len(texts))) + [None, 2**60 + 1, 2**60 + 1, 3]
+    more = texts + [texts[0], texts[1], texts[1], texts[2]]
+    model = toxicity.learn(spark, docs(spark, more, ids), twice)
+    assert model.trained
+    got = toxicity.score(docs(spark, more, ids).repartition(1), model).collect()
+    score = collections.defaultdict(set)
+    for r in got:
+        score[r["doc_id"]].add(r["score"])
+    assert len(got) == len(ids) and score[None] == score[0] and score[2**60 + 1] == score[1] and score[3] > score[2]
+    kept = toxicity.keep_clean(docs(spark, more, ids).repartition(1), model)
+    assert all(r["n_chars"] is None and r["doc_id"] in score for r in kept.collect())
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.classify(spark, docs(spark, ["a", None]), none).collect()
