@@ -7,14 +7,14 @@ each document's set size and the smallest id reachable by links.
    ``SLOTS`` counters by hash (a fixed size, whatever the corpus).  The counts
    put all shingles in one order, rare ones first; shingles that share a
    counter only look more frequent than they are.
-2. T-occurrence over the whole corpus: of a set of n elements any partner holds
-   at least T = ceil(percent n / 100), so the T - 1 longest inverted lists can be
-   left for probing and the n - T + 1 shortest are merged, as DivideSkip does.
-   A document is sent to the lists of those rarest elements with its size and
-   the largest size of a partner that it may still have if that element is the
-   first they share.  Documents of one list whose size intervals overlap are
-   candidates.  Each task joins the intervals of its own documents first, so a
-   list that a third of all documents share gets a few rows per task.
+2. Linked sets, written in that order, differ in few elements, so they share two
+   neighbours near the beginning, among their rarest elements.  A document is sent
+   to the lists of as many pairs of rare neighbours as may be parted, and one
+   more, with its size and the largest size of a partner that it may still have
+   if that pair is the first they share.  Documents of one list whose size
+   intervals overlap are candidates.  Each task joins the intervals of its own
+   documents first, so a list that a third of all documents share gets a few
+   rows per task.
 3. Components of the candidates are families: every link lies in one.  Families
    are dealt out in blocks of bounded shingles and rows, every block also gets
    the family's first set, and each block is joined exactly by T-occurrence
@@ -62,6 +62,9 @@ PROBE_LISTS = 32
 #: DivideSkip's weight of a probe against a merge step.
 MU = 0.01
 
+#: From this similarity on lists are of pairs of neighbours, below of single elements.
+PAIRS_FROM = 75
+
 NODE, SIG, NEAR = range(3)
 
 
@@ -151,16 +154,31 @@ def frequency_order(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def prefix(s: np.ndarray, order: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rarest elements of a set, largest partner by each if it is the first shared).
-
-    Linked sets share such an element, and the larger one is no larger than the
-    smaller one's largest partner there.  If the element stands too late for any
+    """(keys of a set, largest partner by each if it is the first shared).
+
+    From ``PAIRS_FROM`` percent on, a key is two neighbours in the common order of
+    elements.  An element that only this set has parts two pairs of neighbours at
+    most, one that only the partner has parts one; a partner of m elements leaves
+    2 n + m - 3 * overlap such pairs parted at most, so if the first i pairs are,
+    m is at most (n (200 - percent) - i (100 + percent)) / (2 percent - 100), and
+    only so many pairs are sent as may be parted by any partner, and one more.
+    Below that a key is one element, of the n - T + 1 first.
+
+    Linked sets that differ share a key, and the larger one is no larger than the
+    smaller one's largest partner there.  If the key stands too late for any
     partner of at least the set's own size, that is less than the size.
     """
     n = len(s)
-    first = s[np.argsort(order[_slot(s)], kind="stable")[: n - -(-n * percent // 100) + 1]]
-    reach = (n - np.arange(len(first))) * (100 + percent) // percent - n
-    return first, np.maximum(reach, n - 1)
+    least = -(-n * percent // 100)
+    if percent < PAIRS_FROM:
+        keys = s[np.argsort(order[_slot(s)], kind="stable")[: n - least + 1]]
+        reach = (n - np.arange(len(keys))) * (100 + percent) // percent - n
+    else:
+        parted = (n * (200 - percent) - least * (2 * percent - 100)) // (100 + percent)
+        first = s[np.argsort(order[_slot(s)], kind="stable")[: parted + 2]]
+        keys = mix64(first[:-1] * U64(0x9E3779B97F4A7C15) + first[1:])
+        reach = np.minimum((n * (200 - percent) - np.arange(len(keys)) * (100 + percent)) // (2 * percent - 100), n * 100 // percent)
+    return keys, np.maximum(reach, n - 1)
 
 
 def _overlaps(key: np.ndarray, n: np.ndarray, reach: np.ndarray, before: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:

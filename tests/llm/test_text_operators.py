@@ -247,7 +247,18 @@ def overlapping(lists):
     return uf
 
 
-@pytest.mark.parametrize("percent", [90, 80])
+def test_sets_have_a_pair_more_than_can_be_parted():
+    order = np.zeros(ngram_join.SLOTS, np.uint8)
+    for percent in (75, 80, 90, 95, 100):
+        for n in [*range(2, 120), 999, 5000]:
+            keys, reach = ngram_join.prefix(np.arange(n, dtype=np.uint64), order, percent)
+            for m in range(-(-n * percent // 100), n * 100 // percent + 1):
+                overlap = -(-percent * (n + m) // (100 + percent))
+                assert overlap == n == m or len(keys) > 2 * n + m - 3 * overlap
+                assert overlap == n == m or reach[2 * n + m - 3 * overlap] >= m or m < n
+
+
+@pytest.mark.parametrize("percent", [90, 80, 60])
 def test_linked_sets_meet_in_a_list(percent):
     rng = np.random.default_rng(2)
     order = rng.integers(0, 9, ngram_join.SLOTS).astype(np.uint8)
@@ -266,7 +277,7 @@ def test_linked_sets_meet_in_a_list(percent):
     for i, a in enumerate(sets):
         for j in range(i):
             k = len(np.intersect1d(a, sets[j]))
-            if k and 100 * k >= percent * (len(a) + len(sets[j]) - k):
+            if k and k < max(len(a), len(sets[j])) and 100 * k >= percent * (len(a) + len(sets[j]) - k):
                 links += 1
                 assert uf.find(i) == uf.find(j)
     assert links > 100
