@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
 
     Tables as likely as the observed one, within an absolute slack, count.
     Three passes over the possible tables (greatest log weight, their total,
-    the sum of those that count) carry a running log weight, so time is linear
-    and space constant in the number of tables.
+    the sum of those that count) carry a running log weight, so time and space
+    (the list of tables) are linear in the number of tables.
     """
     a, b, c, d = (x.cast("double") for x in (a, b, c, d))
     r1, r2, k = a + b, c + d, a + c
@@ -79,13 +80,6 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str, within: list[str]) -> Da
     return ranked.withColumn(out, F.when(live, adjusted)).drop("_live", "_rank", "_n")
 
 
-def average_rank(value: str, within: list[str]) -> Column:
-    """Rank with ties at their mean."""
-    below = Window.partitionBy(*within).orderBy(value)
-    ties = Window.partitionBy(*within, value)
-    return F.rank().over(below) + (F.count("*").over(ties) - 1) / F.lit(2.0)
-
-
 @F.pandas_udf(T.DoubleType())
 def erfc(x: pd.Series) -> pd.Series:
     """Complementary error function; reached by one row per test only."""
@@ -96,26 +90,24 @@ def erfc(x: pd.Series) -> pd.Series:
 def exact_rank_sum_p(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
     """Two-sided p of U without ties, by counting rank subsets.
 
-    The count of subsets with each U obeys a recurrence on the largest rank;
-    it runs over the smaller side.
+    The counts of each U are the coefficients of the Gaussian binomial: one factor
+    for each value of the smaller side, in whole numbers, so time is that side
+    times the number of values of U.
     """
 
     def one(a: float, b: float, big: float) -> float | None:
         if any(v is None or math.isnan(v) for v in (a, b, big)):
             return None
         n, m = sorted((int(a), int(b)))
-        ways = [[0] * (n * m + 1) for _ in range(n + 1)]
-        ways[0][0] = 1
-        for r in range(1, n + m + 1):
-            for k in range(min(n, r), 0, -1):
-                shift = r - k
-                if shift > m:
-                    continue
-                row, less = ways[k], ways[k - 1]
-                for s in range(n * m, shift - 1, -1):
-                    row[s] += less[s - shift]
-        dist = ways[n]
-        return min(1.0, 2 * sum(dist[int(math.ceil(big)) :]) / sum(dist))
+        ways = np.zeros(n * m + 1, object)
+        ways[0] = 1
+        for k in range(1, n + 1):
+            # times (1 - q^(m + k)), over (1 - q^k)
+            ways[m + k :] -= ways[: max(0, n * m + 1 - m - k)].copy()
+            for first in range(k):
+                ways[first::k] = np.add.accumulate(ways[first::k])
+        upper = int(ways[int(math.ceil(big)) :].sum())
+        return min(1.0, 2 * upper / math.comb(n + m, n))
 
     return pd.Series([one(*v) for v in zip(n1, n2, u, strict=True)], dtype="float64")
 

@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions.alleles import hamming
 from locusframe.functions.text import natural_key, split_composite
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "locusframe-checkpoints"))
-    return df.checkpoint()
+from locusframe.sources.scratch import cut, discard
 
 
 def distances(haps: DataFrame) -> DataFrame:
@@ -38,18 +28,20 @@ def components(haps: DataFrame, links: DataFrame) -> DataFrame:
     Each round also jumps to the label's own label, so the rounds grow with
     the logarithm of a component's length.
     """
-    edges = _cut(links.select("region_ord", "hap1", "hap2").union(links.select("region_ord", F.col("hap2").alias("hap1"), F.col("hap1").alias("hap2"))))
-    labels = _cut(haps.select("region_ord", "hap", F.col("hap").alias("root")))
+    edges = cut(links.select("region_ord", "hap1", "hap2").union(links.select("region_ord", F.col("hap2").alias("hap1"), F.col("hap1").alias("hap2"))))
+    labels = cut(haps.select("region_ord", "hap", F.col("hap").alias("root")))
     while True:
         near = (
-            edges.join(labels.withColumnRenamed("hap", "hap2"), ["region_ord", "hap2"]).groupBy("region_ord", F.col("hap1").alias("hap")).agg(F.min("root").alias("low"))
+            edges.join(labels.select("region_ord", F.col("hap").alias("hap2"), "root"), ["region_ord", "hap2"]).groupBy("region_ord", F.col("hap1").alias("hap")).agg(F.min("root").alias("low"))
         )
         step = labels.join(near, ["region_ord", "hap"], "left").select("region_ord", "hap", F.least("root", F.coalesce("low", "root")).alias("next"), "root")
         jump = step.select("region_ord", F.col("hap").alias("next"), F.col("next").alias("far"))
-        new = _cut(step.join(jump, ["region_ord", "next"], "left").select("region_ord", "hap", F.least("next", F.coalesce("far", "next")).alias("root"), F.col("root").alias("old")))
-        labels = new.drop("old")
+        new = cut(step.join(jump, ["region_ord", "next"], "left").select("region_ord", "hap", F.least("next", F.coalesce("far", "next")).alias("root"), F.col("root").alias("old")))
+        discard(labels)
+        labels = new
         if new.where("root <> old").isEmpty():
-            return labels
+            discard(edges)
+            return labels.drop("old")
 
 
 def clusters(haps: DataFrame, threshold: float) -> DataFrame:

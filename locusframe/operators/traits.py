@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.functions.statistics import average_rank, benjamini_hochberg, chi_square_tail, exact_rank_sum_p, normal_two_sided
+from locusframe.functions.statistics import benjamini_hochberg, chi_square_tail, exact_rank_sum_p, normal_two_sided
 from locusframe.functions.text import significance
+from locusframe.sources.scratch import cut
 
 EXACT_SIZE = 8
 
+# fixed values: reasons as reports give them
+FEW_CLASSES = "fewer than two classes with numeric trait values"
+EMPTY_CLASS = "one or both classes have no numeric trait values"
+
 
 def class_counts(df: DataFrame, cls: str, within: list[str], min_count: int = 1) -> DataFrame:
     """(within, cls, n, ord): classes by size, ties by name."""
@@ -45,26 +50,42 @@ def long_traits(df: DataFrame, cls: str, names: list[str], within: list[str], mi
     return values.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
+def average_ranks(live: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, value, t, r): each distinct value, how often, and its mean rank.
+
+    Values are dealt out by range; what lies before a value is the rest of its
+    part and the sizes of the parts before, so no task holds all values of a key.
+    """
+    counted = live.groupBy(*keys, "value").agg(F.count("*").alias("t"))
+    dealt = cut(counted.repartitionByRange(*keys, "value").withColumn("part", F.spark_partition_id()))
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(*keys, "part").agg(F.sum("t").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+    inside = Window.partitionBy(*keys, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.col("before") + F.coalesce(F.sum("t").over(inside), F.lit(0)) + (F.col("t") + 1) / F.lit(2.0)
+    return dealt.join(parts.drop("size"), [*keys, "part"]).select(*keys, "value", "t", rank.alias("r"))
+
+
 def kruskal(values: DataFrame, within: list[str]) -> DataFrame:
     """(within, trait, trait_ord, n, k, h, pvalue, skipped)."""
     keys = [*within, "trait", "trait_ord"]
     live = values.where("value is not null")
-    ranked = live.withColumn("r", average_rank("value", keys))
-    by_class = ranked.groupBy(*keys, "cls").agg(F.sum("r").alias("rs"), F.count("*").alias("n"))
+    ranks = average_ranks(live, keys)
+    counts = live.groupBy(*keys, "cls", "value").agg(F.count("*").alias("c"))
+    by_class = counts.join(ranks, [*keys, "value"]).groupBy(*keys, "cls").agg(F.sum(F.col("r") * F.col("c")).alias("rs"), F.sum("c").alias("n"))
     sums = by_class.groupBy(*keys).agg(F.sum(F.col("rs") * F.col("rs") / F.col("n")).alias("s"), F.sum("n").alias("n"), F.count("*").cast("int").alias("k"))
-    ties = live.groupBy(*keys, "value").agg(F.count("*").cast("double").alias("t")).groupBy(*keys).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    t = F.col("t").cast("double")
+    ties = ranks.groupBy(*keys).agg(F.sum(t * t * t - t).alias("ties"))
     n = F.col("n").cast("double")
     plain = F.lit(12.0) / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
     even = 1 - F.col("ties") / (n * n * n - n)
     out = sums.join(ties, keys).withColumn("even", F.when(F.col("n") > 1, even).otherwise(0.0))
     h = F.when((F.col("k") >= 2) & (F.col("even") > 0), plain / F.col("even"))
     out = out.withColumn("h", h).withColumn("pvalue", F.when(F.col("h").isNotNull(), chi_square_tail(F.coalesce("h", F.lit(0.0)), F.col("k") - 1)))
-    reason = F.when(F.col("k") < 2, "fewer than two classes with numeric trait values").when(F.col("h").isNull(), "Kruskal-Wallis failed: all values are the same").otherwise("")
+    reason = F.when(F.col("k") < 2, FEW_CLASSES).when(F.col("h").isNull(), "Kruskal-Wallis failed: all values are the same").otherwise("")
     have = out.select(*keys, "n", "k", "h", "pvalue", reason.alias("skipped"))
     # traits without any value are reported too
     every = values.select(*keys).distinct()
-    none = "fewer than two classes with numeric trait values"
-    return every.join(have, keys, "left").na.fill({"n": 0, "k": 0, "skipped": none})
+    return every.join(have, keys, "left").na.fill({"n": 0, "k": 0, "skipped": FEW_CLASSES})
 
 
 def pairwise(values: DataFrame, within: list[str]) -> DataFrame:
@@ -103,7 +124,7 @@ def pairwise(values: DataFrame, within: list[str]) -> DataFrame:
     small = out.where(exact).withColumn("pvalue", exact_rank_sum_p(F.col("n1"), F.col("n2"), F.col("u")))
     large = out.where(~F.coalesce(exact, F.lit(False))).withColumn("pvalue", F.when(F.col("z").isNotNull(), normal_two_sided(F.coalesce("z", F.lit(0.0)))))
     whole = small.unionByName(large).withColumn("pvalue", F.when(both & F.col("pvalue").isNull(), 1.0).otherwise(F.col("pvalue")))
-    reason = F.when(both, "").otherwise("one or both classes have no numeric trait values")
+    reason = F.when(both, "").otherwise(EMPTY_CLASS)
     adjusted = benjamini_hochberg(whole, "pvalue", "padj", keys).withColumn("skipped", reason)
     return adjusted.drop("r1", "ties")
 
@@ -140,6 +161,11 @@ def top_annotations(table: DataFrame, within: list[str], most: int = 10) -> Data
     return shown.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
+def jitter_points(values: DataFrame, seed: int = 42) -> DataFrame:
+    """Every value beside its class, moved sideways by a little seeded noise."""
+    return values.where("value is not null").withColumn("x", F.col("ord") + 0.035 * F.randn(seed))
+
+
 def box_stats(values: DataFrame, within: list[str]) -> DataFrame:
     """Quartiles, and whiskers at the last value within 1.5 ranges."""
     keys = [*within, "trait", "cls"]

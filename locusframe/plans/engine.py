@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from locusframe.functions.text import level_column, level_stem
 from locusframe.operators import association, clustering, encoding, haplotypes, plotdata, traits
 from locusframe.sources import readers, sinks
+from locusframe.sources.scratch import cut
+
+
+#: Frames of the gene figure.
+GENE_FIGURE = ("genes", "blocks", "connectors")
 
 
 class EmptyRegion(ValueError):
@@ -80,17 +85,17 @@ class Engine:
         fisher = None
         if o.fisher_groups and o.fisher_alpha is not None:
             fisher = association.fisher_table(sites, calls, groups, *o.fisher_groups, o.fisher_alpha, o.fisher_adjust)
-            fisher = clustering._cut(fisher)
+            fisher = cut(fisher)
             sites = association.keep_sites(sites, fisher)
             if o.strict:
                 self._present(regions, sites, "no variants left after the site test")
         elif o.fisher_groups:
             warnings.warn("site test groups without an alpha: sites are not filtered", stacklevel=2)
         cells = haplotypes.grid(sites, calls, pool)
-        seqs = clustering._cut(haplotypes.sequences(cells, o.mode, o.hetero_policy))
-        haps = clustering._cut(haplotypes.rank(seqs))
-        copies = clustering._cut(haplotypes.sample_haps(seqs, haps))
-        member = clustering._cut(clustering.clusters(haps, o.cluster_threshold))
+        seqs = cut(haplotypes.sequences(cells, o.mode, o.hetero_policy))
+        haps = cut(haplotypes.rank(seqs))
+        copies = cut(haplotypes.sample_haps(seqs, haps))
+        member = cut(clustering.clusters(haps, o.cluster_threshold))
         named = haplotypes.classes(copies, member, o.mode)
         group = named.join(groups, "sample", "left").select("region_ord", "sample_ord", "Hap", "ClusterID", F.col("sample").alias("Accession"), F.coalesce("grp", F.lit("NA")).alias("Type"))
         names: list[str] = []
@@ -98,8 +103,8 @@ class Engine:
             table = readers.unique_accessions(trait_table)
             names = [c for c in table.columns if c != "Accession"]
             group = group.join(table, "Accession", "left")
-        group = clustering._cut(group.select("region_ord", "Hap", "ClusterID", "Accession", "Type", *names))
-        return Result(regions, sites, cells, haps, copies, member, group, clustering._cut(encoding.state_map(haps)), fisher, names, o)
+        group = cut(group.select("region_ord", "Hap", "ClusterID", "Accession", "Type", *names))
+        return Result(regions, sites, cells, haps, copies, member, group, cut(encoding.state_map(haps)), fisher, names, o)
 
     # ---------------------------------------------------------- analyses
 
@@ -111,14 +116,18 @@ class Engine:
         header, sites, calls = self.located(vcf, regions, o.vcf_backend)
         trait_table = readers.read_traits(self.spark, trait_file) if trait_file else None
         # parsed once: every later step reads these
-        sites, calls = clustering._cut(sites), clustering._cut(calls.join(groups.select("sample"), "sample", "left_semi"))
+        sites, calls = cut(sites), cut(calls.join(groups.select("sample"), "sample", "left_semi"))
         result = self.relations(regions, header, sites, calls, groups, trait_table, o)
         pooled = readers.pool(header, groups).orderBy("sample_ord").collect()
         result.samples = [r["sample"] for r in pooled]
+        # tests and figures of all regions are computed once, and read region by region
+        values = self.trait_values(result) if trait_file else None
+        report = cut(traits.report(values, ["region_ord"], o.level)) if trait_file else None
+        features = readers.read_annotation(self.spark, gff_file) if plots and gff_file else None
+        figures = {k: cut(df) for k, df in self.plot_data(result, features, values, report).items()} if plots else {}
         for r in regions.orderBy("region_ord").collect():
-            self._write(result, r, outdir, bool(trait_file))
-            if plots:
-                self._write_plots(result, r, outdir, gff_file)
+            self._write(result, r, outdir, report)
+            self._write_plots(result, r, outdir, figures)
         return result
 
     def prepare(self, vcf: str, outdir: str, region: str | None = None, region_file: str | None = None, backend: str = "auto") -> list[tuple[str, str]]:
@@ -132,8 +141,11 @@ class Engine:
             out.append(self._write_processed(sites, cells, names, r, outdir))
         return out
 
-    def plot_data(self, result: Result, features: DataFrame | None = None) -> dict[str, DataFrame]:
-        """What each figure shows, as frames over all regions."""
+    def plot_data(self, result: Result, features: DataFrame | None = None, values: DataFrame | None = None, report: DataFrame | None = None) -> dict[str, DataFrame]:
+        """What each figure shows, as frames over all regions.
+
+        ``values`` and ``report`` are those of the traits, if they are known.
+        """
         o = result.options
         column = level_column(o.level)
         sized = clustering.cluster_sizes(result.copies, result.clusters).where(F.col("n") >= o.min_count)
@@ -145,22 +157,24 @@ class Engine:
             shown = result.haps.where(F.col("n") >= o.min_count).select("region_ord", "hap", F.posexplode("seq").alias("at", "token"))
             tokens, name = shown.join(place, ["region_ord", "at"]).select("region_ord", "hap", "site_ord", "token"), "hap"
         table = traits.crosstab(result.hap_group, column, "Type", ["region_ord"], o.min_count)
-        out = {"matrix": plotdata.token_matrix(tokens, name), "proportions": table, "pies": traits.pie_slices(table, "Type", ["region_ord"]), "connectors": plotdata.connectors(result.sites)}
+        table = table.withColumn("colour", plotdata.colours(F.col("ord") - 1))
+        matrix = plotdata.token_matrix(tokens, name).withColumn("colour", plotdata.colours(F.col("code")))
+        out = {"matrix": matrix, "proportions": table, "pies": traits.pie_slices(table, "Type", ["region_ord"]), "connectors": plotdata.connectors(result.sites)}
         if features is not None:
             near = readers.features_in(features, result.regions)
             genes = plotdata.genes(near)
             out |= {"genes": genes, "blocks": plotdata.blocks(near, genes)}
         if result.trait_names:
-            values = self.trait_values(result)
-            report = traits.report(values, ["region_ord"], o.level)
-            out |= {"boxes": traits.box_stats(values, ["region_ord"]), "significance": report, "annotations": traits.top_annotations(report, ["region_ord"])}
+            values = self.trait_values(result) if values is None else values
+            report = traits.report(values, ["region_ord"], o.level) if report is None else report
+            out |= {"boxes": traits.box_stats(values, ["region_ord"]), "points": traits.jitter_points(values), "significance": report, "annotations": traits.top_annotations(report, ["region_ord"])}
         return out
 
     def trait_values(self, result: Result) -> DataFrame:
         wanted = result.options.trait_cols
         names = [n for n in result.trait_names if wanted is None or n in wanted]
         values = traits.long_traits(result.hap_group, level_column(result.options.level), names, ["region_ord"], result.options.min_count)
-        return clustering._cut(values)  # read by every test
+        return cut(values)  # read by every test
 
     # ---------------------------------------------------------- files
 
@@ -175,7 +189,7 @@ class Engine:
             sinks.genotype_tokens(stem + ".SampleGenotypeTokens.tsv", own, shown, names),
         )
 
-    def _write(self, x: Result, r, outdir: str, has_traits: bool) -> None:
+    def _write(self, x: Result, r, outdir: str, report: DataFrame | None) -> None:
         ord_ = r["region_ord"]
         stem = sinks.prefix(outdir, r["chrom"], r["start"], r["stop"])
         own = lambda df: df.where(F.col("region_ord") == ord_)
@@ -208,19 +222,18 @@ class Engine:
         copies = own(x.copies).orderBy("sample_ord", "copy").select("sample", "copy", "hap")
         label = (lambda c: f"{c['sample']}|{c['hap']}") if x.options.mode == "inbred" else (lambda c: f"{c['sample']}|copy{c['copy'] + 1}|{c['hap']}")
         paths["sample_fasta"] = sinks.fasta(stem + ".Haplotype_sample.fa", ((label(c), by_hap[c["hap"]]) for c in copies.toLocalIterator()))
-        if has_traits:
-            report = own(traits.report(self.trait_values(x), ["region_ord"], x.options.level)).orderBy("trait_ord", F.col("ComparisonType") == "pairwise", "ord1", "ord2")
+        if report is not None:
+            report = own(report).orderBy("trait_ord", F.col("ComparisonType") == "pairwise", "ord1", "ord2")
             shown = report.drop("region_ord", "trait_ord", "ord1", "ord2").withColumnRenamed("trait", "Trait")
             paths["significance"] = sinks.write_table(stem + level_stem(x.options.level, "TraitSignificance.tsv"), shown)
 
-    def _write_plots(self, x: Result, r, outdir: str, gff_file: str | None) -> None:
+    def _write_plots(self, x: Result, r, outdir: str, figures: dict[str, DataFrame]) -> None:
         """Each figure's data as a table beside the results."""
         stem = sinks.prefix(outdir, r["chrom"], r["start"], r["stop"])
-        features = readers.read_annotation(self.spark, gff_file) if gff_file else None
-        for name, df in self.plot_data(x, features).items():
+        for name, df in figures.items():
             own = df.where(F.col("region_ord") == r["region_ord"])
             flat = own.select(*[c for c, t in own.dtypes if not t.startswith(("array", "map", "struct"))])
-            x.paths[r["region_ord"]][name] = sinks.write_table(stem + level_stem(x.options.level, f"plot_{name}.tsv"), flat)
+            x.paths[r["region_ord"]][name] = sinks.write_table(stem + level_stem(x.options.level, "GeneHaplotype" if name in GENE_FIGURE else "plot") + f"_{name}.tsv", flat)
 
 
 def _sites_in_order():

@@ -54,7 +54,7 @@ reach AS (SELECT region_ord, hap AS x, hap AS y FROM haps UNION SELECT r.region_
 root AS (SELECT region_ord, x AS hap, min(y) AS root FROM reach GROUP BY region_ord, x),
 clusters AS (SELECT region_ord, hap, 'HapC' || dense_rank() OVER (PARTITION BY region_ord ORDER BY root) AS cluster FROM root)"""
 CLUSTERED = LENS + INBRED + HAPS + LONG + PAIRS + CLUSTERS
-GROUPED = CLUSTERED + """, trait AS (SELECT sample, balance, CAST(c_custkey * 7 % 100 AS DOUBLE) AS score FROM smp WHERE c_custkey % 10 <> 0),
+GROUPED = CLUSTERED + """, trait AS (SELECT sample, CASE WHEN c_custkey % 10 <> 0 THEN balance END AS balance, CASE WHEN c_custkey % 10 <> 0 THEN CAST(c_custkey * 7 % 100 + 20 * f1 AS DOUBLE) END AS score FROM smp),
 hg AS (SELECT c.region_ord, c.hap AS "Hap", k.cluster AS "ClusterID", c.sample AS "Accession", m.grp AS "Type", t.balance, t.score
        FROM copies c JOIN clusters k ON c.region_ord = k.region_ord AND c.hap = k.hap JOIN smp m ON c.sample = m.sample LEFT JOIN trait t ON c.sample = t.sample),
 shown AS (SELECT region_ord, "ClusterID" AS cls, row_number() OVER (PARTITION BY region_ord ORDER BY count(*) DESC, "ClusterID") AS ord
@@ -95,12 +95,33 @@ oth AS (SELECT *, row_number() OVER (PARTITION BY region_ord, idx ORDER BY token
 states AS (SELECT region_ord, idx, token, token AS state FROM toks WHERE token IN ('A','C','G','T','N')
            UNION ALL SELECT o.region_ord, o.idx, o.token, p.ch FROM oth o JOIN free p ON o.region_ord = p.region_ord AND o.idx = p.idx AND o.r = p.r),
 codes AS (SELECT l.region_ord, l.hap, string_agg(s.state, '' ORDER BY l.idx) AS code FROM long l JOIN states s ON l.region_ord = s.region_ord AND l.idx = s.idx AND l.token = s.token GROUP BY l.region_ord, l.hap)"""
+#: Upper tails by series of positive terms: the lower incomplete gamma function, and the error function.
+CHI_TAIL = "CASE WHEN h <= 0 THEN 1.0 ELSE greatest(0.0, 1 - list_sum(list_transform(range(0, 2000), lambda i: exp(-h / 2 + ((k - 1) / 2.0 + i) * ln(h / 2) - lgamma((k - 1) / 2.0 + i + 1))))) END"
+NORMAL_TAIL = """CASE WHEN z <= 0 THEN 1.0 WHEN z > 9 THEN 0.0 ELSE greatest(0.0, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 400),
+  lambda i: exp(2 * i * ln(2) + (2 * i + 1) * ln(z / sqrt(2)) + lgamma(i + 1) - lgamma(2 * i + 2) - z * z / 2)))) END"""
 KRUSKAL = """, rnk AS (SELECT *, rank() OVER (PARTITION BY {k} ORDER BY value) + (count(*) OVER (PARTITION BY {k}, value) - 1) / 2.0 AS r FROM live),
 byc AS (SELECT {k}, cls, sum(r) AS rs, count(*) AS n FROM rnk GROUP BY {k}, cls),
 sm AS (SELECT {k}, sum(rs * rs / n) AS s, CAST(sum(n) AS DOUBLE) AS n, count(*) AS k FROM byc GROUP BY {k}),
-ti AS (SELECT {k}, sum(t * t * t - t) AS ties FROM (SELECT {k}, value, CAST(count(*) AS DOUBLE) AS t FROM live GROUP BY {k}, value) GROUP BY {k})
-SELECT {k}, CAST(sm.n AS BIGINT) AS n, sm.k AS k, round((12.0 / (sm.n * (sm.n + 1)) * sm.s - 3 * (sm.n + 1)) / (1 - ti.ties / (sm.n * sm.n * sm.n - sm.n)), 6) AS h
-FROM sm JOIN ti USING ({k})"""
+ti AS (SELECT {k}, sum(t * t * t - t) AS ties FROM (SELECT {k}, value, CAST(count(*) AS DOUBLE) AS t FROM live GROUP BY {k}, value) GROUP BY {k}),
+kw AS (SELECT {k}, CAST(sm.n AS BIGINT) AS n, sm.k AS k, (12.0 / (sm.n * (sm.n + 1)) * sm.s - 3 * (sm.n + 1)) / (1 - ti.ties / (sm.n * sm.n * sm.n - sm.n)) AS h
+FROM sm JOIN ti USING ({k})),
+kp AS (SELECT *, """ + CHI_TAIL + """ AS pvalue FROM kw)"""
+KRUSKAL_ROWS = "SELECT {k}, n, k, round(h, 6) AS h, round(pvalue, 6) AS pvalue FROM kp"
+MWU = """, cl AS (SELECT region_ord, trait, cls, ord, count(value) AS n, avg(value) AS mean FROM vals GROUP BY ALL),
+pr AS (SELECT a.region_ord, a.trait, a.cls AS class1, b.cls AS class2, a.ord AS ord1, b.ord AS ord2, a.n AS n1, b.n AS n2, a.mean AS mean1, b.mean AS mean2
+       FROM cl a JOIN cl b ON a.region_ord = b.region_ord AND a.trait = b.trait AND a.ord < b.ord),
+mm AS (SELECT p.region_ord, p.trait, p.class1, p.class2, l.value, l.cls = p.class1 AS one FROM pr p JOIN live l ON p.region_ord = l.region_ord AND p.trait = l.trait AND l.cls IN (p.class1, p.class2)),
+rr AS (SELECT *, rank() OVER (PARTITION BY region_ord, trait, class1, class2 ORDER BY value) + (count(*) OVER (PARTITION BY region_ord, trait, class1, class2, value) - 1) / 2.0 AS r,
+         count(*) OVER (PARTITION BY region_ord, trait, class1, class2, value) AS t FROM mm),
+ss AS (SELECT region_ord, trait, class1, class2, sum(r) FILTER (one) AS r1, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM rr GROUP BY ALL),
+uu AS (SELECT p.*, CAST(p.n1 AS DOUBLE) * p.n2 AS mn, CAST(p.n1 + p.n2 AS DOUBLE) AS n, s.ties,
+         greatest(s.r1 - p.n1 * (p.n1 + 1) / 2.0, CAST(p.n1 AS DOUBLE) * p.n2 - (s.r1 - p.n1 * (p.n1 + 1) / 2.0)) AS u
+       FROM pr p LEFT JOIN ss s USING (region_ord, trait, class1, class2)),
+zz AS (SELECT *, (u - mn / 2 - 0.5) / sqrt(mn / 12 * ((n + 1) - ties / (n * (n - 1)))) AS z FROM uu),
+pz AS (SELECT *, """ + NORMAL_TAIL + """ AS pvalue FROM zz),
+pk AS (SELECT *, row_number() OVER (PARTITION BY region_ord, trait ORDER BY z DESC) AS r, count(*) OVER (PARTITION BY region_ord, trait) AS m FROM pz),
+pb AS (SELECT *, least(1.0, min(pvalue * m / r) OVER (PARTITION BY region_ord, trait ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS padj FROM pk)"""
+STARS = "CASE WHEN {p} <= 0.001 THEN '***' WHEN {p} <= 0.01 THEN '**' WHEN {p} <= 0.05 THEN '*' ELSE 'ns' END"
 FEATURES = """
 WITH f AS (
   SELECT r.r_regionkey AS region_ord, r.r_name AS seqid, s.s_suppkey AS key, i, kind, s.s_suppkey * 10 + i AS feature_ord,
@@ -181,18 +202,17 @@ JOIN (SELECT region_ord, string_agg(DISTINCT state, '' ORDER BY state) AS symbol
     "q33_group_class_crosstab": CROSSTAB + """SELECT CAST(region_ord AS BIGINT) AS region_ord, "Type", "ClusterID", n FROM ct""",
     "q34_group_proportions": CROSSTAB + """SELECT CAST(region_ord AS BIGINT) AS region_ord, "Type", "ClusterID", round(share, 6) AS share FROM ct""",
     "q35_pie_labels": CROSSTAB + """SELECT CAST(region_ord AS BIGINT) AS region_ord, "Type", "ClusterID", n, CAST(CASE WHEN share * 100 >= 4 THEN 1 ELSE 0 END AS BIGINT) AS labelled FROM ct WHERE n > 0""",
-    "q36_kruskal": "SELECT CAST(region_ord AS BIGINT) AS region_ord, * EXCLUDE (region_ord) FROM (" + VALUES + KRUSKAL.format(k="region_ord, trait") + ")",
-    "q37_mannwhitney": VALUES
-    + """, cl AS (SELECT region_ord, trait, cls, ord, count(value) AS n FROM vals GROUP BY ALL),
-pr AS (SELECT a.region_ord, a.trait, a.cls AS class1, b.cls AS class2, a.n AS n1, b.n AS n2 FROM cl a JOIN cl b ON a.region_ord = b.region_ord AND a.trait = b.trait AND a.ord < b.ord),
-mm AS (SELECT p.region_ord, p.trait, p.class1, p.class2, l.value, l.cls = p.class1 AS one FROM pr p JOIN live l ON p.region_ord = l.region_ord AND p.trait = l.trait AND l.cls IN (p.class1, p.class2)),
-rr AS (SELECT *, rank() OVER (PARTITION BY region_ord, trait, class1, class2 ORDER BY value) + (count(*) OVER (PARTITION BY region_ord, trait, class1, class2, value) - 1) / 2.0 AS r,
-         count(*) OVER (PARTITION BY region_ord, trait, class1, class2, value) AS t FROM mm),
-ss AS (SELECT region_ord, trait, class1, class2, sum(r) FILTER (one) AS r1, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM rr GROUP BY ALL),
-uu AS (SELECT p.*, CAST(p.n1 AS DOUBLE) * p.n2 AS mn, CAST(p.n1 + p.n2 AS DOUBLE) AS n, s.ties,
-         greatest(s.r1 - p.n1 * (p.n1 + 1) / 2.0, CAST(p.n1 AS DOUBLE) * p.n2 - (s.r1 - p.n1 * (p.n1 + 1) / 2.0)) AS u
-       FROM pr p LEFT JOIN ss s USING (region_ord, trait, class1, class2))
-SELECT CAST(region_ord AS BIGINT) AS region_ord, trait, class1, class2, n1, n2, round(u, 6) AS u, round((u - mn / 2 - 0.5) / sqrt(mn / 12 * ((n + 1) - ties / (n * (n - 1)))), 6) AS z FROM uu""",
+    "q36_kruskal": VALUES + KRUSKAL.format(k="region_ord, trait") + KRUSKAL_ROWS.format(k="CAST(region_ord AS BIGINT) AS region_ord, trait"),
+    "q37_mannwhitney": VALUES + MWU
+    + """SELECT CAST(region_ord AS BIGINT) AS region_ord, trait, class1, class2, n1, n2, round(mean1, 6) AS mean1, round(mean2, 6) AS mean2, round(u, 6) AS u, round(z, 6) AS z,
+ round(pvalue, 6) AS pvalue, round(padj, 6) AS padj FROM pb""",
+    "q38_trait_significance": VALUES + KRUSKAL.format(k="region_ord, trait") + MWU
+    + """SELECT CAST(region_ord AS BIGINT) AS region_ord, trait, 'cluster' AS "PlotLevel", 'overall' AS "ComparisonType", 'ALL' AS "Class1", '' AS "Class2", n AS "N1", CAST(NULL AS BIGINT) AS "N2",
+ CAST(NULL AS DOUBLE) AS "Mean1", CAST(NULL AS DOUBLE) AS "Mean2", 'Kruskal-Wallis' AS "Test", round(pvalue, 6) AS pvalue, round(pvalue, 6) AS "padj_BH", """ + STARS.format(p="pvalue") + """ AS "Significance", '' AS "SkippedReason" FROM kp
+UNION ALL SELECT region_ord, trait, 'cluster', 'pairwise', class1, class2, n1, n2, round(mean1, 6), round(mean2, 6), 'two-sided Mann-Whitney U', round(pvalue, 6), round(padj, 6), """ + STARS.format(p="padj") + """, '' FROM pb""",
+    "q40_top_annotations": VALUES + MWU
+    + """SELECT CAST(region_ord AS BIGINT) AS region_ord, trait, class1 AS "Class1", class2 AS "Class2", round(padj, 6) AS "padj_BH", place FROM (
+ SELECT *, row_number() OVER (PARTITION BY region_ord, trait ORDER BY z DESC, ord1, ord2) AS place FROM pb WHERE padj <= 0.05) WHERE place <= 10""",
     "q39_boxplot_stats": VALUES
     + """, qq AS (SELECT region_ord, trait, cls, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.75) AS q3 FROM live GROUP BY ALL)
 SELECT CAST(q.region_ord AS BIGINT) AS region_ord, q.trait, q.cls, n, round(q1, 6) AS q1, round(med, 6) AS med, round(q3, 6) AS q3,
@@ -216,7 +236,7 @@ cnt AS (SELECT CAST(0 AS BIGINT) AS region_ord, CAST(site_ord AS BIGINT) AS site
     + fisher("cnt", "region_ord, site_ord")
     + "SELECT region_ord, site_ord, a, b, c, d, round(pvalue, 6) AS pvalue FROM pv",
     "q48_price_by_flag": """WITH live AS (SELECT l_returnflag AS cls, 'l_extendedprice' AS trait, l_extendedprice AS value FROM lineitem
- UNION ALL SELECT l_returnflag, 'l_quantity', l_quantity FROM lineitem)""" + KRUSKAL.format(k="trait"),
+ UNION ALL SELECT l_returnflag, 'l_quantity', l_quantity FROM lineitem)""" + KRUSKAL.format(k="trait") + KRUSKAL_ROWS.format(k="trait"),
     "q49_brand_type_crosstab": """WITH s AS (SELECT p_brand FROM part GROUP BY p_brand HAVING count(*) >= 2), x AS (SELECT t.p_type, s.p_brand, count(p.p_partkey) AS n
  FROM (SELECT DISTINCT p_type FROM part) t CROSS JOIN s LEFT JOIN part p ON p.p_type = t.p_type AND p.p_brand = s.p_brand GROUP BY ALL)
 SELECT p_type, p_brand, n, round(n / CAST(sum(n) OVER (PARTITION BY p_type) AS DOUBLE), 6) AS share FROM x""",

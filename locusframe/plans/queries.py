@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from locusframe.functions import alleles, text
 from locusframe.operators import association, clustering, encoding, haplotypes, plotdata, traits
 from locusframe.sources import lens, readers
+from locusframe.sources.scratch import cut
 
 G1, G2 = "BUILDING", "AUTOMOBILE"
 ALPHA, THRESHOLD, MIN_COUNT = 0.05, 0.2, 20
@@ -52,8 +53,8 @@ class Lens:
         self.copies = haplotypes.sample_haps(self.seqs, self.haps)
 
     def clustered(self, threshold: float = THRESHOLD) -> DataFrame:
-        self.seqs = clustering._cut(self.seqs)
-        self.haps = clustering._cut(haplotypes.rank(self.seqs))
+        self.seqs = cut(self.seqs)
+        self.haps = cut(haplotypes.rank(self.seqs))
         self.copies = haplotypes.sample_haps(self.seqs, self.haps)
         return clustering.clusters(self.haps, threshold)
 
@@ -61,8 +62,10 @@ class Lens:
         return association.fisher_table(self.sites, self.calls, self.groups, G1, G2, ALPHA, adjust)
 
     def traits(self) -> DataFrame:
-        s = self.samples.where("sample_ord % 10 <> 0")
-        return s.select(F.col("sample").alias("Accession"), "balance", (F.col("sample_ord") * 7 % 100).cast("double").alias("score"))
+        """Every sample has its row; a tenth has no values, and the score leans on the founder."""
+        known = lambda v: F.when(F.col("sample_ord") % 10 != 0, v)
+        score = (F.col("sample_ord") * 7 % 100 + 20 * F.col("f1")).cast("double")
+        return self.samples.select(F.col("sample").alias("Accession"), known(F.col("balance")).alias("balance"), known(score).alias("score"))
 
     def hap_group(self) -> DataFrame:
         named = haplotypes.classes(self.copies, self.clustered(), self.mode)
@@ -73,7 +76,7 @@ class Lens:
 
     def values(self) -> DataFrame:
         # read by every test: computed once
-        return clustering._cut(traits.long_traits(self.hap_group(), "ClusterID", TRAITS, ["region_ord"], MIN_COUNT))
+        return cut(traits.long_traits(self.hap_group(), "ClusterID", TRAITS, ["region_ord"], MIN_COUNT))
 
 
 @query
@@ -301,12 +304,12 @@ def q35_pie_labels(spark, sf_dir):
 
 @query
 def q36_kruskal(spark, sf_dir):
-    return plain(traits.kruskal(Lens(spark, sf_dir).values(), ["region_ord"]).select("region_ord", "trait", "n", "k", "h"))
+    return plain(traits.kruskal(Lens(spark, sf_dir).values(), ["region_ord"]).select("region_ord", "trait", "n", "k", "h", "pvalue"))
 
 
 @query
 def q37_mannwhitney(spark, sf_dir):
-    return plain(traits.pairwise(Lens(spark, sf_dir).values(), ["region_ord"]).select("region_ord", "trait", "class1", "class2", "n1", "n2", "u", "z"))
+    return plain(traits.pairwise(Lens(spark, sf_dir).values(), ["region_ord"]).select("region_ord", "trait", "class1", "class2", "n1", "n2", "mean1", "mean2", "u", "z", "pvalue", "padj"))
 
 
 @query
@@ -402,7 +405,7 @@ def q48_price_by_flag(spark, sf_dir):
     """Kruskal-Wallis of line prices by return flag."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.lit(0).alias("region_ord"), "l_returnflag", "l_extendedprice", "l_quantity")
     values = traits.long_traits(lines, "l_returnflag", ["l_extendedprice", "l_quantity"], ["region_ord"])
-    return plain(traits.kruskal(values, ["region_ord"]).select("trait", "n", "k", "h"))
+    return plain(traits.kruskal(values, ["region_ord"]).select("trait", "n", "k", "h", "pvalue"))
 
 
 @query

@@ -1,12 +1,14 @@
 """Scans: variant calls, sample groups, traits, regions, gene annotation.
 
 Text is read with ``spark.read.text`` (gzip included) and parsed by column
-expressions.  Variant text can be ingested once to Parquet sorted by position
-(``ingest``), after which region predicates are pushed to the scan.
+expressions.  Variant text can be ingested once to Parquet by chromosome, sorted
+by position (``ingest``); the intervals of a short region list are literals of the
+scan, so other chromosomes' files and row groups of other places are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,7 +17,13 @@ from pyspark.sql import functions as F
 from locusframe.functions import alleles, text
 
 REGION_SCHEMA = "region_ord int, chrom string, start long, stop long"
-VARIANT_SUFFIXES = (".vcf", ".vcf.gz", ".vcf.bgz")
+VARIANT_SUFFIXES = (".vcf", ".vcf.gz")
+RECORD_SCHEMA = "ord long, pos long, vid string, ref string, alts array<string>, info string, fmt string, cells array<string>, chrom string"
+#: Regions, or chromosomes of a longer list, that become literals of a scan.
+MOST_LITERALS = 200
+
+
+BACKENDS = ("auto", "cyvcf2", "pysam", "plain", "parquet")
 
 
 class InputError(ValueError):
@@ -23,10 +31,16 @@ class InputError(ValueError):
 
 
 def variant_format(path: str, wanted: str = "auto") -> str:
-    """The format of a path; a named one is taken as it is."""
-    if wanted not in ("auto", "plain", "parquet"):
-        raise InputError(f"variant format {wanted!r} needs a reader that is not installed; use auto, plain or parquet")
-    if wanted != "auto":
+    """The format of a path; a named one is taken as it is.
+
+    The names of indexed readers are accepted: what they would fetch is read from
+    the text, or from the ingested table, by the same region predicate.
+    """
+    if wanted not in BACKENDS:
+        raise InputError(f"unknown variant backend {wanted!r}; use one of {', '.join(BACKENDS)}")
+    if path.endswith(".bcf"):
+        raise InputError(f"{path}: binary variants have no reader here; convert them to text")
+    if wanted in ("plain", "parquet"):
         return wanted
     return "plain" if path.endswith(VARIANT_SUFFIXES) else "parquet"
 
@@ -38,7 +52,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_region(spec: str) -> tuple[str, int, int]:
     """``chrom:start-end``, both ends included."""
-    m = re.fullmatch(r"([^:]+):(\d+)-(\d+)", spec.strip().replace(",", ""))
+    m = re.fullmatch(r"([^:]+):(\d+)-(\d+)", spec.strip())
     if not m or int(m[2]) < 1 or int(m[3]) < int(m[2]):
         raise InputError(f"region {spec!r} is not chrom:start-end with 1 <= start <= end")
     return m[1], int(m[2]), int(m[3])
@@ -120,7 +134,7 @@ def parse_records(lines: DataFrame) -> DataFrame:
 def read_variants(spark: SparkSession, path: str, fmt: str = "auto") -> DataFrame:
     """Records (ord, chrom, pos, vid, ref, alts, info, fmt, cells)."""
     if variant_format(path, fmt) == "parquet":
-        return spark.read.parquet(path)
+        return spark.read.schema(RECORD_SCHEMA).parquet(path)
     return parse_records(_lines(spark, path))
 
 
@@ -130,8 +144,21 @@ def ingest(spark: SparkSession, path: str, out: str) -> None:
     records.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos", "ord").write.partitionBy("chrom").mode("overwrite").parquet(out)
 
 
+def _reach(regions: DataFrame) -> Column:
+    """A literal predicate that holds in every region, so that scans can prune."""
+    spans = regions.select("chrom", "start", "stop").limit(MOST_LITERALS + 1).collect()
+    if len(spans) > MOST_LITERALS:
+        spans = regions.groupBy("chrom").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).limit(MOST_LITERALS + 1).collect()
+    if not spans:
+        return F.lit(False)
+    if len(spans) > MOST_LITERALS:
+        return F.lit(True)
+    return functools.reduce(Column.__or__, [(F.col("chrom") == r["chrom"]) & F.col("pos").between(r["start"], r["stop"]) for r in spans])
+
+
 def in_regions(records: DataFrame, regions: DataFrame) -> DataFrame:
     """Records by region; positions only, both ends included."""
+    records = records.where(_reach(regions))
     # an equi-join on the chromosome with the interval as residual: the planner
     # broadcasts the regions if their size allows it
     r = regions.select("region_ord", F.col("chrom").alias("_c"), "start", "stop")
@@ -185,8 +212,3 @@ def features_in(features: DataFrame, regions: DataFrame) -> DataFrame:
 def pool(header: DataFrame, groups: DataFrame) -> DataFrame:
     """Samples of the calls that have a group, in file order."""
     return header.join(groups, "sample", "left_semi")
-
-
-def numeric(col: Column) -> Column:
-    """A number, or null."""
-    return col.cast("string").try_cast("double")

@@ -80,6 +80,17 @@ def test_fisher(spark):
     assert got[(8, 32, 40, 0)] == pytest.approx(1.00542e-12, rel=1e-5)
 
 
+def test_published_site_tests(spark):
+    """Counts of eight sites in the published demo, with their tests and adjusted values."""
+    counts = [(12, 28, 40, 0)] + [(0, 40, 23, 17)] * 5 + [(12, 28, 21, 19), (12, 28, 40, 0)]
+    df = spark.createDataFrame([(0, i, *c) for i, c in enumerate(counts)], "g int, i int, a long, b long, c long, d long").withColumn("p", statistics.fisher_exact(*map(F.col, "abcd")))
+    got = statistics.benjamini_hochberg(df, "p", "q", ["g"]).orderBy("i").collect()
+    assert [r["p"] for r in got] == [pytest.approx(v, rel=1e-5) for v in [3.839359e-12] + [2.597900e-09] * 5 + [0.0685011, 3.839359e-12]]
+    assert [r["q"] for r in got] == [pytest.approx(v, rel=1e-5) for v in [1.53574e-11] + [2.96903e-09] * 5 + [0.0685011, 1.53574e-11]]
+    more = spark.createDataFrame([(8, 32, 17, 23), (11, 29, 40, 0), (11, 29, 20, 20)], "a long, b long, c long, d long")
+    assert [r[0] for r in more.select(statistics.fisher_exact(*map(F.col, "abcd"))).collect()] == [pytest.approx(v, rel=1e-5) for v in (0.0525327, 8.86006e-13, 0.065572)]
+
+
 def test_adjustment_is_monotone_and_skips_nulls(spark):
     rows = [(0, p) for p in (0.01, 0.04, 0.03, 0.5, 0.01, None)]
     got = statistics.benjamini_hochberg(spark.createDataFrame(rows, "g int, p double"), "p", "q", ["g"]).collect()
@@ -95,8 +106,8 @@ def test_chi_square_and_normal_tails(spark):
     assert got[1:4] == [pytest.approx(0.05, rel=1e-9)] * 3 and got[4] == 1.0
 
 
-def test_published_trait_numbers(spark):
-    """Two classes of 57 and 54 values: tie-corrected z and its p-value."""
+def test_rank_sum_by_hand(spark):
+    """Two classes of ten values with ties: tie-corrected z and its p-value."""
     rng_values = [("x", float(v)) for v in [1, 2, 2, 3, 5, 8, 8, 9, 9, 9]] + [("y", float(v)) for v in [4, 6, 6, 7, 8, 10, 11, 12, 12, 13]]
     df = spark.createDataFrame([(0, c, v) for c, v in rng_values], "region_ord int, cls string, v double")
     values = traits.long_traits(df, "cls", ["v"], ["region_ord"])
@@ -122,6 +133,53 @@ def test_exact_rank_sum(spark):
     assert got["pvalue"] == pytest.approx(min(1.0, 2 * sum(x >= big for x in us) / len(us)))
 
 
+def test_exact_rank_sum_of_many(spark):
+    df = spark.createDataFrame([(8, 3000, 16000.0), (3, 4, 12.0), (1, 1, 1.0), (2, 3, 3.0)], "a long, b long, u double")
+    got = [r[0] for r in df.select(statistics.exact_rank_sum_p(F.col("a"), F.col("b"), F.col("u"))).collect()]
+    z = (16000 - 12000 - 0.5) / math.sqrt(8 * 3000 * 3009 / 12)
+    assert got[0] == pytest.approx(math.erfc(z / math.sqrt(2)), rel=0.02)
+    assert got[1:] == [pytest.approx(2 / 35), 1.0, 1.0]
+
+
+def test_average_ranks_over_parts(spark):
+    rows = [(g, float(i * 7 % 40)) for g in (0, 1) for i in range(150 + g)]
+    df = spark.createDataFrame(rows, "g int, value double").repartition(7)
+    got = {(r["g"], r["value"]): (r["t"], r["r"]) for r in traits.average_ranks(df, ["g"]).collect()}
+    for g in (0, 1):
+        vs = sorted(v for k, v in rows if k == g)
+        for v in set(vs):
+            assert got[(g, v)] == (vs.count(v), vs.index(v) + (vs.count(v) + 1) / 2)
+
+
+def test_symbols_lists_stems_and_colours(spark):
+    ps = spark.createDataFrame([(None,), (float("nan"),), (0.001,), (0.01,), (0.05,), (0.0501,)], "p double")
+    assert [r[0] for r in ps.select(text.significance(F.col("p"))).collect()] == ["NA", "NA", "***", "**", "*", "ns"]
+    assert text.csv_list(" a, ,b,") == ["a", "b"] and text.csv_list(" , ") is None and text.csv_list(None) is None
+    assert text.level_column("hap") == "Hap" and text.level_column("cluster") == "ClusterID"
+    with pytest.raises(ValueError, match="hap or cluster"):
+        text.level_column("gene")
+    assert [text.level_stem(level, stem) for level in ("hap", "cluster") for stem in ("Groups", "GeneHaplotype")] == [".Groups", ".GeneHaplotype", ".ClusterGroups", ".GeneClusterHaplotype"]
+    assert text.file_label("chr 1/x:1-2_3.b") == "chr_1_x_1-2_3.b"
+    got = [r[0] for r in spark.range(25).select(plotdata.colours(F.col("id"))).collect()]
+    assert got[:12] == list(plotdata.PALETTE) and got[12:24] == got[:12] and got[24] == got[0]
+
+
+def test_jitter_stays_near_its_class(spark):
+    values = spark.createDataFrame([(0, "v", 1, float(i)) for i in range(200)] + [(0, "v", 2, None)], "region_ord int, trait string, ord int, value double")
+    got = traits.jitter_points(values).collect()
+    assert len(got) == 200 and all(abs(r["x"] - 1) < 0.3 for r in got) and len({r["x"] for r in got}) == 200
+
+
+def test_adjustment_switch(spark):
+    sites = spark.createDataFrame([(0, k, "c", k, f"v{k}") for k in (1, 2)], "region_ord int, site_ord long, chrom string, pos long, vid string")
+    calls = spark.createDataFrame([(0, k, f"s{i}", [int(i < 4 + 2 * k)]) for k in (1, 2) for i in range(12)], "region_ord int, site_ord long, sample string, gt array<int>")
+    groups = spark.createDataFrame([(f"s{i}", "a" if i < 6 else "b") for i in range(12)], "sample string, grp string")
+    raw, adjusted = ({r["site_ord"]: (r["pvalue"], r["padj"]) for r in association.fisher_table(sites, calls, groups, "a", "b", 0.05, how).collect()} for how in ("none", "FDR"))
+    assert all(p == q for p, q in raw.values())
+    ps = sorted(p for p, _ in raw.values())
+    assert sorted(q for _, q in adjusted.values()) == [pytest.approx(min(2 * ps[0], ps[1])), pytest.approx(ps[1])]
+
+
 def test_trait_edge_cases(spark):
     rows = [(0, "x", 5.0, None), (0, "x", 5.0, None), (0, "y", 5.0, 1.0), (0, "y", 5.0, 2.0)]
     values = traits.long_traits(spark.createDataFrame(rows, "region_ord int, cls string, same double, half double"), "cls", ["same", "half"], ["region_ord"])
@@ -218,14 +276,137 @@ def test_analysis_end_to_end(spark, files, tmp_path, ploidy, mode):
     assert sum(x["count"] for x in shares) == 120
 
 
+SMALL = """##fileformat=VCFv4.2
+#CHROM	POS	ID	REF	ALT	QUAL	FILTER	INFO	FORMAT	s1	s2	x	s3
+01	100	v1	A	G	.	PASS	.	GT	0|0	1|1	0|0	0|1
+1	150	v0	A	G	.	PASS	.	GT	0|0	1|1	0|0	0|1
+01	200	.	AC	A,<DEL>	.	PASS	SVTYPE=DEL;SVLEN=-40	GT:DP	0|1:3	.|1:2	0|0:1	2|2:9
+01	300	v3	T	TG	.	q10	.	GT	0/0	1|1	0|0	1|1
+01	301	v4	T	G	.	PASS	.	GT	0/0	1|1	0|0	1|1
+"""
+# what each file holds, worked out by hand
+FILES = {
+    "ProcessedVariants.tsv": "CHROM POS ID REF ALT AlleleTokens\n01 100 v1 A G A,G\n01 200 01:200 AC A,<DEL> REF2,-1,-40\n01 300 v3 T TG T,+1\n",
+    "SampleGenotypeTokens.tsv": "CHROM POS ID s1 s2 s3\n01 100 v1 A/A G/G A/G\n01 200 01:200 REF2/-1 N/-1 -40/-40\n01 300 v3 T/T +1/+1 +1/+1\n",
+    "HapSummary.tsv": "Hap ClusterID 100 200 300 Accession Number\nCHR _ 01 01 01 _ NA\nPOS _ 100 200 300 _ NA\nHap001 HapC1 A REF2/-1 T s1 1\nHap002 HapC2 A/G -40 +1 s3 1\nHap003 HapC2 G -1 +1 s2 1\n",
+    "HapGroup.tsv": "Hap ClusterID Accession Type Height_(cm)\nHap001 HapC1 s1 A 1.5\nHap003 HapC2 s2 A _\nHap002 HapC2 s3 B _\n",
+    "Haplotype.fa": ">Hap001\nAGT\n>Hap002\nCCA\n>Hap003\nGAA\n",
+    "Haplotype.phy": "3~3\nHap001~AGT\nHap002~CCA\nHap003~GAA\n",
+    "Haplotype.nex": '#NEXUS\n\nBEGIN~DATA;\n~~DIMENSIONS~NTAX=3~NCHAR=3;\n~~FORMAT~DATATYPE=STANDARD~SYMBOLS="ACGT"~MISSING=N~GAP=-;\n~~MATRIX\n~~Hap001~AGT\n~~Hap002~CCA\n~~Hap003~GAA\n~~;\nEND;\n',
+    "AlleleStateMap.tsv": "CHROM POS OriginalToken EncodedState\n01 100 A A\n01 100 A/G C\n01 100 G G\n01 200 -1 A\n01 200 -40 C\n01 200 REF2/-1 G\n01 300 +1 A\n01 300 T T\n",
+    "Haplotype_sample.fa": ">s1|Hap001\nAGT\n>s2|Hap003\nGAA\n>s3|Hap002\nCCA\n",
+}
+
+
+@pytest.fixture(scope="module")
+def small(tmp_path_factory):
+    d = tmp_path_factory.mktemp("small")
+    (d / "v.vcf").write_text(SMALL)
+    (d / "g.tsv").write_text("s3\tB\ns1\tB\textra\n\n# note\ns2\tA\ns1\tA\ngone\tB\n")
+    (d / "t.tsv").write_text("name\tHeight (cm)\ns1\t1.5\ns2\t\n")
+    return d
+
+
+@pytest.mark.parametrize("backend", ["cyvcf2", "parquet"])
+def test_bytes_of_the_files(spark, small, tmp_path, backend):
+    source = small / "v.vcf"
+    if backend == "parquet":
+        source = tmp_path / "records"
+        readers.ingest(spark, str(small / "v.vcf"), str(source))
+    o = Options(fisher_groups=("A", "B"), fisher_alpha=1.0, cluster_threshold=0.7, vcf_backend=backend)
+    if backend == "parquet":
+        regions = readers.read_regions(spark, "01:100-300")
+        got = readers.sites_of(readers.in_regions(readers.read_variants(spark, str(source), backend), regions)).orderBy("pos").collect()
+        # the name of a chromosome stays as it is written
+        assert [(r["chrom"], r["pos"], r["vid"]) for r in got] == [("01", 100, "v1"), ("01", 200, "01:200"), ("01", 300, "v3")]
+        return
+    r = Engine(spark).analyze(str(source), str(small / "g.tsv"), str(tmp_path / "out"), "01:100-300", trait_file=str(small / "t.tsv"), options=o)
+    for name, want in FILES.items():
+        lines = want.split("\n")
+        if name.endswith(".tsv"):
+            lines = ["\t".join("" if v == "_" else v.replace("_(", " (") for v in line.split(" ")) for line in lines]
+        with open(tmp_path / "out" / f"01_100_300.{name}", encoding="utf-8") as f:
+            assert f.read() == "\n".join(lines).replace("~", " "), name
+    table = [line.split("\t") for line in open(r.paths[0]["fisher"]).read().splitlines()]
+    assert table[0] == ["CHROM", "POS", "ID", "A_ALT", "A_REF", "B_ALT", "B_REF", "pvalue", "padj", "keep"]
+    assert [row[:7] for row in table[1:]] == [["01", "100", "v1", "1", "1", "1", "0"], ["01", "200", "01:200", "2", "0", "1", "0"], ["01", "300", "v3", "1", "1", "1", "0"]]
+    assert all(float(row[7]) == pytest.approx(1.0) and row[9] == "True" for row in table[1:])
+
+
+def test_hybrid_sample_names(spark, small, tmp_path):
+    r = Engine(spark).analyze(str(small / "v.vcf"), str(small / "g.tsv"), str(tmp_path), "01:100-300", options=Options(mode="hybrid", cluster_threshold=0.0))
+    names = open(r.paths[0]["sample_fasta"]).read().splitlines()[::2]
+    assert [n.split("|")[:2] for n in names] == [[f">{s}", f"copy{c}"] for s in ("s1", "s2", "s3") for c in (1, 2)]
+
+
+def test_regions_prune_the_scan(spark, small, tmp_path):
+    readers.ingest(spark, str(small / "v.vcf"), str(tmp_path / "v"))
+    regions = readers.read_regions(spark, "1:100-200")
+    found = readers.in_regions(readers.read_variants(spark, str(tmp_path / "v"), "parquet"), regions)
+    assert [(r["chrom"], r["pos"]) for r in found.collect()] == [("1", 150)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(chrom" in plan and "= 1)" in plan and "GreaterThanOrEqual(pos,100)" in plan and "LessThanOrEqual(pos,200)" in plan
+
+
+def test_many_regions_still_prune(spark, monkeypatch):
+    monkeypatch.setattr(readers, "MOST_LITERALS", 2)
+    records = spark.createDataFrame([("a", 5), ("a", 50), ("b", 7), ("c", 9)], "chrom string, pos long")
+    for chroms, want in ((["a", "a", "b"], [("a", 5), ("a", 50), ("b", 7)]), (["a", "b", "c"], [("a", 5), ("b", 7), ("c", 9)])):
+        rows = [(i, c, 1 + 40 * (chroms[:i].count(c)), 10 + 45 * (chroms[:i].count(c))) for i, c in enumerate(chroms)]
+        got = readers.in_regions(records, spark.createDataFrame(rows, readers.REGION_SCHEMA)).select("chrom", "pos").collect()
+        assert sorted(map(tuple, got)) == want
+    assert readers.in_regions(records, spark.createDataFrame([], readers.REGION_SCHEMA)).count() == 0
+
+
+def test_command_line(spark, small, tmp_path, capsys):
+    from locusframe.cli import main, parser
+
+    a = parser().parse_args(["analyze", "--vcf", "v", "--group", "g", "--traits", "t", "--gff", "x", "--outdir", "o", "--vcf-backend", "pysam", "--plot-format", "png,svg"])
+    assert (a.group_file, a.trait_file, a.gff_file, a.mode, a.hetero_policy, a.fisher_adjust, a.cluster_threshold, a.plot_hap_level, a.plot_min_count) == ("g", "t", "x", "inbred", "slash", "none", 0.15, "hap", 1)
+    with pytest.raises(SystemExit) as end:
+        main(["--version"])
+    assert end.value.code == 0
+    gff = small / "a.gff3"
+    gff.write_text("01\ts\tgene\t90\t310\t.\t+\t.\tID=g;Name=G1\n01\ts\texon\t120\t200\t.\t+\t.\tID=e\n")
+    where = ["--vcf", str(small / "v.vcf"), "--region", "01:100-300"]
+    assert main(["prepare", *where, "--outdir", str(tmp_path / "p")]) == 0
+    assert open(tmp_path / "p" / "01_100_300.ProcessedVariants.tsv").read().count("\n") == 4
+    assert main(["ingest", "--vcf", str(small / "v.vcf"), "--out", str(tmp_path / "records")]) == 0
+    more = ["--group", str(small / "g.tsv"), "--traits", str(small / "t.tsv"), "--gff", str(gff), "--plot", "--plot-hap-level", "cluster", "--cluster-threshold", "0.7", "--no-processed", "--trait-cols", "Height (cm),none"]
+    assert main(["analyze", *where, *more, "--outdir", str(tmp_path / "a")]) == 0
+    said = capsys.readouterr()
+    assert "01_100_300.HapSummary.tsv" in said.out and "data tables" in said.err
+    names = {p.name.removeprefix("01_100_300.") for p in (tmp_path / "a").iterdir()}
+    assert {"ClusterTraitSignificance.tsv", "GeneClusterHaplotype_blocks.tsv", "Clusterplot_matrix.tsv", "Clusterplot_points.tsv"} <= names and "ProcessedVariants.tsv" not in names
+    shown = open(tmp_path / "a" / "01_100_300.Clusterplot_matrix.tsv").read().splitlines()
+    assert shown[0].split("\t")[-1] == "colour" and len(shown) == 1 + 2 * 3
+
+
+def test_min_count_hides_rows_of_the_matrix(spark, files, tmp_path):
+    e = Engine(spark)
+    r = e.analyze(str(files / "p1.vcf"), str(files / "groups.tsv"), str(tmp_path), "ChrDemo:900-2900", options=Options(min_count=20, write_processed=False))
+    sizes = {h["hap"]: h["n"] for h in r.haps.collect()}
+    assert {x["hap"] for x in e.plot_data(r)["matrix"].collect()} == {h for h, n in sizes.items() if n >= 20} != set(sizes)
+
+
+def test_groups_without_alpha_filter_nothing(spark, small, tmp_path):
+    with pytest.warns(UserWarning, match="not filtered"):
+        r = Engine(spark).analyze(str(small / "v.vcf"), str(small / "g.tsv"), str(tmp_path), "01:100-301", options=Options(fisher_groups=("A", "B")))
+    assert r.fisher is None and r.sites.count() == 4
+
+
 def test_prepare_and_errors(spark, files, tmp_path):
     e = Engine(spark)
     out = e.prepare(str(files / "p1.vcf"), str(tmp_path), "ChrDemo:1-50", str(files / "regions.tsv"))
     assert len(out) == 2 and len(open(out[0][0]).read().splitlines()) == 9
     with pytest.raises(EmptyRegion):
         e.analyze(str(files / "p1.vcf"), str(files / "groups.tsv"), str(tmp_path), "ChrDemo:1-50")
-    with pytest.raises(readers.InputError):
-        readers.parse_region("ChrDemo:9-1")
+    for spec in ("ChrDemo:9-1", "ChrDemo:1,000-2,000", "ChrDemo", "a:b:1-2", "c:0-5"):
+        with pytest.raises(readers.InputError):
+            readers.parse_region(spec)
+    for path, backend in (("x.bcf", "auto"), ("x.vcf", "tabix")):
+        with pytest.raises(readers.InputError):
+            readers.variant_format(path, backend)
     bad = files / "bad.tsv"
     bad.write_text("C001 Cultivar\n")
     with pytest.raises(readers.InputError):
