@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from locusframe.llm import bpe, decontam, ngram_join, pii, toxicity
 from locusframe.llm.common import materialize, table
-from locusframe.llm.queries import tokenizer_path
+from locusframe.llm.queries import pii_key, tokenizer_path
 
 #: Near duplicates: five words, similarity of 0.8.
 WORDS, PERCENT = 5, 80
@@ -47,7 +47,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values become pseudonyms; the length follows the text."""
-    return pii.pseudonymize(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return pii.pseudonymize(docs, pii_key(spark)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,28 +4,36 @@ Personal values are found by pattern, validated, and replaced by a keyed
 permutation of the same format, so equal values stay linked over documents and
 the text keeps its shape:
 
-* payment cards: 16 digits; all but the last are permuted; a card whose check
-  digit holds (Luhn) gets a new right check digit, other 16-digit numbers
-  (account-like) are permuted whole;
-* phones: the digits after ``+``, separators kept;
+* payment cards: 16 digits, or 13, 14, 15 or 19 with an issuer's first digits; the
+  check digit must hold (Luhn); all but the last digit are permuted, and the
+  last is set right;
+* phones: the digits after ``+``, or of ten-digit forms; separators are kept;
 * IPv4 addresses: four octets of at most 255; a permutation of the 32 bits;
 * social security style numbers ``ddd-dd-dddd``: digits, separators kept;
 * dates ``yyyy-mm-dd`` and ``dd.mm.yyyy``/``dd/mm/yyyy``: valid calendar days
   from 1900 to 2099 are permuted among those days;
-* IBAN-like ids: letters and length kept, digits permuted;
-* e-mail addresses: the local part becomes as many letters and digits from a
-  keyed permutation of its digest, the host becomes ``example.invalid``;
-* secrets after ``token =``, ``key =``, ``secret =`` or ``password =``: hex digits permuted.
+* IBANs: the remainder by 97 must be right; letters and length are kept, the
+  account's digits are permuted, and the two check digits are set right.
+
+Two kinds of value have no fixed range to permute, so they get keyed digests:
+
+* e-mail addresses: the local part becomes as many hexadecimal digits (twelve at
+  least), the host becomes ``example.invalid``;
+* secrets after ``token =``, ``key =``, ``secret =`` or ``password =``: 16 or more
+  hexadecimal digits, or 12 or more letters and digits with some of both, become
+  as many hexadecimal digits.
 
 A value that fails its validation stays as it is.  A balanced Feistel network
-with round keys from a keyed digest permutes [0, A*B); values outside a wanted
-range are walked through the cycle until they fall in it, so it stays a
-permutation.  All of it is DataFrame expressions, evaluated in place in one
-narrow map: no shuffle, no Python on the executors.
+permutes [0, A*B); its round function is SHA-256 under the key, which the caller
+gives and which must be kept secret: whoever has it can invert the permutations.
+Values outside a wanted range are walked through the cycle until they fall in it,
+so it stays a permutation.  All of it is DataFrame expressions, evaluated in place
+in one narrow map: no shuffle, no Python on the executors.
 
 Defined results: a null text stays null with no values found; an empty text
-stays empty; other columns, whatever their names, pass through; repeated rows
-give equal results; an empty table gives an empty table.
+stays empty; texts and values of any length are handled whole; other columns,
+whatever their names, and ids of any kind pass through; repeated rows give equal
+results; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,30 +44,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 6
-DEFAULT_KEY = "locusframe"
 
 # fixed values: the formats looked for, the more particular ones first
+_NAMED = r"(?i:token|key|secret|password) ?[=:] ?\"?"
 PATTERNS = {
-    "secret": r"(?i:token|key|secret|password) ?[=:] ?\"?[0-9A-Fa-f]{16,}(?![0-9A-Za-z])",
-    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}",
+    "secret": _NAMED + r"(?:[0-9A-Fa-f]{16,}(?![0-9A-Za-z])|(?=[A-Za-z_+/.-]*[0-9])(?=[0-9_+/.-]*[A-Za-z])[0-9A-Za-z_+/.-]{12,})",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9][A-Za-z0-9-]*+\.)+[A-Za-z]{2,}",
     "date": r"(?<![\w.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![\w-]|\.[0-9])",
     "ssn": r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "ip": r"(?<![\w.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![\w]|\.[0-9])",
-    "phone": r"(?<![\w])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])",
-    "iban": r"(?<![\w])[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){2,7}(?: ?[0-9]{1,3})?(?![\w])",
-    "card": r"(?<![\w.-])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![\w-])",
+    "phone": r"(?<![\w])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w.-])[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.)[0-9]{4}(?![\w-])",
+    "iban": r"(?<![\w])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![\w])",
+    "card": r"(?<![\w.-])(?:[0-9]{4}(?:[ -]?[0-9]{4}){3}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}|3[0689][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{4}|4[0-9]{12}|6[0-9]{18})(?![\w-])",
 }
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
-def _round(key: str, tag: str) -> Callable[[Column, Column, Column], Column]:
-    """A keyed function of (half, round) to [0, size)."""
+def _keyed(key: str, tag: str, size: Column, *parts: Column) -> Column:
+    """A keyed function of the parts to [0, size): 60 bits of SHA-256."""
+    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tag), *[p.cast("string") for p in parts]), 256)
+    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), size)
 
-    def f(half: Column, i: Column, size: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(key), F.lit(tag), i, half), size)
 
-    return f
+def _digest(key: str, tag: str, value: Column, n: Column) -> Column:
+    """The first n hexadecimal digits of a keyed digest of any length."""
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 64).cast("int")), lambda i: F.sha2(F.concat_ws("|", F.lit(key), F.lit(tag), i.cast("string"), value), 256))
+    return F.substring(F.array_join(pieces, ""), F.lit(1), n)
 
 
 def permute_number(x: Column, a: Column, b: Column, key: str, tag: str) -> Column:
@@ -67,7 +78,6 @@ def permute_number(x: Column, a: Column, b: Column, key: str, tag: str) -> Colum
 
     Odd rounds add to the left modulo a, even rounds to the right modulo b.
     """
-    f = _round(key, tag)
     left, right = F.floor(x / b).cast("long"), F.pmod(x, b)
     # x / b is a double: exact below 2**53, and both factors stay under 2**26
     start = F.struct(left.alias("l"), right.alias("r"))
@@ -75,8 +85,8 @@ def permute_number(x: Column, a: Column, b: Column, key: str, tag: str) -> Colum
     def step(s: Column, i: Column) -> Column:
         odd = F.pmod(i, F.lit(2)) == 1
         return F.struct(
-            F.when(odd, F.pmod(s["l"] + f(s["r"], i, a), a)).otherwise(s["l"]).alias("l"),
-            F.when(odd, s["r"]).otherwise(F.pmod(s["r"] + f(s["l"], i, b), b)).alias("r"),
+            F.when(odd, F.pmod(s["l"] + _keyed(key, tag, a, i, s["r"]), a)).otherwise(s["l"]).alias("l"),
+            F.when(odd, s["r"]).otherwise(F.pmod(s["r"] + _keyed(key, tag, b, i, s["l"]), b)).alias("r"),
         )
 
     end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
@@ -111,8 +121,8 @@ def permute_digits(digits: Column, key: str, tag: str) -> Column:
 
         def step(st: Column, i: Column) -> Column:
             odd = F.pmod(i, F.lit(2)) == 1
-            fl = F.pmod(F.xxhash64(F.lit(key), F.lit(tag), n, salt, i, st["r"]), a)
-            fr = F.pmod(F.xxhash64(F.lit(key), F.lit(tag), n, salt, i, st["l"]), b)
+            fl = _keyed(key, tag, a, n, salt, i, st["r"])
+            fr = _keyed(key, tag, b, n, salt, i, st["l"])
             return F.struct(
                 F.when(odd, F.pmod(st["l"] + fl, a)).otherwise(st["l"]).alias("l"),
                 F.when(odd, st["r"]).otherwise(F.pmod(st["r"] + fr, b)).alias("r"),
@@ -161,18 +171,32 @@ def _only_digits(v: Column) -> Column:
 
 def _card(v: Column, key: str) -> Column:
     d = _only_digits(v)
-    body = permute_digits(F.substring(d, 1, 15), key, "card")
+    body = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
     check = F.pmod(F.lit(10) - F.pmod(_luhn_sum(body, True), F.lit(10)), F.lit(10))
     valid = F.pmod(_luhn_sum(d, False), F.lit(10)) == 0
-    return pour(v, F.when(valid, F.concat(body, check.cast("string"))).otherwise(permute_digits(d, key, "account")))
+    return F.when(valid, pour(v, F.concat(body, check.cast("string")))).otherwise(v)
 
 
 def _digits_kept(tag: str) -> Callable[[Column, str], Column]:
     return lambda v, key: pour(v, permute_digits(_only_digits(v), key, tag))
 
 
+def _mod97(s: Column) -> Column:
+    """The remainder of digits and letters (A is 10, Z is 35) read as one number."""
+
+    def step(r: Column, c: Column) -> Column:
+        return F.pmod(F.when(c.between("0", "9"), r * 10 + c.try_cast("int")).otherwise(r * 100 + F.ascii(c) - 55), F.lit(97))
+
+    return F.aggregate(F.filter(F.split(s, ""), lambda c: c != ""), F.lit(0), step)
+
+
 def _iban(v: Column, key: str) -> Column:
-    return F.concat(F.substring(v, 1, 2), pour(v.substr(F.lit(3), F.length(v)), permute_digits(_only_digits(v), key, "iban")))
+    flat = F.replace(v, F.lit(" "), F.lit(""))
+    country, rest = F.substring(flat, 1, 2), flat.substr(F.lit(5), F.length(flat))
+    valid = _mod97(F.concat(rest, F.substring(flat, 1, 4))) == 1
+    account = pour(rest, permute_digits(_only_digits(rest), key, "iban"))
+    check = F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+    return F.when(valid, pour(v, F.concat(check, _only_digits(account)))).otherwise(v)
 
 
 def _ip(v: Column, key: str) -> Column:
@@ -199,17 +223,13 @@ def _date(v: Column, key: str) -> Column:
 
 
 def _email(v: Column, key: str) -> Column:
-    local = F.substring_index(v, "@", 1)
-    digest = F.sha2(F.concat(F.lit(key), F.lit("|email|"), F.lower(v)), 256)
-    return F.concat(F.substring(digest, F.lit(1), F.least(F.greatest(F.length(local), F.lit(12)), F.lit(64))), F.lit("@example.invalid"))
+    n = F.greatest(F.length(F.substring_index(v, "@", 1)), F.lit(12))
+    return F.concat(_digest(key, "email", F.lower(v), n), F.lit("@example.invalid"))
 
 
 def _secret(v: Column, key: str) -> Column:
-    hexed = F.regexp_extract(v, r"([0-9A-Fa-f]{16,})$", 1)
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.floor((F.length(hexed) - 1) / 64).cast("int")), lambda i: F.sha2(F.concat(F.lit(key), F.lit("|secret|"), i.cast("string"), hexed), 256)
-    )
-    return F.concat(F.substring(v, F.lit(1), F.length(v) - F.length(hexed)), F.substring(F.array_join(pieces, ""), F.lit(1), F.length(hexed)))
+    value = F.regexp_extract(v, _NAMED + "(.*)$", 1)
+    return F.concat(F.substring(v, F.lit(1), F.length(v) - F.length(value)), _digest(key, "secret", value, F.length(value)))
 
 
 REPLACERS: dict[str, Callable[[Column, str], Column]] = {
@@ -239,11 +259,13 @@ def pseudonym(v: Column, kind: Column, key: str) -> Column:
     return out
 
 
-def pseudonymize(df: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY, found_col: str | None = None) -> DataFrame:
+def pseudonymize(df: DataFrame, key: str, text_col: str = "text", found_col: str | None = None) -> DataFrame:
     """``df`` with personal values in ``text_col`` replaced, columns as before.
 
-    ``found_col`` adds an array of (kind, value, pseudonym).
+    ``found_col`` adds an array of (kind, value, pseudonym) of what was replaced.
     """
+    if not key:
+        raise ValueError("give a key: pseudonyms without one can be inverted by anybody")
     text = df[text_col]
     # a text without any digit or @ cannot hold a value of these formats
     maybe = text.rlike(r"[0-9]{2}|@|(?i:token|key|secret|password) ?[=:]")
@@ -253,7 +275,7 @@ def pseudonymize(df: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY,
         lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), pseudonym(s["value"], s["kind"], key).alias("pseudonym")),
     )
     cols = df.columns
-    hidden = "_lf_pii_found"
+    hidden = "_lf_pii_seen"
     step = df.select(*[df[c] for c in cols], found.alias(hidden))
     gaps = F.split(F.col(text_col), ANY, -1)
     # gaps are one more than values: they interleave
@@ -263,5 +285,5 @@ def pseudonymize(df: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY,
     new = F.when(F.size(hidden) > 0, joined).otherwise(F.col(text_col))
     out = [new.alias(c) if c == text_col else F.col(c) for c in cols]
     if found_col:
-        out.append(F.col(hidden).alias(found_col))
+        out.append(F.filter(hidden, lambda s: s["value"] != s["pseudonym"]).alias(found_col))
     return step.select(*out)

@@ -19,6 +19,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The session's secret; the synthetic tables need none, so theirs is public."""
+    return spark.conf.get("spark.locusframe.pii.key", "key of the synthetic tables")
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False, keep_text=False)
 
@@ -37,7 +42,7 @@ def op4_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pii.pseudonymize(docs, found_col="found")
+    out = pii.pseudonymize(docs, pii_key(spark), found_col="found")
     return out.select("doc_id", "text", F.size("found").cast("long").alias("n_found"), F.array_join(F.transform("found", lambda s: s["kind"]), ",").alias("kinds"))
 
 
