@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import as_before, as_text, bounded_batches
+from .common import as_before, as_text, bounded_batches, release_memory
 
 CACHE_ENTRIES = 400_000
 CACHED_LENGTH = 64
@@ -184,7 +184,7 @@ _LOADED: dict[str, ForcedBoundaryBPE] = {}
 
 
 def tokenizer(path: str) -> ForcedBoundaryBPE:
-    """One per worker process: its cache stays warm over tasks."""
+    """One per worker process while a task runs."""
     if path not in _LOADED:
         _LOADED[path] = ForcedBoundaryBPE(path)
     return _LOADED[path]
@@ -204,6 +204,13 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = tokenizer(path)
+        try:
+            yield from encoded(bpe, it)
+        finally:
+            _LOADED.clear()
+            release_memory()
+
+    def encoded(bpe: ForcedBoundaryBPE, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             cols: dict[str, list] = {c: [] for c in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
             for text in pdf[text_col]:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusframe.sources import scratch
+
 U64 = np.uint64
 
 
@@ -44,37 +47,22 @@ def as_before(out: DataFrame, df: DataFrame, col: str) -> DataFrame:
     return out.withColumn(col, F.col(col).cast(dict(df.dtypes)[col]))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir.
-
-    Where it is unset, a session on one machine (tests) gets a folder of its own;
-    a cluster raises ``ValueError``.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + os.path.join(tempfile.gettempdir(), "locusframe-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Cut the lineage: write a table in the shared folder and read it back."""
-    path = f"{shared_dir(spark)}/lf-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lf_path = path
-    return out
+    return scratch.cut(df)
 
 
 def discard(spark: SparkSession, df: DataFrame | None) -> None:
     """Delete a table of ``materialize`` that no later plan reads."""
-    path = getattr(df, "_lf_path", None)
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    scratch.discard(df)
+
+
+def release_memory() -> None:
+    """Give a worker's freed memory back: workers live on through later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 FILTER_BITS = 1 << 26

@@ -52,7 +52,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, UnionFind, batches, bounded_batches, components, discard, long_id, materialize, maybe_in, mix64, to_bytes, word_hashes
+from .common import U64, UnionFind, batches, bounded_batches, components, discard, long_id, materialize, maybe_in, mix64, release_memory, to_bytes, word_hashes
 
 SLOTS, PIECES = 1 << 20, 64
 BLOCK_SHINGLES, BLOCK_ROWS = 250_000, 200
@@ -254,6 +254,8 @@ def _route(percent: int, words: int, order: np.ndarray):
                 yield from flush(sent)
                 sent, rows = {}, 0
         yield from flush(sent)
+        sent.clear()
+        release_memory()
 
     return run
 
@@ -366,6 +368,8 @@ def _search(percent: int, words: int):
                 rows.append(row)
         if len(rows) > 1:
             yield solve(rows)
+        rows.clear()
+        release_memory()
 
     return run
 
