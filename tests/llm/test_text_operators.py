@@ -361,6 +361,30 @@ def test_urls(spark, url, host, path, rule, verdict):
     assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict)
 
 
+def plain_judge(url, host_rules, pattern_rules):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = ("".join(c.lower() if "A" <= c <= "Z" else c for c in m[1]), m[2]) if m else ("", "")
+    own = max(((len(r.host + r.path), r.host + r.path, r.verdict) for r in host_rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)), default=None)
+    hit = any(re.search(r.pattern, host + path) for r in pattern_rules)
+    return host, path, own and own[1], own[2] if own else "block" if hit else "allow"
+
+
+@pytest.mark.parametrize("inline", [1000, 0])
+def test_many_url_rules(spark, monkeypatch, inline):
+    monkeypatch.setattr(url_filter, "MOST_INLINE", inline)
+    rng = random.Random(18)
+    label = lambda: rng.choice("abcdef") + rng.choice(["", "x", "y1"])
+    hosts = tuple(url_filter.Rule(rng.choice(["allow", "block"]), ".".join(label() for _ in range(rng.randrange(1, 4))), rng.choice(["", "/", "/a/", "/a/b.c"])) for _ in range(120))
+    hosts = tuple({(r.host, r.path): r for r in hosts}.values())
+    urls = [rng.choice(["http://", "x://", ""]) + ".".join(label() for _ in range(rng.randrange(1, 5))) + rng.choice(["", "/", "/a/", "/a/b?c", "/a/bXc", "/casino/", "/A/wp-admin"]) for _ in range(400)]
+    urls += [None, "", "http://a.b/" + "long/" * 9000 + "casino/", urls[0]]
+    ids = [None if i == 5 else f"p{i % 390}" for i in range(len(urls))]
+    df = spark.createDataFrame(list(zip(ids, urls, strict=True)), "page_id string, url string").withColumn("rule", F.lit(1)).repartition(3)
+    got = collections.Counter((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(df, host_rules=hosts).collect())
+    assert got == collections.Counter((i, *plain_judge(u, hosts, url_filter.PATTERN_RULES)) for i, u in zip(ids, urls, strict=True))
+    assert url_filter.judge(df.limit(0), host_rules=hosts).count() == 0
+
+
 # ------------------------------------------------------------------ 6 personal data
 
 
