@@ -52,7 +52,7 @@ GRAM = 24
 SAMPLE_DOCS = 2_000
 FLUSH = 400_000
 COMMON_GRAM = 64
-BUCKET_BYTES, MOST_BUCKETS, SAMPLES_PER_BUCKET = 4 << 20, 100_000, 32
+BUCKET_BYTES, MOST_BUCKETS, SAMPLES_PER_BUCKET = 1 << 20, 100_000, 8
 
 COVERED, ANCHOR, PART, CONTEXT, WINDOW = range(5)
 
@@ -171,9 +171,12 @@ def _changes(columns: list[np.ndarray]) -> np.ndarray:
 def _buckets(columns: list[np.ndarray], splitters: list[tuple[int, ...]]) -> np.ndarray:
     """Number of splitters at or below each row of sorted columns."""
     cuts = np.zeros(len(columns[0]) + 1, np.int64)
-    for splitter in splitters:
-        lo, hi = 0, len(columns[0])
-        for c, v in zip(columns, splitter, strict=True):
+    first = np.array([s[0] for s in splitters], np.int64)
+    low, high = np.searchsorted(columns[0], first, "left"), np.searchsorted(columns[0], first, "right")
+    np.add.at(cuts, low[low == high], 1)
+    for k in np.flatnonzero(low < high).tolist():  # later tokens decide
+        lo, hi = low[k], high[k]
+        for c, v in zip(columns[1:], splitters[k][1:], strict=True):
             lo, hi = lo + np.searchsorted(c[lo:hi], v, "left"), lo + np.searchsorted(c[lo:hi], v, "right")
         cuts[lo] += 1
     return np.cumsum(cuts)[:-1]
@@ -408,10 +411,11 @@ def _splitters(docs: DataFrame, length: int, gram: int) -> list[tuple[int, ...]]
     n = min(-(-(size or 0) // BUCKET_BYTES), MOST_BUCKETS)
     if n < 2:
         return []
-    # a document has dozens of anchors
-    sample = docs.sample(False, min(1.0, max(SAMPLE_DOCS, n * SAMPLES_PER_BUCKET // 20) / rows), 7)
-    found = sample.mapInPandas(_collect_anchors(length, gram, []), _ROWS).where(F.col("kind") == ANCHOR).select("t0", "t1", "t2", "doc", "loc")
-    some = found.orderBy(F.xxhash64("doc", "loc"), "doc", "loc").limit(n * SAMPLES_PER_BUCKET).select("t0", "t1", "t2").collect()
+    part = min(1.0, max(SAMPLE_DOCS, n * SAMPLES_PER_BUCKET // 20) / rows)
+    found = docs.sample(False, part, 7).mapInPandas(_collect_anchors(length, gram, []), _ROWS).where(F.col("kind") == ANCHOR)
+    # a window of w grams has its least one in about 2 of w + 1 places
+    share = n * SAMPLES_PER_BUCKET / max(1.0, size * part * 2 / (length - gram + 2))
+    some = found.where(F.pmod(F.xxhash64("doc", "loc"), F.lit(1 << 20)) < share * (1 << 20)).select("t0", "t1", "t2").collect()
     some = sorted(tuple(r) for r in some)
     return sorted({some[i * len(some) // n] for i in range(1, n)}) if some else []
 
