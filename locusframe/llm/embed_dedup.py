@@ -19,8 +19,9 @@ Vectors of one label (and length) link when their cosine reaches a threshold.
 
 Defined results: vectors or labels that are null, and vectors that are empty,
 zero, or hold null or non-finite components, link with nothing: no links, own
-component, kept.  Repeated rows with one id count as rows of that id's class.
-Other columns are ignored; an empty table gives an empty table.
+component, kept.  So do rows without an id, whose component is null.  Repeated
+rows with one id count as rows of that id's class.  A cosine equal to the threshold
+links.  Ids that are no integers raise ``TypeError``.  Other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UnionFind, components, discard, materialize
+from .common import bounded_batches, components, discard, long_id, materialize
 
 SAMPLE_ROWS = 4_000
 TILE_ROWS = 1_024
@@ -55,15 +56,15 @@ def fit_axes(sample: list[list[float]]) -> dict[int, np.ndarray]:
     return out
 
 
-def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    top = np.abs(vectors).max(axis=1, keepdims=True)
-    scaled = vectors / top
-    norm = np.linalg.norm(scaled, axis=1, keepdims=True)
-    return scaled / norm, scaled
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows by a power of two near their largest component: no square overflows,
+    and nothing is rounded, so a cosine right at the threshold stays there."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
 
 
 def _rotate(vectors: np.ndarray, axes: dict[int, np.ndarray]) -> np.ndarray:
-    u = _unit(vectors)[0]
+    u = _scaled(vectors)
+    u = u / np.linalg.norm(u, axis=1, keepdims=True)
     v = axes.get(vectors.shape[1])
     return u if v is None else u @ v
 
@@ -88,8 +89,7 @@ def tile_links(x: np.ndarray, y: np.ndarray, axes: dict[int, np.ndarray], thresh
         acc = acc[np.ix_(in_x, in_y)]
         if not acc.size:
             return keep_x, keep_y, np.zeros((len(keep_x), len(keep_y)), bool)
-    a, b = x[keep_x], y[keep_y]
-    a, b = a / np.abs(a).max(axis=1, keepdims=True), b / np.abs(b).max(axis=1, keepdims=True)
+    a, b = _scaled(x[keep_x]), _scaled(y[keep_y])
     cos = (a @ b.T) / (np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :])
     return keep_x, keep_y, cos >= threshold
 
@@ -97,6 +97,19 @@ def tile_links(x: np.ndarray, y: np.ndarray, axes: dict[int, np.ndarray], thresh
 _FOUND = "kind byte, a long, b long"
 
 
+def _stars(x: np.ndarray, y: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (id, smallest id) that span what a tile pair's links connect."""
+    ids, label = np.concatenate((x, y)), np.arange(len(x) + len(y))
+    for i in np.flatnonzero(link.any(axis=1)).tolist():
+        own = np.unique(np.append(label[len(x) + np.flatnonzero(link[i])], label[i]))
+        if len(own) > 1:
+            label[np.isin(label, own)] = own[0]
+    low = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(low, label, ids)
+    edge = low[label] != ids
+    return ids[edge], low[label][edge]
+
+
 def _solve(ids, mult, side, vectors, axes, threshold) -> pd.DataFrame:
     """Counts (kind 0: id, links) and forest edges (kind 1) of one tile pair."""
     left = side != 1
@@ -113,15 +126,9 @@ def _solve(ids, mult, side, vectors, axes, threshold) -> pd.DataFrame:
     if not own:
         counts_y = mx @ link
         got.append((iy[counts_y > 0], counts_y[counts_y > 0]))
-    uf = UnionFind()
-    columns = iy.tolist()
-    for i, row in zip(ix.tolist(), link, strict=True):
-        at = np.flatnonzero(row)
-        for j in at.tolist():
-            uf.join(i, columns[j])
-    a, b = uf.stars()
+    a, b = _stars(ix, iy, link)
     parts = [pd.DataFrame({"kind": np.int8(0), "a": i, "b": n.astype(np.int64)}) for i, n in got]
-    parts.append(pd.DataFrame({"kind": np.int8(1), "a": np.array(a, np.int64), "b": np.array(b, np.int64)}))
+    parts.append(pd.DataFrame({"kind": np.int8(1), "a": a, "b": b}))
     return pd.concat(parts).astype({"kind": "int8", "a": "int64", "b": "int64"})
 
 
@@ -163,9 +170,10 @@ def _cells(axes: dict[int, np.ndarray], width: float, n_axes: int):
 
 def near_duplicates(spark: SparkSession, df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, n_links, component_id, kept) for every row of ``df``."""
-    rows = df.select(df[id_col].cast("long").alias("id"), df[vec_col].alias("embedding"), df[label_col].alias("label"))
+    bounded_batches(spark)
+    rows = df.select(long_id(df, id_col).alias("id"), df[vec_col].alias("embedding"), df[label_col].alias("label"))
     e = F.col("embedding")
-    fine = F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0)
+    fine = F.col("id").isNotNull() & F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0)
     fine = fine & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
     valid = rows.where(F.coalesce(fine, F.lit(False)))
     classes = materialize(spark, valid.groupBy("label", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("mult")))
@@ -219,7 +227,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, threshold: float = 0.98,
     lone = rows.where(~F.coalesce(fine, F.lit(False))).select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
     discard(spark, placed)
     return members.union(lone).select(
-        F.col("id").alias(id_col), F.col("links").alias("n_links"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept")
+        F.col("id").alias(id_col), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept")
     )
 
 
