@@ -181,6 +181,21 @@ def test_repeated_runs_brute_force():
     assert (html_extract.repeated(tokens, page, 5) == want).all()
 
 
+def test_html_malformed_tags_and_odd_rows(spark):
+    texts = {
+        "<article><p title=it's>Hello</p></article>": "Hello",
+        '<article><p title="a > b" x=\'c > d\'>Hi</p><p a="b>c</p>': "Hi\n\nc",
+        '<article><p data-x=1"2>One<br/>two</p>': "One two",
+        "<article>3 < 4 and <> 5 <p/>next": "3 < 4 and <> 5\n\nnext",
+        "<article><p>" + "word " * 60_000 + "</p></article>": ("word " * 60_000).strip(),
+        "no tags": "no tags", "<p": "<p", "<!-- <article> -->x": "x",
+    }
+    rows = [(None if k == 2 else f"p{k}", f"http://h{k}.example/", t) for k, t in enumerate(texts)] * 2
+    df = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(1)
+    got = sorted((str(r["page_id"]), r["text"]) for r in html_extract.extract(df).collect())
+    assert got == sorted([(str(None if k == 2 else f"p{k}"), t) for k, t in enumerate(texts.values())] * 2)
+
+
 # ------------------------------------------------------------------ 3 n-gram join
 
 
@@ -342,6 +357,28 @@ def test_embeddings_brute_force(spark, monkeypatch):
     assert embed_dedup.near_duplicates(spark, df.limit(0)).count() == 0
 
 
+def test_embeddings_at_the_threshold(spark):
+    # 49 / 50 is the threshold itself; the next one is just below
+    rows = [(1, [1, 0, 0, 0]), (2, [49, 7, 7, 1]), (3, [0, 0, 0, 1]), (4, [49, 7, 7, 1.001]), (5, [0, 0, 0, 3e38]), (5, [0, 0, 0, 1e-38]), (None, [1, 0, 0, 0])]
+    df = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_duplicates(spark, df).collect()), key=str)
+    assert got == sorted([(1, 1, 1, True), (2, 2, 1, False), (3, 2, 3, True), (4, 1, 1, False), (5, 2, 3, False), (5, 2, 3, False), (None, 0, None, True)], key=str)
+    with pytest.raises(TypeError, match="integers"):
+        embed_dedup.near_duplicates(spark, df.withColumn("vec_id", F.lit("x")))
+
+
+def test_stars_span_what_links_connect():
+    rng = np.random.default_rng(9)
+    x, y = rng.permutation(100)[:40], 100 + rng.permutation(100)[:50]
+    link = rng.random((40, 50)) < 0.02
+    want, got = common.UnionFind(), common.UnionFind()
+    for i, j in zip(*np.nonzero(link), strict=True):
+        want.join(int(x[i]), int(y[j]))
+    for a, b in zip(*embed_dedup._stars(x, y, link), strict=True):
+        got.join(int(a), int(b))
+    assert all(want.find(v) == got.find(v) for v in [*x.tolist(), *y.tolist()])
+
+
 # ------------------------------------------------------------------ 5 urls
 
 
@@ -730,6 +767,15 @@ def test_too_long_substrings_raise(spark):
         suffix_dedup.dedup(spark, docs(spark, ["a"]), length=280)
 
 
+def test_buckets_of_sorted_rows():
+    rng = np.random.default_rng(2)
+    rows = sorted(map(tuple, rng.integers(0, 5, (400, 3)).tolist()))
+    splitters = sorted(set(map(tuple, rng.integers(0, 5, (40, 3)).tolist())))
+    got = suffix_dedup._buckets([np.array(c) for c in zip(*rows, strict=True)], splitters)
+    assert got.tolist() == [sum(s <= r for s in splitters) for r in rows]
+    assert suffix_dedup._buckets([np.array([1, 2])] * 3, []).tolist() == [0, 0]
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(1)
     cols = [rng.integers(0, 4, 9000), rng.integers(0, 50, 9000), rng.integers(0, 9, 9000)]
@@ -828,6 +874,9 @@ def test_language_held_out(spark):
     assert held and np.mean([got[i]["lang_pred"] == rows[i][2] for i in held]) >= 0.97
     assert [got[n + k]["lang_pred"] for k in range(4)] == ["und", "und", "und", "en"]
     assert all(0 <= r["score"] <= 1 for r in got.values())
+    odd = spark.createDataFrame([(None, "the and which", "en", None, None), (2**60 + 1, "été où", "fr", None, None), (2**60 + 1, "été où", "fr", None, None)], DOC)
+    again = langid.predict(odd.repartition(1), langid.learn(df)).collect()
+    assert sorted((r["doc_id"] or 0, r["lang_pred"]) for r in again) == [(0, "en"), (2**60 + 1, "fr"), (2**60 + 1, "fr")]
     nothing = langid.identify(spark, df.where("lang is null"))
     assert {r["lang_pred"] for r in nothing.collect()} == {"und"}
 
