@@ -9,11 +9,16 @@ from locusframe.functions.alleles import MISSING, allele_token, consensus, genot
 from locusframe.functions.text import hap_id
 
 
-def grid(sites: DataFrame, calls: DataFrame, pool: DataFrame) -> DataFrame:
+def grid(sites: DataFrame, calls: DataFrame, pool: DataFrame, complete: bool = False) -> DataFrame:
     """Every pooled sample at every site; gt null where there is no call.
 
-    The grid has as many rows as the calls it completes.
+    The grid has as many rows as the calls it completes.  Where the calls are known
+    to have a row for every sample at every site, they are the grid: they only get
+    the sites' tokens, and are not dealt out.
     """
+    if complete:
+        named = calls.select("region_ord", "site_ord", "sample", "sample_ord", "gt").join(pool.select("sample"), "sample", "left_semi")
+        return named.join(sites.select("region_ord", "site_ord", "tokens"), ["region_ord", "site_ord"])
     cells = pool.select("sample", "sample_ord").crossJoin(sites.select("region_ord", "site_ord", "tokens"))
     return cells.join(calls.select("region_ord", "site_ord", "sample", "gt"), ["region_ord", "site_ord", "sample"], "left")
 

@@ -67,7 +67,7 @@ class Engine:
         """Header, sites and calls of the regions."""
         header = readers.read_header(self.spark, vcf)
         records = readers.in_regions(readers.read_variants(self.spark, vcf, backend), regions)
-        return header, readers.sites_of(records), readers.calls_of(records, header)
+        return header, readers.sites_of(records), readers.calls_of(records, header, header.count())
 
     def _present(self, regions: DataFrame, sites: DataFrame, why: str) -> None:
         empty = regions.join(sites, "region_ord", "left_anti").orderBy("region_ord").limit(1).collect()
@@ -76,7 +76,10 @@ class Engine:
             raise EmptyRegion(f"{why} in {r['chrom']}:{r['start']}-{r['stop']}")
 
     def relations(self, regions: DataFrame, header: DataFrame, sites: DataFrame, calls: DataFrame, groups: DataFrame, trait_table: DataFrame | None, o: Options) -> Result:
-        """The lazy relations; the actions are the checks the inputs need."""
+        """The lazy relations; the actions are the checks the inputs need.
+
+        ``calls`` have a row for every sample of the header at every site.
+        """
         pool = readers.pool(header, groups)
         if pool.isEmpty():
             raise readers.InputError("no sample of the variants is in the group file")
@@ -91,7 +94,7 @@ class Engine:
                 self._present(regions, sites, "no variants left after the site test")
         elif o.fisher_groups:
             warnings.warn("site test groups without an alpha: sites are not filtered", stacklevel=2)
-        cells = haplotypes.grid(sites, calls, pool)
+        cells = haplotypes.grid(sites, calls, pool, complete=True)
         seqs = cut(haplotypes.sequences(cells, o.mode, o.hetero_policy))
         haps = cut(haplotypes.rank(seqs))
         copies = cut(haplotypes.sample_haps(seqs, haps))
@@ -134,7 +137,7 @@ class Engine:
         """Site and genotype tables of all samples; empty regions are left out."""
         regions = readers.read_regions(self.spark, region, region_file)
         header, sites, calls = self.located(vcf, regions, backend)
-        cells = haplotypes.grid(sites, calls, header)
+        cells = haplotypes.grid(sites, calls, header, complete=True)
         names = [r["sample"] for r in header.orderBy("sample_ord").collect()]
         out = []
         for r in regions.join(sites, "region_ord", "left_semi").orderBy("region_ord").collect():

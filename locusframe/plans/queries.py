@@ -47,7 +47,7 @@ class Lens:
         self.samples = lens.samples(spark, sf_dir)
         self.groups = self.samples.select("sample", "grp")
         self.pool = readers.pool(self.samples.select("sample", "sample_ord"), self.groups)
-        self.cells = haplotypes.grid(self.sites, self.calls, self.pool)
+        self.cells = haplotypes.grid(self.sites, self.calls, self.pool, complete=True)
         self.seqs = haplotypes.sequences(self.cells, mode, policy)
         self.haps = haplotypes.rank(self.seqs)
         self.copies = haplotypes.sample_haps(self.seqs, self.haps)

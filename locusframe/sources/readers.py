@@ -174,13 +174,19 @@ def sites_of(records: DataFrame) -> DataFrame:
     )
 
 
-def calls_of(records: DataFrame, header: DataFrame) -> DataFrame:
-    """One row per site and sample cell."""
-    cell = records.select("region_ord", F.col("ord").alias("site_ord"), "fmt", F.posexplode("cells").alias("sample_ord", "cell"))
+def calls_of(records: DataFrame, header: DataFrame, samples: int | None = None) -> DataFrame:
+    """One row per site and sample cell.
+
+    With the number of samples of the header, also a row for every sample that a
+    short line leaves out, with a null gt.
+    """
+    cells = F.col("cells")
+    if samples is not None:
+        cells = F.concat(cells, F.array_repeat(F.lit(None).cast("string"), F.greatest(F.lit(samples) - F.size("cells"), F.lit(0))))
+    cell = records.select("region_ord", F.col("ord").alias("site_ord"), "fmt", F.posexplode(cells).alias("sample_ord", "cell"))
     named = cell.join(header, "sample_ord")
-    return named.select(
-        "region_ord", "site_ord", "sample", "sample_ord", alleles.decode_genotype(F.col("fmt"), F.col("cell")).alias("gt"), alleles.is_phased(F.col("fmt"), F.col("cell")).alias("phased")
-    )
+    there = lambda c: F.when(F.col("cell").isNotNull(), c(F.col("fmt"), F.col("cell")))
+    return named.select("region_ord", "site_ord", "sample", "sample_ord", there(alleles.decode_genotype).alias("gt"), there(alleles.is_phased).alias("phased"))
 
 
 # fixed values: feature types that are shown

@@ -449,6 +449,17 @@ def test_hybrid_of_one_copy_equals_inbred(spark):
     assert got[0] == got[1] == [("a", ["A", "T"]), ("b", ["N", "N"]), ("c", ["N", "N"])]
 
 
+def test_short_lines_and_the_whole_grid(spark):
+    lines = spark.createDataFrame([(1, "c\t1\t.\tA\tG\t.\t.\t.\tGT\t0|1\t1"), (2, "c\t2\t.\tC\tT\t.\t.\t.\tGT\t0"), (3, "c\t3\t.\tC\tT\t.\t.\t.")], "ord long, line string")
+    header = spark.createDataFrame([(0, "a"), (1, "b")], "sample_ord int, sample string")
+    records = readers.in_regions(readers.parse_records(lines), spark.createDataFrame([(0, "c", 1, 9)], readers.REGION_SCHEMA))
+    sites, cols = readers.sites_of(records), ["site_ord", "sample", "gt"]
+    some = haplotypes.grid(sites, readers.calls_of(records, header), header).select(*cols).collect()
+    every = haplotypes.grid(sites, readers.calls_of(records, header, 2), header, complete=True).select(*cols).collect()
+    assert sorted(map(str, some)) == sorted(map(str, every)) and len(every) == 6
+    assert {(r["site_ord"], r["sample"]): r["gt"] for r in every} == {(1, "a"): [0, 1], (1, "b"): [1], (2, "a"): [0], (2, "b"): None, (3, "a"): None, (3, "b"): None}
+
+
 def test_same_group_twice(spark):
     calls = spark.createDataFrame([(0, 1, "a", [0, 1]), (0, 1, "b", [0, 0])], "region_ord int, site_ord long, sample string, gt array<int>")
     groups = spark.createDataFrame([("a", "g"), ("b", "g")], "sample string, grp string")
