@@ -590,10 +590,11 @@ def test_pii_values_stay_linked(spark):
 
 
 def test_pii_long_secrets(spark):
-    for n in (128, 129, 160, 5000):
-        value = "0123456789abcdef" * (n // 16) + "a" * (n % 16)
-        (got,) = pii.pseudonymize(docs(spark, [f"token = {value} end"]), KEY).collect()
-        assert re.fullmatch(rf"token = [0-9a-f]{{{n}}} end", got["text"]) and value[-64:] not in got["text"]
+    sizes = (128, 129, 160, 5000)
+    values = ["0123456789abcdef" * (n // 16) + "a" * (n % 16) for n in sizes]
+    got = by_id(pii.pseudonymize(docs(spark, [f"token = {v} end" for v in values]), KEY))
+    for i, (n, value) in enumerate(zip(sizes, values, strict=True)):
+        assert re.fullmatch(rf"token = [0-9a-f]{{{n}}} end", got[i]["text"]) and value[-64:] not in got[i]["text"]
 
 
 def test_feistel_is_a_permutation(spark):
