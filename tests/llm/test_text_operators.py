@@ -565,8 +565,8 @@ def test_pii_brute_force(spark):
             lambda: f"{rng.randrange(1, 32):02}{rng.choice('./')}{rng.randrange(1, 13):02}/{rng.randrange(1890, 2110)}".replace("/", rng.choice(["/", "."])), lambda: rng.choice(["a", "b.c-d", "x" * 80]) + "@" + rng.choice(["mail.example.com", "h.org", "-bad.com"]),
             lambda: rng.choice(["token = ", 'Key:"', "password=", "secret : "]) + rng.choice([num(20), "deadbeef" * 3, "Tr0ub4dor-and-3", "onlyletters", "x1" * 40]),
         ][k]()
-    texts = [None, "", " ".join(f"4539578763621486 word{i}" for i in range(3000))]
-    texts += [rng.choice(["", "see ", "é", "("]) + rng.choice([", ", " ", ".\n"]).join(one() for _ in range(rng.randrange(1, 5))) + rng.choice(["", ".", " end", ")"]) for _ in range(400)]
+    texts = [None, "", " ".join(f"4539578763621486 word{i}" for i in range(150)), "at 1.2.3.4", "KEY:deadbeefdeadbeef", "me@h.org", "secret=deadbeef", "a = b: c"]
+    texts += [rng.choice(["", "see ", "é", "("]) + rng.choice([", ", " ", ".\n"]).join(one() for _ in range(rng.randrange(1, 5))) + rng.choice(["", ".", " end", ")"]) for _ in range(150)]
     df = docs(spark, [*texts, texts[5]], [*range(len(texts)), None]).repartition(3)
     got = pii.pseudonymize(df, KEY).collect()
     plain, seen = PlainPii(), collections.Counter()
@@ -574,7 +574,7 @@ def test_pii_brute_force(spark):
         want = plain.text(texts[5 if r["doc_id"] is None else r["doc_id"]])
         assert r["text"] == want
         seen[want != texts[5 if r["doc_id"] is None else r["doc_id"]]] += 1
-    assert len(got) == len(texts) + 1 and seen[True] > 200
+    assert len(got) == len(texts) + 1 and seen[True] > 80
     assert pii.pseudonymize(docs(spark, []), KEY).count() == 0
     with pytest.raises(ValueError, match="key"):
         pii.pseudonymize(df, "")
