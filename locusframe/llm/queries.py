@@ -7,16 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, embed_dedup, html_extract, langid, ngram_join, pii, suffix_dedup, toxicity, url_filter
+from . import bpe, conversation, decontam, embed_dedup, html_extract, langid, ngram_join, pii, piece_bpe, suffix_dedup, toxicity, url_filter, whitening
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def pii_key(spark: SparkSession) -> str:
@@ -66,6 +67,18 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.repair(spark, table(spark, sf_dir, "conversations"), damage=True)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(PIECES), keep_pieces=False, keep_text=False)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark, table(spark, sf_dir, "embeddings"), components=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_html_extract": op2_html_extract,
@@ -77,11 +90,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_langid": op10_langid,
+    "op11_conversation": op11_conversation,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_whitening": op13_whitening,
 }
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = "|".join(url_filter.PATTERN_WORDS)
 
+
+def _put(state: str, cost: str, edit: str) -> str:
+    return f"{{'c': {state}.c + {cost}, 't': {state}.t || '{edit}'}}"
+
+
+def _with_inserts(x: str) -> str:
+    """Repair states (none, s, u, a) with at most one more insert before the next row."""
+    return f"[{x}[1], {x}[2], list_min([{x}[3], {_put(x + '[1]', '2', 'I')}, {_put(x + '[2]', '2', 'I')}, {_put(x + '[4]', '2', 'I')}]), list_min([{x}[4], {_put(x + '[3]', '2', 'I')}])]"
+
+
+def _fits(role: str) -> str:
+    return f"CASE WHEN NOT r.x AND r.i = '{role}' THEN r.e ELSE 1000000000 END"
+
+
+_REROLED = "CASE WHEN r.x THEN 1000000000 ELSE 2 + r.e END"
+#: One row of the repair: from the states j, inserts included, to those behind it.
+_ROW = f"""[{_put("j[1]", "3", "D")},
+  list_min([{_put("j[2]", "3", "D")}, {_put("j[1]", _fits("s"), "K")}]),
+  list_min([{_put("j[3]", "3", "D")}, {", ".join(_put(f"j[{i}]", cost, edit) for i in (1, 2, 4) for cost, edit in ((_REROLED, "R"), (_fits("u"), "K")))}]),
+  list_min([{_put("j[4]", "3", "D")}, {_put("j[3]", _REROLED, "R")}, {_put("j[3]", _fits("a"), "K")}])]"""
+
 #: SQL for the queries that it can express over whole tables.
 ORACLES: dict[str, str] = {
     "op3_ngram_join": rf"""
@@ -110,4 +147,27 @@ j AS (SELECT *, CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.exa
   WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM u)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
   WHEN regexp_matches(host || path, '(?i)(^|[^A-Za-z0-9])({_WORDS})([^A-Za-z0-9]|$)|/wp-admin(/|$)|/track/click(/|$)') THEN 'block' ELSE 'allow' END AS verdict FROM j""",
+    "op11_conversation": rf"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n)) AS t),
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+k AS (SELECT o.*, xor(list_reduce(list_transform(string_split(k, ''), lambda s: CAST(ascii(s) AS BIGINT)), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]), 4294967295), 4294967295) % 20 AS kind FROM o, crc),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM k),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM d),
+f AS (SELECT *, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) || left(role, 1) AS pair,
+  CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM p),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+  list({{'r': role, 't': text, 'i': left(role, 1), 'x': coalesce(fault IN ('blank', 'duplicate'), false), 'e': CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END}} ORDER BY place) AS rs FROM f GROUP BY conv_id),
+s AS (SELECT conv_id, rs, 0 AS n, [{{'c': CAST(0 AS BIGINT), 't': ''}}, {{'c': 1000000000, 't': ''}}, {{'c': 1000000000, 't': ''}}, {{'c': 1000000000, 't': ''}}] AS x FROM g
+  UNION ALL SELECT conv_id, rs, n + 1, list_transform([{{'x': x, 'r': rs[n + 1]}}], lambda v: list_transform([{_with_inserts("v.x")}], lambda w: list_transform([{_with_inserts("w")}], lambda j: list_transform([v.r], lambda r: {_ROW})[1])[1])[1])[1]
+  FROM s WHERE n < len(rs)),
+b AS (SELECT conv_id, rs, list_min([x[1], {_put("x[2]", "4", "II")}, {_put("x[3]", "2", "I")}, x[4]]) AS best FROM s WHERE n = len(rs)),
+e AS (SELECT conv_id, best.c AS cost, best.t AS audit, flatten(list_transform(regexp_extract_all(best.t, 'I*[KRD]'), lambda y, i: list_transform(string_split(y, ''), lambda z: {{'z': z, 'i': i}}))) AS done,
+  len(regexp_extract(best.t, 'I*$')) AS closing, rs FROM b),
+h AS (SELECT conv_id, cost, audit, list_concat(list_transform(list_filter(done, lambda y: y.z <> 'D'), lambda y: {{'z': y.z, 'r': rs[y.i].r, 't': CASE WHEN y.z = 'I' THEN '' ELSE rs[y.i].t END}}),
+  list_transform(range(closing), lambda y: {{'z': 'I', 'r': '', 't': ''}})) AS ls FROM e),
+w AS (SELECT conv_id, cost, audit, sha256(coalesce(array_to_string(list_transform(ls, lambda y, i: CASE WHEN y.z = 'K' THEN y.r WHEN (i + CASE WHEN ls[1].z = 'K' AND starts_with(ls[1].r, 's') THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || y.t), chr(10)), '')) AS repaired_sha256 FROM h)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM c.conv_id""",
 }
