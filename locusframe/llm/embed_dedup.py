@@ -49,7 +49,7 @@ def fit_axes(sample: list[list[float]]) -> dict[int, np.ndarray]:
         by_len.setdefault(len(v), []).append(v)
     out = {}
     for d, vs in by_len.items():
-        x = np.array(vs, np.float64)
+        x = _scaled(np.array(vs, np.float64))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         x -= x.mean(axis=0)
         out[d] = np.linalg.eigh(x.T @ x)[1][:, ::-1].copy()

@@ -46,10 +46,15 @@ from pyspark.sql import functions as F
 ROUNDS = 6
 
 # fixed values: the formats looked for, the more particular ones first
+# A host is labels up to the last place where a top-level name of letters can begin.
+# Repeated groups are possessive: they are walked in a loop, where a greedy one
+# takes a stack frame for each label.
+_LABEL = r"[A-Za-z0-9][A-Za-z0-9-]*+\."
+_HOST = rf"(?:(?:{_LABEL}(?![A-Za-z]{{2}}))*+{_LABEL}(?=[A-Za-z]{{2}}))++[A-Za-z]{{2,}}"
 _NAMED = r"(?i:token|key|secret|password) ?[=:] ?\"?"
 PATTERNS = {
     "secret": _NAMED + r"(?:[0-9A-Fa-f]{16,}(?![0-9A-Za-z])|(?=[A-Za-z_+/.-]*[0-9])(?=[0-9_+/.-]*[A-Za-z])[0-9A-Za-z_+/.-]{12,})",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9][A-Za-z0-9-]*+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@" + _HOST,
     "date": r"(?<![\w.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![\w-]|\.[0-9])",
     "ssn": r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "ip": r"(?<![\w.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![\w]|\.[0-9])",

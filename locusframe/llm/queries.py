@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def pii_key(spark: SparkSession) -> str:
-    """The session's secret; the synthetic tables need none, so theirs is public."""
-    return spark.conf.get("spark.locusframe.pii.key", "key of the synthetic tables")
+    """The session's secret.  Without one a warning says that the public key of the
+    synthetic tables is used: its pseudonyms can be inverted by anybody."""
+    key = spark.conf.get("spark.locusframe.pii.key", None)
+    if not key:
+        warnings.warn("spark.locusframe.pii.key is not set: the public key of the synthetic tables is used", stacklevel=2)
+    return key or "key of the synthetic tables"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

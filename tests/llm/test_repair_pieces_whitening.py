@@ -249,3 +249,31 @@ def test_whitening_of_odd_tables(spark):
     assert {r["vec_id"]: r["deviation"] for r in whitening.whiten(spark, spark.createDataFrame(far, VEC)).collect()} == dict(enumerate(deviation.tolist()))
     huge = whitening.whiten(spark, spark.createDataFrame([(1, [1e300], 1), (2, [-1e300], 1)], VEC)).collect()
     assert [(r["deviation"], round(abs(r["whitened"]), 9)) for r in huge] == [(None, 1.0)] * 2
+
+
+# ------------------------------------------------------------------ earlier operators at their bounds
+
+
+def test_pii_hosts_of_many_labels(spark):
+    texts = ["x@" + "a." * n + "com" for n in (1, 3, 5_000, 200_000)]
+    odd = ["a@b.com.x1", "a@b.x1", "a@-b.com", "a@b-.com", "a@b..com", "a@b.c.dd.e", "a@b.co,", "q a@b.c1.de.f2.gh-x end"]
+    df = spark.createDataFrame(list(enumerate(texts + odd)), "doc_id long, text string")
+    got = {r["doc_id"]: r["found"] for r in queries.pii.pseudonymize(df, "k", found_col="found").collect()}
+    for i, t in enumerate(texts):
+        assert [f["value"] for f in got[i]] == [t]
+    # what a pattern that may go back over its labels finds
+    plain = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9][A-Za-z0-9-]*\.)+[A-Za-z]{2,}")
+    for i, t in enumerate(odd, len(texts)):
+        assert [f["value"] for f in got[i]] == plain.findall(t), t
+
+
+def test_pii_key_fallback_is_announced(spark):
+    with pytest.warns(UserWarning, match="public key"):
+        queries.pii_key(spark)
+
+
+def test_tiny_and_large_vectors_link_by_direction(spark):
+    rows = [(i, [float(i), 1.0], 1) for i in range(9)] + [(20, [1e-300, 0.0], 1), (21, [3e-320, 0.0], 1), (22, [1e200, 0.0], 1)]
+    got = {r["vec_id"]: r for r in queries.embed_dedup.near_duplicates(spark, spark.createDataFrame(rows, VEC)).collect()}
+    assert [got[i]["component_id"] for i in (20, 21, 22)] == [min(i for i in got if got[i]["component_id"] == got[20]["component_id"])] * 3
+    assert got[20]["n_links"] >= 2
