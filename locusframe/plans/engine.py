@@ -66,7 +66,7 @@ class Engine:
     def located(self, vcf: str, regions: DataFrame, backend: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Header, sites and calls of the regions."""
         header = readers.read_header(self.spark, vcf)
-        records = readers.in_regions(readers.read_variants(self.spark, vcf, backend), regions)
+        records = readers.in_regions(readers.read_variants(self.spark, vcf, backend, regions), regions)
         return header, readers.sites_of(records), readers.calls_of(records, header, header.count())
 
     def _present(self, regions: DataFrame, sites: DataFrame, why: str) -> None:

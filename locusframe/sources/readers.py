@@ -1,7 +1,8 @@
 """Scans: variant calls, sample groups, traits, regions, gene annotation.
 
 Text is read with ``spark.read.text`` (gzip included) and parsed by column
-expressions.  Variant text can be ingested once to Parquet by chromosome, sorted
+expressions; block-compressed text and binary variants come from ``blocks``, many
+tasks a file and by the index beside it.  Variant text can be ingested once to Parquet by chromosome, sorted
 by position (``ingest``); the intervals of a short region list are literals of the
 scan, so other chromosomes' files and row groups of other places are not read.
 """
@@ -15,9 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions import alleles, text
+from locusframe.sources import blocks
 
 REGION_SCHEMA = "region_ord int, chrom string, start long, stop long"
-VARIANT_SUFFIXES = (".vcf", ".vcf.gz")
+VARIANT_SUFFIXES = (".vcf", ".vcf.gz", ".vcf.bgz")
 RECORD_SCHEMA = "ord long, pos long, vid string, ref string, alts array<string>, info string, fmt string, cells array<string>, chrom string"
 #: Regions, or chromosomes of a longer list, that become literals of a scan.
 MOST_LITERALS = 200
@@ -33,16 +35,21 @@ class InputError(ValueError):
 def variant_format(path: str, wanted: str = "auto") -> str:
     """The format of a path; a named one is taken as it is.
 
-    The names of indexed readers are accepted: what they would fetch is read from
-    the text, or from the ingested table, by the same region predicate.
+    The names of indexed readers are accepted: binary and block-compressed files
+    are read range by range, with the index beside them if there is one; others are
+    read from the text, or from the ingested table, by the same region predicate.
     """
     if wanted not in BACKENDS:
         raise InputError(f"unknown variant backend {wanted!r}; use one of {', '.join(BACKENDS)}")
-    if path.endswith(".bcf"):
-        raise InputError(f"{path}: binary variants have no reader here; convert them to text")
     if wanted in ("plain", "parquet"):
         return wanted
-    return "plain" if path.endswith(VARIANT_SUFFIXES) else "parquet"
+    if path.endswith(".bcf"):
+        if not blocks.is_block_compressed(path):
+            raise InputError(f"{path}: no block-compressed binary variants, or in a store that cannot be opened here")
+        return "bcf"
+    if not path.endswith(VARIANT_SUFFIXES):
+        return "parquet"
+    return "blocks" if path.endswith("gz") and blocks.is_block_compressed(path) else "plain"
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -109,10 +116,13 @@ def unique_accessions(traits: DataFrame) -> DataFrame:
 
 def read_header(spark: SparkSession, path: str) -> DataFrame:
     """(sample_ord, sample) of the header line."""
-    header = spark.read.text(path).where(F.col("value").startswith("#CHROM")).limit(1).collect()
-    if not header:
-        raise InputError(f"{path}: no #CHROM header")
-    names = header[0][0].rstrip("\r\n").split("\t")[9:]
+    if variant_format(path) in ("blocks", "bcf"):
+        names = blocks.read_head(path).samples
+    else:
+        header = spark.read.text(path).where(F.col("value").startswith("#CHROM")).limit(1).collect()
+        if not header:
+            raise InputError(f"{path}: no #CHROM header")
+        names = header[0][0].rstrip("\r\n").split("\t")[9:]
     if len(set(names)) != len(names):
         raise InputError(f"{path}: a sample name stands twice in the header")
     return spark.createDataFrame(list(enumerate(names)), "sample_ord int, sample string")
@@ -131,29 +141,42 @@ def parse_records(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_variants(spark: SparkSession, path: str, fmt: str = "auto") -> DataFrame:
-    """Records (ord, chrom, pos, vid, ref, alts, info, fmt, cells)."""
-    if variant_format(path, fmt) == "parquet":
+def read_variants(spark: SparkSession, path: str, fmt: str = "auto", regions: DataFrame | None = None, range_bytes: int = blocks.RANGE_BYTES) -> DataFrame:
+    """Records (ord, chrom, pos, vid, ref, alts, info, fmt, cells).
+
+    With ``regions``, a block-compressed or binary file with an index beside it is
+    read only where the index says that their records are; records outside the
+    regions may come with them.
+    """
+    kind = variant_format(path, fmt)
+    if kind == "parquet":
         return spark.read.schema(RECORD_SCHEMA).parquet(path)
-    return parse_records(_lines(spark, path))
+    if kind == "plain":
+        return parse_records(_lines(spark, path))
+    found = blocks.read(spark, path, kind == "bcf", None if regions is None else _spans(regions), range_bytes)
+    return found if kind == "bcf" else parse_records(found)
 
 
 def ingest(spark: SparkSession, path: str, out: str) -> None:
     """Records as Parquet by chromosome, sorted by position: regions prune."""
-    records = parse_records(_lines(spark, path))
+    records = read_variants(spark, path)
     records.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos", "ord").write.partitionBy("chrom").mode("overwrite").parquet(out)
 
 
-def _reach(regions: DataFrame) -> Column:
-    """A literal predicate that holds in every region, so that scans can prune."""
+def _spans(regions: DataFrame) -> list[tuple[str, int, int]] | None:
+    """The regions, or where they are many one span a chromosome; None beyond a bound."""
     spans = regions.select("chrom", "start", "stop").limit(MOST_LITERALS + 1).collect()
     if len(spans) > MOST_LITERALS:
         spans = regions.groupBy("chrom").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).limit(MOST_LITERALS + 1).collect()
-    if not spans:
-        return F.lit(False)
-    if len(spans) > MOST_LITERALS:
+    return [(r["chrom"], r["start"], r["stop"]) for r in spans] if len(spans) <= MOST_LITERALS else None
+
+
+def _reach(regions: DataFrame) -> Column:
+    """A literal predicate that holds in every region, so that scans can prune."""
+    spans = _spans(regions)
+    if spans is None:
         return F.lit(True)
-    return functools.reduce(Column.__or__, [(F.col("chrom") == r["chrom"]) & F.col("pos").between(r["start"], r["stop"]) for r in spans])
+    return functools.reduce(Column.__or__, [(F.col("chrom") == c) & F.col("pos").between(a, z) for c, a, z in spans], F.lit(False))
 
 
 def in_regions(records: DataFrame, regions: DataFrame) -> DataFrame:
