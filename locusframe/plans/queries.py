@@ -219,7 +219,7 @@ def q21_hap_membership(spark, sf_dir):
 @query
 def q22_hamming_pairs(spark, sf_dir):
     x = Lens(spark, sf_dir)
-    return plain(clustering.distances(x.haps).where(F.col("distance") <= THRESHOLD))
+    return plain(clustering.links(x.haps, THRESHOLD))
 
 
 @query

@@ -3,6 +3,7 @@
 import gzip
 import itertools
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -465,3 +466,57 @@ def test_same_group_twice(spark):
     groups = spark.createDataFrame([("a", "g"), ("b", "g")], "sample string, grp string")
     r = association.carrier_counts(calls, groups, "g", "g").collect()[0]
     assert (r["a"], r["b"], r["c"], r["d"]) == (1, 1, 0, 0)
+
+
+def _clustered_haps(spark, n, sites, centres, seed, lost=0.15):
+    """Haplotypes around a few centres, many of their sites missing."""
+    rng = random.Random(seed)
+    base = [[rng.choice("ACGT") for _ in range(sites)] for _ in range(centres)]
+    seqs = [tuple("N" if rng.random() < lost else rng.choice("ACGT") if rng.random() < 0.03 else t for t in base[i % centres]) for i in range(n)] + [("N",) * sites]
+    seqs = list(dict.fromkeys(seqs))
+    rows = [(r, list(s), i + 1, f"Hap{i + 1:03d}") for r in (3, 4) for i, s in enumerate(seqs if r == 3 else seqs[:40])]
+    return spark.createDataFrame(rows, "region_ord int, seq array<string>, hap_rank int, hap string"), rows
+
+
+def _distance(a, b):
+    both = [(x, y) for x, y in zip(a, b, strict=True) if x != "N" and y != "N"]
+    return sum(x != y for x, y in both) / len(both) if both else 1.0
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.15, 0.6, 1.0])
+def test_links_with_missing_sites(spark, monkeypatch, threshold):
+    haps, rows = _clustered_haps(spark, 260, 21, 9, 5)
+    want = {(r[0], *sorted((r[3], q[3]))): d for r, q in itertools.combinations(rows, 2) if r[0] == q[0] and (d := _distance(r[1], q[1])) <= threshold}
+    up = {(r[0], r[3]): (r[0], r[3]) for r in rows}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for r, one, two in want:
+        a, b = root((r, one)), root((r, two))
+        up[max(a, b)] = min(a, b)
+    for tile in (512, 16):  # whole regions, and pivots with tiles
+        monkeypatch.setattr(clustering, "TILE", tile)
+        got = clustering.links(haps, threshold).collect()
+        assert len(got) == len(want) and {(r["region_ord"], r["hap1"], r["hap2"]): r["distance"] for r in got} == want
+        for most in (clustering.WHOLE_EDGES, 0) if threshold == 0.15 else (clustering.WHOLE_EDGES,):
+            monkeypatch.setattr(clustering, "WHOLE_EDGES", most)
+            roots = clustering.components(haps, clustering.links(haps, threshold, whole=False)).collect()
+            assert {(r["region_ord"], r["hap"]): (r["region_ord"], r["root"]) for r in roots} == {x: root(x) for x in up}
+        monkeypatch.undo()
+
+
+def test_pivots_spare_most_pairs(spark):
+    haps, _ = _clustered_haps(spark, 4000, 40, 25, 6, lost=0.05)
+    coded = haps.where("region_ord = 3").select("region_ord", "hap", "hap_rank", clustering.token_codes(F.col("seq")).alias("codes"))
+    groups = clustering._groups(clustering._placed(coded, 0.15))
+    n = coded.count()
+    done = clustering.group_pairs(groups, 0.15).agg(F.sum(F.when((F.col("a_cell") == F.col("b_cell")) & (F.col("a_ring") == F.col("b_ring")), F.col("a_n") * (F.col("a_n") - 1) / 2).otherwise(F.col("a_n") * F.col("b_n"))).alias("k")).first()["k"]
+    assert done < 0.1 * n * (n - 1) / 2
+
+
+def test_clusters_of_no_haplotypes(spark):
+    haps = spark.createDataFrame([], "region_ord int, seq array<string>, hap_rank int, hap string")
+    assert clustering.clusters(haps, 0.2).count() == 0
