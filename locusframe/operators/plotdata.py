@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions.text import feature_name, natural_key
+from locusframe.operators.intervals import overlapping
 
 # our own choice of twelve soft colours
 PALETTE = ("#8fb8de", "#f2b880", "#a3c9a8", "#e39ba0", "#b7a7d3", "#d9c58b", "#8ecfc9", "#e6a9cf", "#b5b8bd", "#c4dd88", "#9aa9e0", "#e8cfae")
@@ -44,8 +45,7 @@ def blocks(features: DataFrame, gene_rows: DataFrame) -> DataFrame:
     style = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("ftype"))
     parts = features.where(F.col("ftype").isin(*BLOCK_PRIORITY)).select("region_ord", "ftype", F.col("start").alias("s"), F.col("stop").alias("e"), "feature_ord", "r_start", "r_stop")
     g = gene_rows.select(F.col("region_ord").alias("_r"), "y", "name", F.col("start").alias("g_start"), F.col("stop").alias("g_stop"))
-    # a region shows few genes: one side of the interval join is small by nature
-    both = parts.join(g, (F.col("region_ord") == F.col("_r")) & (F.col("e") >= F.col("g_start")) & (F.col("s") <= F.col("g_stop")))
+    both = overlapping(parts, g, [("region_ord", "_r")], ("s", "e"), ("g_start", "g_stop"))
     left, right = F.greatest("s", "r_start"), F.least("e", "r_stop")
     return both.withColumn("left", left).withColumn("right", right).where("right >= left").select(
         "region_ord", "y", "name", "ftype", "left", "right", F.greatest(F.lit(1), F.col("right") - F.col("left") + 1).alias("width"), style(BLOCK_HEIGHT).alias("height"),

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions import alleles, text
+from locusframe.operators.intervals import overlapping
 from locusframe.sources import blocks
 
 REGION_SCHEMA = "region_ord int, chrom string, start long, stop long"
@@ -153,7 +154,7 @@ def read_variants(spark: SparkSession, path: str, fmt: str = "auto", regions: Da
         return spark.read.schema(RECORD_SCHEMA).parquet(path)
     if kind == "plain":
         return parse_records(_lines(spark, path))
-    found = blocks.read(spark, path, kind == "bcf", None if regions is None else _spans(regions), range_bytes)
+    found = blocks.read(spark, path, kind == "bcf", None if regions is None else _spans(regions)[0], range_bytes)
     return found if kind == "bcf" else parse_records(found)
 
 
@@ -163,17 +164,18 @@ def ingest(spark: SparkSession, path: str, out: str) -> None:
     records.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos", "ord").write.partitionBy("chrom").mode("overwrite").parquet(out)
 
 
-def _spans(regions: DataFrame) -> list[tuple[str, int, int]] | None:
-    """The regions, or where they are many one span a chromosome; None beyond a bound."""
+def _spans(regions: DataFrame) -> tuple[list[tuple[str, int, int]] | None, bool]:
+    """The regions, or where they are many one span a chromosome (None beyond a
+    bound); whether they are many."""
     spans = regions.select("chrom", "start", "stop").limit(MOST_LITERALS + 1).collect()
-    if len(spans) > MOST_LITERALS:
+    many = len(spans) > MOST_LITERALS
+    if many:
         spans = regions.groupBy("chrom").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).limit(MOST_LITERALS + 1).collect()
-    return [(r["chrom"], r["start"], r["stop"]) for r in spans] if len(spans) <= MOST_LITERALS else None
+    return ([(r["chrom"], r["start"], r["stop"]) for r in spans] if len(spans) <= MOST_LITERALS else None), many
 
 
-def _reach(regions: DataFrame) -> Column:
+def _reach(spans: list[tuple[str, int, int]] | None) -> Column:
     """A literal predicate that holds in every region, so that scans can prune."""
-    spans = _spans(regions)
     if spans is None:
         return F.lit(True)
     return functools.reduce(Column.__or__, [(F.col("chrom") == c) & F.col("pos").between(a, z) for c, a, z in spans], F.lit(False))
@@ -181,11 +183,14 @@ def _reach(regions: DataFrame) -> Column:
 
 def in_regions(records: DataFrame, regions: DataFrame) -> DataFrame:
     """Records by region; positions only, both ends included."""
-    records = records.where(_reach(regions))
-    # an equi-join on the chromosome with the interval as residual: the planner
-    # broadcasts the regions if their size allows it
-    r = regions.select("region_ord", F.col("chrom").alias("_c"), "start", "stop")
-    return records.join(r, (F.col("chrom") == F.col("_c")) & F.col("pos").between(F.col("start"), F.col("stop"))).drop("_c", "start", "stop")
+    spans, many = _spans(regions)
+    r = regions.select("region_ord", F.col("chrom").alias("_c"), F.col("start").alias("_start"), F.col("stop").alias("_stop"))
+    near = records.where(_reach(spans))
+    if many:
+        found = overlapping(near, r, [("chrom", "_c")], ("pos", "pos"), ("_start", "_stop"))
+    else:  # no more than MOST_LITERALS rows
+        found = near.join(F.broadcast(r), (F.col("chrom") == F.col("_c")) & F.col("pos").between(F.col("_start"), F.col("_stop")))
+    return found.drop("_c", "_start", "_stop")
 
 
 def sites_of(records: DataFrame) -> DataFrame:
@@ -234,8 +239,11 @@ def read_annotation(spark: SparkSession, path: str) -> DataFrame:
 def features_in(features: DataFrame, regions: DataFrame) -> DataFrame:
     """Shown features that overlap a region."""
     r = regions.select("region_ord", "chrom", F.col("start").alias("r_start"), F.col("stop").alias("r_stop"))
-    on = (features["seqid"] == r["chrom"]) & (features["stop"] >= r["r_start"]) & (features["start"] <= r["r_stop"])
-    return features.where(F.col("ftype").isin(*SHOWN)).join(r, on).drop("chrom")
+    shown = features.where(F.col("ftype").isin(*SHOWN))
+    if _spans(regions)[1]:
+        return overlapping(shown, r, [("seqid", "chrom")], ("start", "stop"), ("r_start", "r_stop")).drop("chrom")
+    on = (shown["seqid"] == r["chrom"]) & (shown["stop"] >= r["r_start"]) & (shown["start"] <= r["r_stop"])
+    return shown.join(F.broadcast(r), on).drop("chrom")
 
 
 def pool(header: DataFrame, groups: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import demo
 from locusframe.functions import alleles, statistics, text
-from locusframe.operators import association, clustering, encoding, haplotypes, plotdata, traits
+from locusframe.operators import association, clustering, encoding, haplotypes, intervals, plotdata, traits
 from locusframe.plans.engine import EmptyRegion, Engine, Options
 from locusframe.sources import readers
 
@@ -520,3 +520,36 @@ def test_pivots_spare_most_pairs(spark):
 def test_clusters_of_no_haplotypes(spark):
     haps = spark.createDataFrame([], "region_ord int, seq array<string>, hap_rank int, hap string")
     assert clustering.clusters(haps, 0.2).count() == 0
+
+
+def test_interval_join_matches_a_plain_one(spark, monkeypatch):
+    rng = random.Random(12)
+
+    def some(n, wide):
+        out = []
+        for i in range(n):
+            a = rng.randrange(1 << rng.choice([10, 20, 31]))
+            out.append((i, rng.choice(["c1", "c2", None]), a, a + (rng.randrange(1 << rng.choice(wide)) if rng.random() < 0.8 else 0)))
+        return out
+
+    a, b = some(250, [3, 12, 22, 33]) + [(900, "c1", 50, 20), (901, "c1", None, 5)], some(250, [2, 15, 18, 27]) + [(902, "c1", 1, 1 << 40)]
+    want = sorted((x[0], y[0]) for x in a for y in b if x[1] and x[1] == y[1] and x[2] is not None and x[3] >= y[2] and x[2] <= y[3])
+    x = spark.createDataFrame(a, "i int, c string, s long, e long")
+    y = spark.createDataFrame(b, "j int, d string, t long, f long")
+    got = intervals.overlapping(x, y, [("c", "d")], ("s", "e"), ("t", "f"))
+    assert sorted((r["i"], r["j"]) for r in got.collect()) == want and got.columns == [*x.columns, *y.columns]
+    # many regions take this way, few are literals: the same rows
+    records = spark.createDataFrame([(i, r[1], r[2]) for i, r in enumerate(a) if r[2] is not None], "ord long, chrom string, pos long")
+    regions = spark.createDataFrame([(i, c, s, e) for i, (_, c, s, e) in enumerate(b) if c], readers.REGION_SCHEMA)
+    features = x.select(F.col("c").alias("seqid"), F.col("s").alias("start"), F.col("e").alias("stop"), F.lit("gene").alias("ftype"), F.col("i").alias("feature_ord"))
+    found = {}
+    for most in (readers.MOST_LITERALS, 10_000, 2):
+        monkeypatch.setattr(readers, "MOST_LITERALS", most)
+        found[most] = sorted(map(tuple, readers.in_regions(records, regions).select("region_ord", "ord").collect())), sorted(map(tuple, readers.features_in(features, regions).select("region_ord", "feature_ord").collect()))
+    assert len(set(map(repr, found.values()))) == 1 and len(found[2][0]) > 50 and len(found[2][1]) > 50
+
+
+def test_no_bin_holds_a_whole_chromosome(spark):
+    x = spark.range(200_000).select(F.lit("c").alias("c"), (F.col("id") * 1000).alias("s"), (F.col("id") * 1000 + 500).alias("e"))
+    binned = intervals._binned(x, F.col("s"), F.col("e"), "1").where("_width = _own1")
+    assert binned.groupBy("_width", "_bin").count().agg(F.max("count")).first()[0] < 200
