@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from locusframe.functions import ranges
+from locusframe.sources.scratch import cut
+
 TIE_SLACK = 1e-12
 
 
@@ -69,7 +72,31 @@ def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 
 def benjamini_hochberg(df: DataFrame, p: str, out: str, within: list[str]) -> DataFrame:
-    """adjusted p-values within groups; null p-values stay out and null."""
+    """Adjusted p-values within groups; null p-values stay out and null.
+
+    Equal p-values are equal after it.  Of many tests the distinct p-values are
+    ranked over range parts, and the least value from a rank on is that of its
+    part from there and of the parts behind.
+    """
+    rows = cut(df)
+    if rows.count() <= ranges.WHOLE:
+        return _adjusted_whole(rows, p, out, within)
+    dealt = ranges.dealt(rows.where(F.col(p).isNotNull()).groupBy(*within, F.col(p).alias("_p")).agg(F.count("*").alias("_t")), *within, "_p")
+    parts = ranges.before_parts(dealt, within, F.sum("_t"))
+    upto = Window.partitionBy(*within, "part").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = dealt.join(parts, [*within, "part"]).withColumn("_v", F.col("_p") * F.col("total") / (F.col("before") + F.sum("_t").over(upto)))
+    later = Window.partitionBy(*within).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    behind = own.groupBy(*within, "part").agg(F.min("_v").alias("_low")).select(*within, "part", F.min("_low").over(later).alias("_behind"))
+    down = Window.partitionBy(*within, "part").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    least = F.least(F.min("_v").over(down), "_behind", F.lit(1.0))
+    found = own.join(behind, [*within, "part"]).select(*[F.col(k).alias(f"_k_{k}") for k in within], "_p", least.alias(out))
+    on = rows[p] == F.col("_p")
+    for k in within:
+        on = on & (rows[k] == F.col(f"_k_{k}"))
+    return rows.join(found, on, "left").select(*df.columns, out)
+
+
+def _adjusted_whole(df: DataFrame, p: str, out: str, within: list[str]) -> DataFrame:
     live = F.col(p).isNotNull()
     keys = [*within, "_live"]
     up = Window.partitionBy(*keys).orderBy(F.col(p), F.monotonically_increasing_id())

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions.alleles import MISSING, allele_token, consensus, genotype_tokens
+from locusframe.functions.ranges import numbered
 from locusframe.functions.text import hap_id
 
 
@@ -49,11 +50,10 @@ def rank(seqs: DataFrame) -> DataFrame:
     """(region_ord, seq, n, hap_rank, hap).
 
     Each sample counts once for a sequence.  Only the distinct sequences of a
-    region are ranked, after their counts are combined.
+    region are ranked, after their counts are combined; many are over range parts.
     """
     counted = seqs.select("region_ord", "seq", "sample").distinct().groupBy("region_ord", "seq").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("region_ord").orderBy(F.desc("n"), "seq")
-    return counted.withColumn("hap_rank", F.row_number().over(order)).withColumn("hap", hap_id(F.col("hap_rank")))
+    return numbered(counted, ["region_ord"], [F.desc("n"), F.asc("seq")], "hap_rank").withColumn("hap", hap_id(F.col("hap_rank")))
 
 
 def accessions(of_copies: DataFrame) -> DataFrame:

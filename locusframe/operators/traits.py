@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.functions.ranges import cumulated
 from locusframe.functions.statistics import benjamini_hochberg, chi_square_tail, exact_rank_sum_p, normal_two_sided
 from locusframe.functions.text import significance
 from locusframe.sources.scratch import cut
@@ -51,18 +57,8 @@ def long_traits(df: DataFrame, cls: str, names: list[str], within: list[str], mi
 
 
 def average_ranks(live: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, value, t, r): each distinct value, how often, and its mean rank.
-
-    Values are dealt out by range; what lies before a value is the rest of its
-    part and the sizes of the parts before, so no task holds all values of a key.
-    """
-    counted = live.groupBy(*keys, "value").agg(F.count("*").alias("t"))
-    dealt = cut(counted.repartitionByRange(*keys, "value").withColumn("part", F.spark_partition_id()))
-    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = dealt.groupBy(*keys, "part").agg(F.sum("t").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
-    inside = Window.partitionBy(*keys, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.col("before") + F.coalesce(F.sum("t").over(inside), F.lit(0)) + (F.col("t") + 1) / F.lit(2.0)
-    return dealt.join(parts.drop("size"), [*keys, "part"]).select(*keys, "value", "t", rank.alias("r"))
+    """(keys, value, t, r): each distinct value, how often, and its mean rank."""
+    return cumulated(live, keys).select(*keys, "value", "t", (F.col("before") + (F.col("t") + 1) / F.lit(2.0)).alias("r"))
 
 
 def kruskal(values: DataFrame, within: list[str]) -> DataFrame:
@@ -101,23 +97,12 @@ def pairwise(values: DataFrame, within: list[str]) -> DataFrame:
     a = stats.select(*keys, F.col("cls").alias("class1"), F.col("ord").alias("ord1"), F.col("n").alias("n1"), F.col("mean").alias("mean1"))
     b = stats.select(*keys, F.col("cls").alias("class2"), F.col("ord").alias("ord2"), F.col("n").alias("n2"), F.col("mean").alias("mean2"))
     pairs = a.join(b, keys).where("ord1 < ord2")
-    # counts of each value by class carry what ranks need: one row per distinct
-    # value, not per sample, is joined to the pairs
-    live = values.where("value is not null").groupBy(*keys, "cls", "value").agg(F.count("*").alias("c"))
-    pair_keys = [*keys, "class1", "class2"]
-    slim = pairs.select(*pair_keys)
-    one = slim.join(live, (F.col("cls") == F.col("class1")) & _same(slim, live, keys)).select(*[slim[k] for k in pair_keys], "value", F.col("c").alias("c1"), F.lit(0).cast("long").alias("c2"))
-    two = slim.join(live, (F.col("cls") == F.col("class2")) & _same(slim, live, keys)).select(*[slim[k] for k in pair_keys], "value", F.lit(0).cast("long").alias("c1"), F.col("c").alias("c2"))
-    merged = one.union(two).groupBy(*pair_keys, "value").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
-    t = F.col("c1") + F.col("c2")
-    before = F.sum(t).over(Window.partitionBy(*pair_keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = merged.withColumn("t", t.cast("double")).withColumn("r", F.coalesce(before, F.lit(0)) + (t + 1) / F.lit(2.0))
-    sums = ranked.groupBy(*pair_keys).agg(F.sum(F.col("r") * F.col("c1")).alias("r1"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    sums = _rank_sums(values.where("value is not null"), keys)
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
-    u1 = F.col("r1") - n1 * (n1 + 1) / 2
+    u1 = F.col("u2x") / 2.0
     both = (F.col("n1") > 0) & (F.col("n2") > 0)
-    out = pairs.join(sums, pair_keys, "left").withColumn("u", F.when(both, F.greatest(u1, n1 * n2 - u1)))
+    out = pairs.join(sums, [*keys, "ord1", "ord2"], "left").withColumn("u", F.when(both, F.greatest(u1, n1 * n2 - u1)))
     var = n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1)))
     out = out.withColumn("z", F.when(both & (var > 0), (F.col("u") - n1 * n2 / 2 - 0.5) / F.sqrt(var)))
     exact = both & (F.col("ties") == 0) & (F.least("n1", "n2") <= EXACT_SIZE)
@@ -126,14 +111,79 @@ def pairwise(values: DataFrame, within: list[str]) -> DataFrame:
     whole = small.unionByName(large).withColumn("pvalue", F.when(both & F.col("pvalue").isNull(), 1.0).otherwise(F.col("pvalue")))
     reason = F.when(both, "").otherwise(EMPTY_CLASS)
     adjusted = benjamini_hochberg(whole, "pvalue", "padj", keys).withColumn("skipped", reason)
-    return adjusted.drop("r1", "ties")
+    return adjusted.drop("u2x", "ties")
 
 
-def _same(a: DataFrame, b: DataFrame, keys: list[str]):
-    on = F.lit(True)
-    for k in keys:
-        on = on & (a[k] == b[k])
-    return on
+def _rank_sums(live: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ord1, ord2, u2x, ties) of every pair of classes, from one sorted pass.
+
+    U of a class against another is, over its values, how many of the other's lie
+    below and half of those that are equal (``u2x`` is twice that).  The pass keeps
+    how many values each class has had so far; so a distinct value of a class is
+    one row, however many classes it is compared with.  Each range part adds up
+    its own, and for parts before it only the classes' totals count.
+    """
+    counts = live.groupBy(*keys, "value", "ord").agg(F.count("*").alias("c"))
+    rows = counts.groupBy(*keys, "value").agg(F.collect_list(F.struct("ord", "c")).alias("cs"))
+    # groups are told apart by a text of their keys, which stand beside it
+    named = rows.select(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_g"), "value", "cs")
+    schema = "_g string, part int, ord1 int, ord2 int, n long, below long, cubes double"
+    found = cut(named.repartitionByRange("_g", "value").sortWithinPartitions("_g", "value").mapInPandas(_pass, schema))
+    own, inside = found.where("ord2 is null"), found.where("ord2 is not null")
+    # all classes in all parts of a group, with how many of each lie in the parts before
+    every = own.select("_g", "part").distinct().join(own.select("_g", F.col("ord1").alias("ord2")).distinct(), "_g")
+    there = every.join(own.select("_g", "part", F.col("ord1").alias("ord2"), F.col("n").alias("n2")), ["_g", "part", "ord2"], "left")
+    earlier = Window.partitionBy("_g", "ord2").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = there.select("_g", "part", "ord2", F.coalesce(F.sum("n2").over(earlier), F.lit(0)).alias("lower"))
+    across = own.select("_g", "part", "ord1", "n").join(before, ["_g", "part"]).where("ord1 < ord2")
+    none = F.lit(0.0).alias("cubes")
+    both = across.select("_g", "ord1", "ord2", (2 * F.col("n") * F.col("lower")).alias("below"), none).unionByName(inside.select("_g", "ord1", "ord2", "below", "cubes"))
+    sums = both.groupBy("_g", "ord1", "ord2").agg(F.sum("below").alias("u2x"), F.sum("cubes").alias("mixed"))
+    alone = own.groupBy("_g", "ord1").agg((F.sum("cubes") - F.sum("n")).alias("t"))
+    one, two = alone.withColumnRenamed("t", "t1"), alone.select("_g", F.col("ord1").alias("ord2"), F.col("t").alias("t2"))
+    groups = live.select(*keys).distinct().withColumn("_g", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    whole = sums.join(one, ["_g", "ord1"]).join(two, ["_g", "ord2"]).join(groups, "_g")
+    return whole.select(*keys, "ord1", "ord2", "u2x", (F.col("mixed") + F.col("t1") + F.col("t2")).alias("ties"))
+
+
+def _pass(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums of each group's part over its sorted values: of its classes (ord2 null;
+    how many values, and the cubes of their counts), and of its pairs of classes."""
+    now, of, seen, below, ties = None, {}, np.zeros(0), None, None
+
+    def done() -> pd.DataFrame:
+        ords, k = np.array(list(of), np.int64), len(of)
+        i, j = np.nonzero(ords[:, None] < ords[None, :])
+        head = {"_g": now, "part": TaskContext.get().partitionId()}
+        own = pd.DataFrame(head | {"ord1": ords, "ord2": pd.array([None] * k, "Int64"), "n": seen[:k], "below": 0, "cubes": ties[0][:k]})
+        pairs = pd.DataFrame(head | {"ord1": ords[i], "ord2": pd.array(ords[j], "Int64"), "n": 0, "below": below[i, j], "cubes": 3 * (ties[1][i, j] + ties[1][j, i])})
+        return pd.concat([own, pairs])
+
+    for pdf in it:
+        for g, cs in zip(pdf["_g"], pdf["cs"], strict=True):
+            if g != now:
+                if now is not None:
+                    yield done()
+                now, of, seen = g, {}, np.zeros(8, np.int64)
+                below, ties = np.zeros((8, 8), np.int64), (np.zeros(8), np.zeros((8, 8)))
+            at, c = [], []
+            for one in cs:
+                at.append(of.setdefault(one["ord"], len(of)))
+                c.append(one["c"])
+            while len(of) > len(seen):
+                grow = len(seen)
+                seen, below = np.pad(seen, (0, grow)), np.pad(below, ((0, grow), (0, grow)))
+                ties = np.pad(ties[0], (0, grow)), np.pad(ties[1], ((0, grow), (0, grow)))
+            at, c = np.array(at), np.array(c, np.int64)
+            here = np.zeros(len(seen), np.int64)
+            here[at] = c
+            below[at] += c[:, None] * (2 * seen + here)
+            size = c.astype(np.float64)
+            ties[0][at] += size**3
+            ties[1][np.ix_(at, at)] += np.outer(size * size, size)
+            seen[at] += c
+    if now is not None:
+        yield done()
 
 
 def report(values: DataFrame, within: list[str], level: str) -> DataFrame:
@@ -170,8 +220,18 @@ def box_stats(values: DataFrame, within: list[str]) -> DataFrame:
     """Quartiles, and whiskers at the last value within 1.5 ranges."""
     keys = [*within, "trait", "cls"]
     live = values.where("value is not null")
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    quart = live.groupBy(*keys).agg(F.count("*").alias("n"), q.alias("q")).select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("med"), F.col("q")[2].alias("q3"))
+    # the values at the ranks on either side of each quartile
+    places = [F.lit(share) * (F.col("total") - 1) for share in (0.25, 0.5, 0.75)]
+    at = lambda rank: F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("t")), F.col("value")))
+    sides = [at(side(p)).alias(f"{name}{i}") for i, p in enumerate(places) for name, side in (("low", F.floor), ("high", F.ceil))]
+    found = cumulated(live, keys).groupBy(*keys).agg(F.max("total").alias("n"), *sides)
+
+    def between(i: int, share: float) -> Column:
+        place = F.lit(share) * (F.col("n") - 1)
+        low, high = F.floor(place), F.ceil(place)
+        return F.when(low == high, F.col(f"low{i}")).otherwise((high - place) * F.col(f"low{i}") + (place - low) * F.col(f"high{i}"))
+
+    quart = found.select(*keys, "n", *[between(i, share).alias(q) for i, (q, share) in enumerate((("q1", 0.25), ("med", 0.5), ("q3", 0.75)))])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     ends = live.join(quart, keys).groupBy(*keys, "n", "q1", "med", "q3").agg(
         F.min(F.when(F.col("value") >= F.col("q1") - reach, F.col("value"))).alias("low"), F.max(F.when(F.col("value") <= F.col("q3") + reach, F.col("value"))).alias("high")

@@ -6,11 +6,12 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import demo
-from locusframe.functions import alleles, statistics, text
+from locusframe.functions import alleles, ranges, statistics, text
 from locusframe.operators import association, clustering, encoding, haplotypes, intervals, plotdata, traits
 from locusframe.plans.engine import EmptyRegion, Engine, Options
 from locusframe.sources import readers
@@ -553,3 +554,59 @@ def test_no_bin_holds_a_whole_chromosome(spark):
     x = spark.range(200_000).select(F.lit("c").alias("c"), (F.col("id") * 1000).alias("s"), (F.col("id") * 1000 + 500).alias("e"))
     binned = intervals._binned(x, F.col("s"), F.col("e"), "1").where("_width = _own1")
     assert binned.groupBy("_width", "_bin").count().agg(F.max("count")).first()[0] < 200
+
+
+def _trait_values(spark, n, seed):
+    rng = random.Random(seed)
+    rows = [(r, "t", 0, f"c{k}", k, float(rng.randrange(12)) if r else rng.random() * 100) for r in (0, 1) for k in range(5) for _ in range(rng.randrange(3, n))]
+    # a class of its own range: it meets others in no part
+    rows += [(r, "t", 0, "c9", 9, 1000.0 + i) for r in (0, 1) for i in range(9)] + [(0, "t", 0, "c1", 1, None)]
+    return spark.createDataFrame(rows, "region_ord int, trait string, trait_ord int, cls string, ord int, value double").repartition(5), rows
+
+
+def test_pairwise_and_boxes_over_parts(spark):
+    values, rows = _trait_values(spark, 40, 2)
+    own = {}
+    for r, _, _, cls, _, v in rows:
+        if v is not None:
+            own.setdefault((r, cls), []).append(v)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several parts of so few rows
+    try:
+        got = traits.pairwise(values, ["region_ord"]).collect()
+        boxes = {(r["region_ord"], r["cls"]): r for r in traits.box_stats(values, ["region_ord"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(got) == 2 * 15
+    for r in got:
+        a, b = own[r["region_ord"], r["class1"]], own[r["region_ord"], r["class2"]]
+        u = sum((x > y) + (x == y) / 2 for x in a for y in b)
+        assert r["u"] == max(u, len(a) * len(b) - u)
+        t = Counter(a + b)
+        n = len(a) + len(b)
+        var = len(a) * len(b) / 12 * ((n + 1) - sum(c**3 - c for c in t.values()) / (n * (n - 1)))
+        assert math.isclose(r["z"], (r["u"] - len(a) * len(b) / 2 - 0.5) / math.sqrt(var), rel_tol=1e-12)
+    for key, vs in own.items():
+        q = np.percentile(vs, [25, 50, 75])
+        np.testing.assert_allclose([boxes[key][c] for c in ("q1", "med", "q3")], q, rtol=1e-12)
+        reach = 1.5 * (q[2] - q[0])
+        assert boxes[key]["n"] == len(vs) and boxes[key]["whislo"] == min(min(v for v in vs if v >= q[0] - reach), q[0]) and boxes[key]["whishi"] == max(max(v for v in vs if v <= q[2] + reach), q[2])
+
+
+def test_adjustment_and_ranks_over_parts_equal_windows(spark, monkeypatch):
+    rng = random.Random(3)
+    tests = spark.createDataFrame([(g, i, None if i % 17 == 0 else rng.choice([1.0, 0.5, rng.random() ** 4, rng.random()])) for g in range(3) for i in range(400)], "g int, i int, p double").repartition(4)
+    seqs = spark.createDataFrame([(r, [rng.choice("ACGTN") for _ in range(3)], f"s{i}") for r in range(3) for i in range(300)], "region_ord int, seq array<string>, sample string")
+    found = []
+    for most in (ranges.WHOLE, 0):
+        monkeypatch.setattr(ranges, "WHOLE", most)
+        adjusted = {(r["g"], r["i"]): r["q"] for r in statistics.benjamini_hochberg(tests, "p", "q", ["g"]).collect()}
+        found.append((adjusted, sorted(map(tuple, haplotypes.rank(seqs).select("region_ord", "hap", "n", "seq", "hap_rank").collect()))))
+    assert found[0][1] == found[1][1]
+    assert found[0][0].keys() == found[1][0].keys()
+    for key, q in found[0][0].items():
+        assert q == found[1][0][key] if q is None else math.isclose(q, found[1][0][key], rel_tol=1e-14)
+    same = {}
+    for r in tests.where("p is not null").collect():
+        same.setdefault((r["g"], r["p"]), set()).add(found[1][0][r["g"], r["i"]])
+    assert all(len(v) == 1 for v in same.values())  # equal p-values stay equal
