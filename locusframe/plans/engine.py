@@ -8,10 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusframe.functions.alleles import genotype_tokens
 from locusframe.functions.text import level_column, level_stem
 from locusframe.operators import association, clustering, encoding, haplotypes, plotdata, traits
 from locusframe.sources import readers, sinks
-from locusframe.sources.scratch import cut
+from locusframe.sources.scratch import cut, discard
 
 
 #: Frames of the gene figure.
@@ -128,21 +129,23 @@ class Engine:
         report = cut(traits.report(values, ["region_ord"], o.level)) if trait_file else None
         features = readers.read_annotation(self.spark, gff_file) if plots and gff_file else None
         figures = {k: cut(df) for k, df in self.plot_data(result, features, values, report).items()} if plots else {}
-        for r in regions.orderBy("region_ord").collect():
-            self._write(result, r, outdir, report)
-            self._write_plots(result, r, outdir, figures)
+        kinds = self._files(result, report)
+        kinds |= {k if k not in kinds else f"figure_{k}": v for k, v in self._figure_files(result, figures).items()}
+        result.paths = sinks.write_files(self.spark, outdir, kinds, regions.orderBy("region_ord").collect())
         return result
 
     def prepare(self, vcf: str, outdir: str, region: str | None = None, region_file: str | None = None, backend: str = "auto") -> list[tuple[str, str]]:
         """Site and genotype tables of all samples; empty regions are left out."""
         regions = readers.read_regions(self.spark, region, region_file)
         header, sites, calls = self.located(vcf, regions, backend)
+        sites, calls = cut(sites), cut(calls)
         cells = haplotypes.grid(sites, calls, header, complete=True)
         names = [r["sample"] for r in header.orderBy("sample_ord").collect()]
-        out = []
-        for r in regions.join(sites, "region_ord", "left_semi").orderBy("region_ord").collect():
-            out.append(self._write_processed(sites, cells, names, r, outdir))
-        return out
+        full = regions.join(sites, "region_ord", "left_semi").orderBy("region_ord")
+        paths = sinks.write_files(self.spark, outdir, self._processed_files(full, sites, cells, names), full.collect())
+        discard(sites)
+        discard(calls)
+        return [(p["variants"], p["genotypes"]) for p in paths.values()]
 
     def plot_data(self, result: Result, features: DataFrame | None = None, values: DataFrame | None = None, report: DataFrame | None = None) -> dict[str, DataFrame]:
         """What each figure shows, as frames over all regions.
@@ -181,62 +184,48 @@ class Engine:
 
     # ---------------------------------------------------------- files
 
-    def _write_processed(self, sites: DataFrame, cells: DataFrame, names: list[str], r, outdir: str) -> tuple[str, str]:
-        from locusframe.functions.alleles import genotype_tokens
-
-        stem = sinks.prefix(outdir, r["chrom"], r["start"], r["stop"])
-        own = sites.where(F.col("region_ord") == r["region_ord"])
-        shown = cells.where(F.col("region_ord") == r["region_ord"]).select("site_ord", "sample_ord", F.array_join(genotype_tokens(F.col("tokens"), F.col("gt")), "/").alias("cell"))
-        return (
-            sinks.processed_variants(stem + ".ProcessedVariants.tsv", own),
-            sinks.genotype_tokens(stem + ".SampleGenotypeTokens.tsv", own, shown, names),
-        )
-
-    def _write(self, x: Result, r, outdir: str, report: DataFrame | None) -> None:
-        ord_ = r["region_ord"]
-        stem = sinks.prefix(outdir, r["chrom"], r["start"], r["stop"])
-        own = lambda df: df.where(F.col("region_ord") == ord_)
-        paths = x.paths.setdefault(ord_, {})
+    def _processed_files(self, regions: DataFrame, sites: DataFrame, cells: DataFrame, names: list[str]) -> dict[str, tuple[str, DataFrame]]:
+        shown = cells.select("region_ord", "site_ord", "sample_ord", F.array_join(genotype_tokens(F.col("tokens"), F.col("gt")), "/").alias("cell"))
+        return {
+            "variants": (".ProcessedVariants.tsv", sinks.processed_variants(regions, sites)),
+            "genotypes": (".SampleGenotypeTokens.tsv", sinks.genotype_tokens(regions, sites, shown, names)),
+        }
+
+    def _files(self, x: Result, report: DataFrame | None) -> dict[str, tuple[str, DataFrame]]:
+        """The endings and lines of the files of all regions."""
+        out: dict[str, tuple[str, DataFrame]] = {}
         if x.fisher is not None:
             g1, g2 = x.options.fisher_groups
-            names = {"a": f"{g1}_ALT", "b": f"{g1}_REF", "c": f"{g2}_ALT", "d": f"{g2}_REF"}
-            shown = own(x.fisher).orderBy("site_ord").select(
-                F.col("chrom").alias("CHROM"), F.col("pos").alias("POS"), F.col("vid").alias("ID"), *[F.col(k).alias(v) for k, v in names.items()], "pvalue", "padj", "keep"
-            )
-            paths["fisher"] = sinks.write_table(stem + ".FisherFilter.tsv", shown)
+            names = {"chrom": "CHROM", "pos": "POS", "vid": "ID", "a": f"{g1}_ALT", "b": f"{g1}_REF", "c": f"{g2}_ALT", "d": f"{g2}_REF", "pvalue": "pvalue", "padj": "padj", "keep": "keep"}
+            out["fisher"] = ".FisherFilter.tsv", sinks.table(x.regions, x.fisher, names, "site_ord")
         if x.options.write_processed:
-            paths["variants"], paths["genotypes"] = self._write_processed(x.sites, x.cells, x.samples, r, outdir)
-        # a region's distinct haplotypes, the bounded digest of its calls
-        sites = own(x.sites).orderBy("site_ord").select("chrom", "pos").collect()
-        rows = own(x.haps).join(x.clusters, ["region_ord", "hap"], "left").join(haplotypes.accessions(x.copies), ["region_ord", "hap"]).select("hap", "cluster", "seq", "accessions", "n").collect()
-        paths["summary"] = sinks.hap_summary(stem + ".HapSummary.tsv", rows, sites)
-        group_cols = ["Hap", "ClusterID", "Accession", "Type", *x.trait_names]
-        paths["group"] = sinks.write_table(stem + ".HapGroup.tsv", own(x.hap_group).orderBy("Accession"), group_cols)
-        codes = encoding.encode(own(x.haps), own(x.states))
-        coded = [(c["hap"], c["code"]) for c in codes.orderBy("hap_rank").collect()]
-        symbols = "".join(sorted({ch for _, code in coded for ch in code})) or "ACGT"
-        paths["fasta"] = sinks.fasta(stem + ".Haplotype.fa", coded)
-        paths["phylip"] = sinks.phylip(stem + ".Haplotype.phy", coded, len(sites))
-        paths["nexus"] = sinks.nexus(stem + ".Haplotype.nex", coded, len(sites), symbols)
-        place = own(x.sites).select("region_ord", "chrom", "pos", (F.row_number().over(_sites_in_order()) - 1).alias("at"))
-        states = own(x.states).join(place, ["region_ord", "at"]).orderBy("at", "state")
-        paths["states"] = sinks.write_table(stem + ".AlleleStateMap.tsv", states.select(F.col("chrom").alias("CHROM"), F.col("pos").alias("POS"), F.col("token").alias("OriginalToken"), F.col("state").alias("EncodedState")))
-        by_hap = dict(coded)
-        copies = own(x.copies).orderBy("sample_ord", "copy").select("sample", "copy", "hap")
-        label = (lambda c: f"{c['sample']}|{c['hap']}") if x.options.mode == "inbred" else (lambda c: f"{c['sample']}|copy{c['copy'] + 1}|{c['hap']}")
-        paths["sample_fasta"] = sinks.fasta(stem + ".Haplotype_sample.fa", ((label(c), by_hap[c["hap"]]) for c in copies.toLocalIterator()))
+            out |= self._processed_files(x.regions, x.sites, x.cells, x.samples)
+        rows = x.haps.join(x.clusters, ["region_ord", "hap"], "left").join(haplotypes.accessions(x.copies), ["region_ord", "hap"])
+        out["summary"] = ".HapSummary.tsv", sinks.hap_summary(x.regions, rows, x.sites)
+        out["group"] = ".HapGroup.tsv", sinks.table(x.regions, x.hap_group, {c: c for c in ("Hap", "ClusterID", "Accession", "Type", *x.trait_names)}, "Accession")
+        coded = cut(encoding.encode(x.haps, x.states))
+        out["fasta"] = ".Haplotype.fa", sinks.fasta(coded, F.col("hap"), "hap_rank")
+        out["phylip"] = ".Haplotype.phy", sinks.phylip(x.regions, coded, x.sites)
+        out["nexus"] = ".Haplotype.nex", sinks.nexus(x.regions, coded, x.sites)
+        place = x.sites.select("region_ord", "chrom", "pos", (F.row_number().over(_sites_in_order()) - 1).alias("at"))
+        states = x.states.join(place, ["region_ord", "at"])
+        out["states"] = ".AlleleStateMap.tsv", sinks.table(x.regions, states, {"chrom": "CHROM", "pos": "POS", "token": "OriginalToken", "state": "EncodedState"}, "at", "state")
+        copies = x.copies.select("region_ord", "sample", "sample_ord", "copy", "hap").join(coded.select("region_ord", "hap", "code"), ["region_ord", "hap"])
+        copy = [] if x.options.mode == "inbred" else [F.concat(F.lit("copy"), (F.col("copy") + 1).cast("string"))]
+        out["sample_fasta"] = ".Haplotype_sample.fa", sinks.fasta(copies, F.concat_ws("|", "sample", *copy, "hap"), "sample_ord", "copy")
         if report is not None:
-            report = own(report).orderBy("trait_ord", F.col("ComparisonType") == "pairwise", "ord1", "ord2")
-            shown = report.drop("region_ord", "trait_ord", "ord1", "ord2").withColumnRenamed("trait", "Trait")
-            paths["significance"] = sinks.write_table(stem + level_stem(x.options.level, "TraitSignificance.tsv"), shown)
+            shown = report.withColumn("second", F.col("ComparisonType") == "pairwise").withColumnRenamed("trait", "Trait")
+            own = [c for c in shown.columns if c not in ("region_ord", "trait_ord", "ord1", "ord2", "second")]
+            out["significance"] = level_stem(x.options.level, "TraitSignificance.tsv"), sinks.table(x.regions, shown, {c: c for c in own}, "trait_ord", "second", "ord1", "ord2")
+        return out
 
-    def _write_plots(self, x: Result, r, outdir: str, figures: dict[str, DataFrame]) -> None:
+    def _figure_files(self, x: Result, figures: dict[str, DataFrame]) -> dict[str, tuple[str, DataFrame]]:
         """Each figure's data as a table beside the results."""
-        stem = sinks.prefix(outdir, r["chrom"], r["start"], r["stop"])
+        out = {}
         for name, df in figures.items():
-            own = df.where(F.col("region_ord") == r["region_ord"])
-            flat = own.select(*[c for c, t in own.dtypes if not t.startswith(("array", "map", "struct"))])
-            x.paths[r["region_ord"]][name] = sinks.write_table(stem + level_stem(x.options.level, "GeneHaplotype" if name in GENE_FIGURE else "plot") + f"_{name}.tsv", flat)
+            flat = [c for c, t in df.dtypes if not t.startswith(("array", "map", "struct"))]
+            out[name] = level_stem(x.options.level, "GeneHaplotype" if name in GENE_FIGURE else "plot") + f"_{name}.tsv", sinks.table(x.regions, df, {c: c for c in flat})
+        return out
 
 
 def _sites_in_order():
