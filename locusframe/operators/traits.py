@@ -126,7 +126,7 @@ def _rank_sums(live: DataFrame, keys: list[str]) -> DataFrame:
     counts = live.groupBy(*keys, "value", "ord").agg(F.count("*").alias("c"))
     rows = counts.groupBy(*keys, "value").agg(F.collect_list(F.struct("ord", "c")).alias("cs"))
     # groups are told apart by a text of their keys, which stand beside it
-    named = rows.select(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_g"), "value", "cs")
+    named = rows.select(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_g"), "value", F.col("cs.ord").alias("ords"), F.col("cs.c").alias("cs"))
     schema = "_g string, part int, ord1 int, ord2 int, n long, below long, cubes double"
     found = cut(named.repartitionByRange("_g", "value").sortWithinPartitions("_g", "value").mapInPandas(_pass, schema))
     own, inside = found.where("ord2 is null"), found.where("ord2 is not null")
@@ -146,42 +146,52 @@ def _rank_sums(live: DataFrame, keys: list[str]) -> DataFrame:
     return whole.select(*keys, "ord1", "ord2", "u2x", (F.col("mixed") + F.col("t1") + F.col("t2")).alias("ties"))
 
 
+#: Distinct values that are added up at once.
+_AT_ONCE = 2048
+
+
 def _pass(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sums of each group's part over its sorted values: of its classes (ord2 null;
     how many values, and the cubes of their counts), and of its pairs of classes."""
-    now, of, seen, below, ties = None, {}, np.zeros(0), None, None
+    now, of, state = None, {}, None
+
+    def widened(a: np.ndarray, k: int) -> np.ndarray:
+        return np.pad(a, [(0, k - n) for n in a.shape])
+
+    def add(ords: list[np.ndarray], counts: list[np.ndarray]) -> None:
+        """The next values, as a matrix of their counts by class."""
+        nonlocal state
+        flat = np.concatenate(ords)
+        for o in np.unique(flat).tolist():
+            of.setdefault(o, len(of))
+        k = len(of)
+        seen, below, cubes, mixed = (widened(x, k) for x in state)
+        c = np.zeros((len(ords), k), np.int64)
+        c[np.repeat(np.arange(len(ords)), [len(o) for o in ords]), [of[o] for o in flat.tolist()]] = np.concatenate(counts)
+        upto = np.cumsum(c, axis=0)
+        below = below + c.T @ (2 * (seen + upto) - c)
+        size = c.astype(np.float64)
+        state = seen + upto[-1], below, cubes + (size**3).sum(axis=0), mixed + (size * size).T @ size
 
     def done() -> pd.DataFrame:
+        seen, below, cubes, mixed = state
         ords, k = np.array(list(of), np.int64), len(of)
         i, j = np.nonzero(ords[:, None] < ords[None, :])
         head = {"_g": now, "part": TaskContext.get().partitionId()}
-        own = pd.DataFrame(head | {"ord1": ords, "ord2": pd.array([None] * k, "Int64"), "n": seen[:k], "below": 0, "cubes": ties[0][:k]})
-        pairs = pd.DataFrame(head | {"ord1": ords[i], "ord2": pd.array(ords[j], "Int64"), "n": 0, "below": below[i, j], "cubes": 3 * (ties[1][i, j] + ties[1][j, i])})
+        own = pd.DataFrame(head | {"ord1": ords, "ord2": pd.array([None] * k, "Int64"), "n": seen, "below": 0, "cubes": cubes})
+        pairs = pd.DataFrame(head | {"ord1": ords[i], "ord2": pd.array(ords[j], "Int64"), "n": 0, "below": below[i, j], "cubes": 3 * (mixed[i, j] + mixed[j, i])})
         return pd.concat([own, pairs])
 
     for pdf in it:
-        for g, cs in zip(pdf["_g"], pdf["cs"], strict=True):
+        for g, part in pdf.groupby("_g", sort=False):
             if g != now:
                 if now is not None:
                     yield done()
-                now, of, seen = g, {}, np.zeros(8, np.int64)
-                below, ties = np.zeros((8, 8), np.int64), (np.zeros(8), np.zeros((8, 8)))
-            at, c = [], []
-            for one in cs:
-                at.append(of.setdefault(one["ord"], len(of)))
-                c.append(one["c"])
-            while len(of) > len(seen):
-                grow = len(seen)
-                seen, below = np.pad(seen, (0, grow)), np.pad(below, ((0, grow), (0, grow)))
-                ties = np.pad(ties[0], (0, grow)), np.pad(ties[1], ((0, grow), (0, grow)))
-            at, c = np.array(at), np.array(c, np.int64)
-            here = np.zeros(len(seen), np.int64)
-            here[at] = c
-            below[at] += c[:, None] * (2 * seen + here)
-            size = c.astype(np.float64)
-            ties[0][at] += size**3
-            ties[1][np.ix_(at, at)] += np.outer(size * size, size)
-            seen[at] += c
+                now, of = g, {}
+                state = np.zeros(0, np.int64), np.zeros((0, 0), np.int64), np.zeros(0), np.zeros((0, 0))
+            ords, counts = part["ords"].to_list(), part["cs"].to_list()
+            for at in range(0, len(ords), _AT_ONCE):
+                add(ords[at : at + _AT_ONCE], counts[at : at + _AT_ONCE])
     if now is not None:
         yield done()
 

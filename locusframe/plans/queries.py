@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,8 +50,15 @@ class Lens:
         self.pool = readers.pool(self.samples.select("sample", "sample_ord"), self.groups)
         self.cells = haplotypes.grid(self.sites, self.calls, self.pool, complete=True)
         self.seqs = haplotypes.sequences(self.cells, mode, policy)
-        self.haps = haplotypes.rank(self.seqs)
-        self.copies = haplotypes.sample_haps(self.seqs, self.haps)
+
+    # ranks need a job, so only queries that read them have it
+    @functools.cached_property
+    def haps(self) -> DataFrame:
+        return haplotypes.rank(self.seqs)
+
+    @functools.cached_property
+    def copies(self) -> DataFrame:
+        return haplotypes.sample_haps(self.seqs, self.haps)
 
     def clustered(self, threshold: float = THRESHOLD) -> DataFrame:
         self.seqs = cut(self.seqs)
@@ -68,7 +76,8 @@ class Lens:
         return self.samples.select(F.col("sample").alias("Accession"), known(F.col("balance")).alias("balance"), known(score).alias("score"))
 
     def hap_group(self) -> DataFrame:
-        named = haplotypes.classes(self.copies, self.clustered(), self.mode)
+        member = self.clustered()
+        named = haplotypes.classes(self.copies, member, self.mode)
         typed = named.join(self.groups, "sample", "left").withColumn("Type", F.coalesce("grp", F.lit("NA")))
         return typed.join(self.traits().withColumnRenamed("Accession", "sample"), "sample", "left").select(
             "region_ord", "sample_ord", "Hap", "ClusterID", F.col("sample").alias("Accession"), "Type", *TRAITS
@@ -250,7 +259,8 @@ def q26_hap_group_traits(spark, sf_dir):
 @query
 def q27_diplotype_classes(spark, sf_dir):
     x = Lens(spark, sf_dir, "hybrid")
-    named = haplotypes.classes(x.copies, x.clustered(), "hybrid")
+    member = x.clustered()
+    named = haplotypes.classes(x.copies, member, "hybrid")
     return plain(named.groupBy("region_ord", "Hap", "ClusterID").agg(F.count("*").alias("n")))
 
 
