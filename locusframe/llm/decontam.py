@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, RollingHash, batches, bounded_batches, long_id, mix64, word_bounds
+from .common import U64, RollingHash, batches, bounded_batches, long_id, mix64, release_memory, word_bounds
 
 SIMILARITY = 0.8
 TABLES = 48
@@ -283,14 +283,20 @@ class Index:
 def _matches(ids: list[int], texts: list[str | None], similarity: float, tables: int, bits: int):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Index(ids, texts, similarity, tables, bits)
-        for pdf in it:
-            doc, text = pdf["doc"].to_numpy(), [t if isinstance(t, str) else None for t in pdf["text"]]
-            sizes = [t.encode("utf-8", "replace") if t else b"" for t in text]
-            out = []
-            for a, b in batches(sizes, 1 << 22):
-                out += [(doc[a + t], index.items[i][0], d, s, len(index.items[i][1])) for t, i, d, s in index.search(text[a:b])]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pd.DataFrame({c: np.array(v, np.int64) for c, v in zip(("doc", "item", "edits", "first_word", "item_words"), cols, strict=True)})
+        try:
+            for pdf in it:
+                yield matched(index, pdf)
+        finally:
+            release_memory()
+
+    def matched(index: Index, pdf: pd.DataFrame) -> pd.DataFrame:
+        doc, text = pdf["doc"].to_numpy(), [t if isinstance(t, str) else None for t in pdf["text"]]
+        sizes = [t.encode("utf-8", "replace") if t else b"" for t in text]
+        out = []
+        for a, b in batches(sizes, 1 << 22):
+            out += [(doc[a + t], index.items[i][0], d, s, len(index.items[i][1])) for t, i, d, s in index.search(text[a:b])]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 5
+        return pd.DataFrame({c: np.array(v, np.int64) for c, v in zip(("doc", "item", "edits", "first_word", "item_words"), cols, strict=True)})
 
     return run
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, RollingHash, as_before, as_text, batches, bounded_batches, mix64, word_bounds
+from .common import U64, RollingHash, as_before, as_text, batches, bounded_batches, mix64, release_memory, word_bounds
 
 MOST_ROWS = 1_500
 SLOTS = 1 << 15
@@ -314,8 +314,11 @@ def keep_clean(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _function_table()
-        for batch in it:
-            yield batch.filter(pa.array(scores_of(batch.column(text_col).to_pylist(), model, table) < CUT))
+        try:
+            for batch in it:
+                yield batch.filter(pa.array(scores_of(batch.column(text_col).to_pylist(), model, table) < CUT))
+        finally:
+            release_memory()
 
     return df.mapInArrow(run, df.schema)
 
