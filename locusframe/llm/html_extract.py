@@ -27,7 +27,9 @@ Defined results: null or empty html gives an empty text; a null url has an
 empty host; pages of that host are treated as one host's.  Unclosed elements
 end with their container; a quotation mark belongs to a tag's value only right
 after an equals sign; pages of any length are read whole; ids pass through, be they
-null, repeated or strings.  Repeated rows
+null, repeated or strings.  A skipped element inside a line is left out of its block and
+does not part it; a tag that never ends is dropped to the end of the page; a class
+or id is a mark only as a whole name.  Repeated rows
 give repeated results; other columns are ignored; an empty table gives an empty
 table.
 """
@@ -64,11 +66,18 @@ SIBLINGS = {
 CONTAINERS = BLOCK - frozenset("p li dt dd tr td th h1 h2 h3 h4 h5 h6 hr caption legend summary figcaption".split())
 # fixed values: words of a class, id or role that mark boilerplate
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars footer masthead comment comments commentlist disqus respond share sharing social related newsletter subscribe popup modal overlay pagination pager toolbar login signup widget complementary contentinfo search".split()
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars footer masthead comment comments commentlist disqus respond share sharing social related newsletter subscribe popup modal overlay pagination pager toolbar login signup widget complementary contentinfo".split()
+)
+# fixed values: words that may stand beside a mark in a name of several words
+BESIDE = frozenset(
+    "site page main top bottom left right head body primary secondary global local fixed sticky inline mobile desktop post article content section wrapper wrap container box block bar area panel list item items link links inner outer group row col column button buttons icon icons form zone unit slot label text title header center middle small large wide first last".split()
 )
 NEVER_BY_CLASS = frozenset(("html", "body", "article", "main"))
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=(?:\s*+(?:"[^"]*+"|'[^']*+'))?+)*+)>""", re.S)
+_BROKEN = re.compile(r"<[/!?A-Za-z]")
+#: Skipped blocks that an article or main element ends if they are never closed.
+UNCLOSED = ("nav", "header", "footer", "aside", "form", "menu")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
@@ -80,10 +89,12 @@ def marked(attrs: str) -> tuple[bool, bool]:
     main = False
     for m in _ATTR.finditer(attrs):
         for token in (m[2] or m[3] or m[4] or "").lower().split():
-            words = re.split(r"[-_]+", token)
-            if m[1].lower() == "role" and token in MAIN:
+            words = [w for w in re.split(r"[-_]+", token) if w]
+            role = m[1].lower() == "role"
+            if role and token in MAIN:
                 main = True
-            if len(words) <= 3 and words[0] not in ("has", "with", "no") and (words[0] in MARKS or words[-1] in MARKS):
+            # a name is a mark as a whole: each of its words is one, or may stand by one
+            if role and token == "search" or any(w in MARKS for w in words) and all(w in MARKS or w in BESIDE or w.isdigit() for w in words):
                 return True, False
     return bool(_HIDDEN.search(attrs)), main
 
@@ -99,41 +110,58 @@ class Block:
 def blocks_of(page: str | None) -> list[Block]:
     """The blocks of a page that hold text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, skipped, main
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, skipped, main, never closed
     parts: list[str] = []
     element = "body"
+    inside = 0  # open skipped elements that are no blocks
+    open_for_ever = unclosed(page or "")
+
+    def say(piece: str) -> None:
+        # what a skipped element inside a line holds is no part of the line's block
+        if not inside:
+            parts.append(piece)
+
+    def leave(i: int) -> None:
+        """Close the elements from the i-th on."""
+        nonlocal inside
+        inside -= sum(e[0] not in BLOCK for e in stack[i:])
+        del stack[i:]
 
     def close_block() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                skipped, main = stack[-1][1:] if stack else (False, False)
+                skipped, main = next(((e[1], e[2]) for e in reversed(stack) if e[0] in BLOCK), (False, False))
                 out.append(Block(text, element, skipped, main))
 
     at, text = 0, page or ""
     while True:
         m = _TAG.search(text, at)
         if m is None:
-            parts.append(text[at:])
+            # a tag that never ends is dropped to the end of the page
+            rest = text[at:]
+            broken = _BROKEN.search(rest)
+            say(rest[: broken.start()] if broken else rest)
             break
         if m.start() > at:
-            parts.append(text[at : m.start()])
+            say(text[at : m.start()])
         at = m.end()
         name = m[2]
         if name is None:
             continue
         name = name.lower()
         if name == "br":
-            parts.append(" ")
+            say(" ")
             continue
         if m[1]:
             if name in BLOCK:
                 close_block()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    close_block()
-                    del stack[i:]
+                    if any(e[0] in BLOCK for e in stack[i:]):
+                        close_block()
+                    leave(i)
                     break
                 if stack[i][0] in CONTAINERS and name not in CONTAINERS:
                     break
@@ -144,25 +172,46 @@ def blocks_of(page: str | None) -> list[Block]:
             # a paragraph ends where the next block begins; list items and cells
             # where the next of their kind does
             ends = SIBLINGS.get(name, frozenset()) | {"p"}
-            while stack and stack[-1][0] in ends:
-                stack.pop()
+            while (k := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), -1)) >= 0 and stack[k][0] in ends:
+                leave(k)
+            if name in MAIN:
+                # a menu that nobody closed ends where the main text begins
+                for i, e in enumerate(stack):
+                    if e[3]:
+                        leave(i)
+                        break
         if name in VOID or m[3].endswith("/") and name not in BLOCK:
             continue
-        skipped, main = stack[-1][1:] if stack else (False, False)
+        skipped, main = stack[-1][1:3] if stack else (False, False)
         by_class, by_role = marked(m[3])
         own = name in SKIPPED or (by_class and name not in NEVER_BY_CLASS)
-        if own and not skipped:
-            close_block()
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(text, at)
             at = end.end() if end else len(text)
             continue
         if name in BLOCK or own:
-            stack.append((name, skipped or own, main or name in MAIN or by_role))
+            stack.append((name, skipped or own, main or name in MAIN or by_role, own and m.start() in open_for_ever))
+            inside += name not in BLOCK
     close_block()
     return out
 
 
+def unclosed(page: str) -> set[int]:
+    """Places of the tags of skipped blocks that are never closed."""
+    low, out = page.lower(), set()
+    for name in UNCLOSED:
+        if low.count(f"<{name}") == low.count(f"</{name}"):
+            continue
+        waiting: list[int] = []
+        for m in re.finditer(rf"<(/?){name}(?=[\s/>])", low):
+            if not m[1]:
+                waiting.append(m.start())
+            elif waiting:
+                waiting.pop()
+        out.update(waiting)
+    return out
+
+
 def sorted_to(tokens: np.ndarray, depth: int) -> np.ndarray:
     """Ranks of suffixes by their first ``depth`` tokens (prefix doubling)."""
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)

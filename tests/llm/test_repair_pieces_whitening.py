@@ -277,3 +277,27 @@ def test_tiny_and_large_vectors_link_by_direction(spark):
     got = {r["vec_id"]: r for r in queries.embed_dedup.near_duplicates(spark, spark.createDataFrame(rows, VEC)).collect()}
     assert [got[i]["component_id"] for i in (20, 21, 22)] == [min(i for i in got if got[i]["component_id"] == got[20]["component_id"])] * 3
     assert got[20]["n_links"] >= 2
+
+
+def text_of(page):
+    return "\n\n".join(b.text for b in queries.html_extract.blocks_of(page) if b.main and not b.skipped)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<article><p class="share-price">Up 3 %.</p><div class="social-science">Study.</div><section class="search">Found.</section></article>', "Up 3 %.\n\nStudy.\n\nFound."),
+        ('<article><p>One.</p><div class="ad-banner">Buy</div><ul class="site-nav"><li>Home</ul><div id="cookie-notice">Yes</div><div class="comments-list"><p>me too</p></div><p>Two.</p></article>', "One.\n\nTwo."),
+        ("<article><p>Press <button>OK</button> to go, <label>not</label>where <math>x</math> is.</p></article>", "Press to go, where is."),
+        ('<article><p>A <span class="ad">Buy <b>now</b></span> B<p>C <select><option>1<option>2</select>D</article>', "A B\n\nC D"),
+        ("<nav><ul><li>Home<article><p>Text.</p></article>", "Text."),
+        ("<aside><article><p>Other.</p></article></aside><main><p>Own.</p></main>", "Own."),
+        ("<header><h1>Site</h1><article><header>Title line</header><p>Text.</p></article>", "Text."),
+        ("<article><p>Text.</p></article><p class='x" + "y" * 1000, "Text."),
+        ("<article><p>1 < 2 and a<b>c</b> &lt;x&gt;</p><p>end <a href=", "1 < 2 and ac <x>\n\nend"),
+        ("<article><p>A <span class='ad'>Buy<p>B</article>", "A\n\nB"),
+        ("<article><label><p>In</p></label><p>Out</p></article>", "Out"),
+    ],
+)
+def test_main_text_of_written_pages(page, want):
+    assert text_of(page) == want

@@ -188,7 +188,7 @@ def test_html_malformed_tags_and_odd_rows(spark):
         '<article><p data-x=1"2>One<br/>two</p>': "One two",
         "<article>3 < 4 and <> 5 <p/>next": "3 < 4 and <> 5\n\nnext",
         "<article><p>" + "word " * 60_000 + "</p></article>": ("word " * 60_000).strip(),
-        "no tags": "no tags", "<p": "<p", "<!-- <article> -->x": "x",
+        "no tags": "no tags", "<p": "", "<!-- <article> -->x": "x",
     }
     rows = [(None if k == 2 else f"p{k}", f"http://h{k}.example/", t) for k, t in enumerate(texts)] * 2
     df = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(1)
