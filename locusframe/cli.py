@@ -7,7 +7,9 @@ import sys
 
 from locusframe import __version__
 from locusframe.functions.text import csv_list
+from locusframe.plans.engine import Engine, Options
 from locusframe.sources.readers import BACKENDS
+from locusframe.sources.scratch import scope
 
 
 def parser() -> argparse.ArgumentParser:
@@ -51,8 +53,6 @@ def main(argv: list[str] | None = None) -> int:
 
     from pyspark.sql import SparkSession
 
-    from locusframe.plans.engine import Engine, Options
-
     spark = SparkSession.builder.appName("locusframe").getOrCreate()
     if a.command == "ingest":
         from locusframe.sources.readers import ingest
@@ -60,7 +60,11 @@ def main(argv: list[str] | None = None) -> int:
         ingest(spark, a.vcf, a.out)
         print(a.out)
         return 0
-    engine = Engine(spark)
+    with scope():  # all results are in files at its end
+        return _run(Engine(spark), a, groups)
+
+
+def _run(engine: Engine, a: argparse.Namespace, groups: list[str] | None) -> int:
     if a.command == "prepare":
         for pair in engine.prepare(a.vcf, a.outdir, a.region, a.region_file, a.vcf_backend):
             print(*pair, sep="\n")

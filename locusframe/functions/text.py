@@ -13,6 +13,7 @@ FEATURE_TYPES = {
     "five_prime_utr": "five_prime_UTR", "5utr": "five_prime_UTR", "5_prime_utr": "five_prime_UTR",
     "three_prime_utr": "three_prime_UTR", "3utr": "three_prime_UTR", "3_prime_utr": "three_prime_UTR",
 }
+# fixed values: attributes that name a feature, the first one found counts
 NAME_KEYS = ("Name", "gene", "gene_name", "ID", "locus_tag")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: the order in which free characters are taken
-STATES = "ACGTNRYSWKMBDHV" + "0123456789" + "abcdefghijklmnopqrstuvwxyz" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+STATES = "ACGTNRYSWKMBDHV0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PLAIN = ("A", "C", "G", "T", "N")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_MADE: list[DataFrame] = []
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Deletes the tables of ``cut`` made inside, when nothing reads them any more."""
+    have = len(_MADE)
+    try:
+        yield
+    finally:
+        for df in _MADE[have:]:
+            discard(df)
+        del _MADE[have:]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write a table in the shared folder and read it back.
 
@@ -35,6 +52,7 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lf_path = path
+    _MADE.append(out)
     return out
 
 
