@@ -115,8 +115,8 @@ class Engine:
     def analyze(self, vcf: str, group_file: str, outdir: str, region: str | None = None, region_file: str | None = None, trait_file: str | None = None, gff_file: str | None = None, options: Options | None = None, plots: bool = False) -> Result:
         o = options or Options()
         level_column(o.level)
-        regions = readers.read_regions(self.spark, region, region_file).cache()
-        groups = readers.read_groups(self.spark, group_file).cache()
+        regions = cut(readers.read_regions(self.spark, region, region_file))
+        groups = cut(readers.read_groups(self.spark, group_file))
         header, sites, calls = self.located(vcf, regions, o.vcf_backend)
         trait_table = readers.read_traits(self.spark, trait_file) if trait_file else None
         # parsed once: every later step reads these
@@ -136,7 +136,7 @@ class Engine:
 
     def prepare(self, vcf: str, outdir: str, region: str | None = None, region_file: str | None = None, backend: str = "auto") -> list[tuple[str, str]]:
         """Site and genotype tables of all samples; empty regions are left out."""
-        regions = readers.read_regions(self.spark, region, region_file)
+        regions = cut(readers.read_regions(self.spark, region, region_file))
         header, sites, calls = self.located(vcf, regions, backend)
         sites, calls = cut(sites), cut(calls)
         cells = haplotypes.grid(sites, calls, header, complete=True)

@@ -3,6 +3,7 @@
 import gzip
 import itertools
 import math
+import os
 import random
 from collections import Counter
 
@@ -610,3 +611,44 @@ def test_adjustment_and_ranks_over_parts_equal_windows(spark, monkeypatch):
     for r in tests.where("p is not null").collect():
         same.setdefault((r["g"], r["p"]), set()).add(found[1][0][r["g"], r["i"]])
     assert all(len(v) == 1 for v in same.values())  # equal p-values stay equal
+
+
+def test_files_are_ordered_over_parts(spark, tmp_path):
+    from locusframe.sources import sinks
+
+    lines = spark.range(20_000).select((F.col("id") % 3).cast("int").alias("region_ord"), F.lit(1).alias("section"), F.col("id").alias("o0"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("line"))
+    regions = [{"region_ord": i, "chrom": "c", "start": i + 1, "stop": 9} for i in range(4)]
+    merging = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for out in (str(tmp_path / "x"), f"file:{tmp_path}/y/"):  # a plain folder and a URI
+            paths = sinks.write_files(spark, out, {"k": (".txt", lines)}, regions)
+            for i in range(3):
+                assert open(paths[i]["k"].removeprefix("file:")).read() == "".join(f"l{j}\n" for j in range(i, 20_000, 3))
+            assert open(paths[3]["k"].removeprefix("file:")).read() == ""
+            assert sorted(p.name for p in (tmp_path / out.rstrip("/")[-1]).iterdir()) == [f"c_{i + 1}_9.txt" for i in range(4)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merging)
+
+
+def test_jobs_do_not_grow_with_regions(spark, files, tmp_path):
+    jobs = {}
+    for n in (1, 4):
+        (tmp_path / "r.tsv").write_text("".join(f"ChrDemo\t{900 + i}\t2900\n" for i in range(n)))
+        spark.sparkContext.setJobGroup(f"regions {n}", "x")
+        result = Engine(spark).analyze(str(files / "p2.vcf"), str(files / "groups.tsv"), str(tmp_path / f"o{n}"), region_file=str(tmp_path / "r.tsv"))
+        jobs[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"regions {n}"))
+        assert len(result.paths) == n
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[4] <= jobs[1] + 8, jobs  # a few more exchanges, no set of jobs a region
+    a, b = (open(tmp_path / o / "ChrDemo_900_2900.HapSummary.tsv").read() for o in ("o1", "o4"))
+    assert a == b
+
+
+def test_scratch_tables_go_with_their_scope(spark, tmp_path):
+    from locusframe.sources import scratch
+
+    with scratch.scope():
+        path = scratch.cut(spark.range(3))._lf_path.removeprefix("file://")
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
