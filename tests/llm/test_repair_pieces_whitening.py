@@ -301,3 +301,49 @@ def text_of(page):
 )
 def test_main_text_of_written_pages(page, want):
     assert text_of(page) == want
+
+
+def test_url_rules_beyond_the_literal_list(spark, monkeypatch):
+    urls = ["http://a.com/casino-x", "https://b.org/ok", None, "http://ads.net/es/1", "http://x.org/wp-admin/", "nothing", "http://porn.example.com/en/a?b", "HTTP://C.ORG/track/click/9"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = []
+    for most in (queries.url_filter.MOST_LITERAL, 0):
+        monkeypatch.setattr(queries.url_filter, "MOST_LITERAL", most)
+        found.append(sorted(map(str, queries.url_filter.judge(df).collect())))
+    assert found[0] == found[1] and len(found[0]) == len(urls)
+
+
+def test_pipeline_stages_with_odd_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage, same, other = prose(60), prose(80), prose(70)
+    rows = [
+        (1, same), (2, same + " end"), (None, same), (3, None), (None, None), (4, ""), (5, prose(30) + " " + passage + " " + prose(30)), (None, "x " + passage),
+        (6, other + " mail a@b.com"), (6, prose(40)), (7, prose(50)), (7, prose(50)),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(7, 1, 0), (6, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    empty = docs.limit(0)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        made = stage(spark, docs, str(tmp_path))
+        none = stage(spark, empty, str(tmp_path))
+        assert none.count() == 0 and none.columns == made.columns
+        if name == "bpe":
+            assert made.count() == docs.count()
+            continue
+        assert made.columns == docs.columns
+        made.write.parquet(str(tmp_path / name))
+        docs, empty = spark.read.parquet(str(tmp_path / name)), none
+        ids = sorted(str(r["doc_id"]) for r in docs.collect())
+        if name == "toxicity":
+            assert len(ids) == len(rows)
+        if name == "ngram_join":  # 2 is a copy of 1; rows without an id are not named
+            assert ids == sorted(str(i) for i, _ in rows if i != 2)
+        if name == "decontamination":  # 5 holds the passage; so does a row without an id, which stays
+            assert ids == sorted(str(i) for i, _ in rows if i not in (2, 5))
+        if name == "pii":
+            texts = [r["text"] for r in docs.collect()]
+            assert not any("a@b.com" in t for t in texts if t) and texts.count(None) == 2
