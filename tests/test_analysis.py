@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import demo
 from locusframe.functions import alleles, ranges, statistics, text
 from locusframe.operators import association, clustering, encoding, haplotypes, intervals, plotdata, traits
+from locusframe.plans import oracle
 from locusframe.plans.engine import EmptyRegion, Engine, Options
 from locusframe.sources import readers
 
@@ -652,3 +653,11 @@ def test_scratch_tables_go_with_their_scope(spark, tmp_path):
         path = scratch.cut(spark.range(3))._lf_path.removeprefix("file://")
         assert os.path.isdir(path)
     assert not os.path.exists(path)
+
+
+def test_sql_tails_of_large_statistics():
+    duckdb = pytest.importorskip("duckdb")
+    for h, k, want in [(6530.136922, 7, 0.0), (4192.737204, 5, 0.0), (3.84145882, 2, 0.05), (9.4877290, 5, 0.05), (7.8147279, 4, 0.05), (0.0, 3, 1.0)]:
+        assert duckdb.connect().execute(f"SELECT {oracle.CHI_TAIL} FROM (SELECT CAST({h} AS DOUBLE) AS h, {k} AS k)").fetchone()[0] == pytest.approx(want, abs=1e-6)
+    for z in (0.3, 1.9, 2.0, 4.5, 8.9, 12.0, 38.0, 60.0):
+        assert duckdb.connect().execute(f"SELECT {oracle.NORMAL_TAIL} FROM (SELECT CAST({z} AS DOUBLE) AS z)").fetchone()[0] == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-9)
