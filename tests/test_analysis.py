@@ -661,3 +661,13 @@ def test_sql_tails_of_large_statistics():
         assert duckdb.connect().execute(f"SELECT {oracle.CHI_TAIL} FROM (SELECT CAST({h} AS DOUBLE) AS h, {k} AS k)").fetchone()[0] == pytest.approx(want, abs=1e-6)
     for z in (0.3, 1.9, 2.0, 4.5, 8.9, 12.0, 38.0, 60.0):
         assert duckdb.connect().execute(f"SELECT {oracle.NORMAL_TAIL} FROM (SELECT CAST({z} AS DOUBLE) AS z)").fetchone()[0] == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-9)
+
+
+def test_sql_significance_of_large_statistics():
+    duckdb = pytest.importorskip("duckdb")
+    head = oracle.VALUES + oracle.KRUSKAL.format(k="region_ord, trait") + oracle.MWU
+    rows = "SELECT 0 AS region_ord, 'score' AS trait, CAST(13500 AS BIGINT) AS n, 5 AS k, CAST(4192.737204 AS DOUBLE) AS h"
+    pairs = "SELECT 0 AS region_ord, 'score' AS trait, 'a' AS class1, 'b' AS class2, CAST(1 AS BIGINT) AS n1, CAST(1 AS BIGINT) AS n2, 0.0 AS mean1, 0.0 AS mean2, 1.0 AS pvalue, 1.0 AS padj"
+    found = duckdb.connect().execute(f"WITH kp AS (SELECT *, {oracle.CHI_TAIL} AS pvalue FROM ({rows})), pb AS ({pairs})" + oracle.ORACLES["q38_trait_significance"].removeprefix(head)).fetchall()
+    stars = {r[3]: (r[11], r[13]) for r in found}
+    assert stars["overall"] == (0.0, "***") and stars["pairwise"][1] == "ns"
