@@ -671,3 +671,15 @@ def test_sql_significance_of_large_statistics():
     found = duckdb.connect().execute(f"WITH kp AS (SELECT *, {oracle.CHI_TAIL} AS pvalue FROM ({rows})), pb AS ({pairs})" + oracle.ORACLES["q38_trait_significance"].removeprefix(head)).fetchall()
     stars = {r[3]: (r[11], r[13]) for r in found}
     assert stars["overall"] == (0.0, "***") and stars["pairwise"][1] == "ns"
+
+
+def test_sql_places_go_by_p_values(spark):
+    duckdb = pytest.importorskip("duckdb")
+    # both p-values are the zero of doubles: the display order decides, not z
+    rows = [("a", "b", 1, 2, 0.0, 50.0), ("a", "c", 1, 3, 0.0, 60.0), ("b", "c", 2, 3, 0.01, 2.6)]
+    values = ", ".join(f"(0, 'score', '{a}', '{b}', {i}, {j}, CAST({p} AS DOUBLE), CAST({p} AS DOUBLE), CAST({z} AS DOUBLE))" for a, b, i, j, p, z in rows)
+    pb = f"WITH pb AS (SELECT * FROM (VALUES {values}) t(region_ord, trait, class1, class2, ord1, ord2, pvalue, padj, z))"
+    sql = duckdb.connect().execute(pb + oracle.ORACLES["q40_top_annotations"].removeprefix(oracle.VALUES + oracle.MWU)).fetchall()
+    table = spark.createDataFrame([(0, "score", "pairwise", a, b, i, j, p, p) for a, b, i, j, p, _ in rows], "region_ord long, trait string, ComparisonType string, Class1 string, Class2 string, ord1 int, ord2 int, pvalue double, padj_BH double")
+    found = traits.top_annotations(table, ["region_ord"]).select("region_ord", "trait", "Class1", "Class2", "padj_BH", "place").collect()
+    assert sorted(sql) == sorted(map(tuple, found))
