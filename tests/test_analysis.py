@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 import demo
 from locusframe.functions import alleles, ranges, statistics, text
 from locusframe.operators import association, clustering, encoding, haplotypes, intervals, plotdata, traits
-from locusframe.plans import oracle
+from locusframe.plans import oracle, queries
 from locusframe.plans.engine import EmptyRegion, Engine, Options
-from locusframe.sources import readers
+from locusframe.sources import lens, readers
 
 
 def one(spark, **cols):
@@ -683,3 +683,25 @@ def test_sql_places_go_by_p_values(spark):
     table = spark.createDataFrame([(0, "score", "pairwise", a, b, i, j, p, p) for a, b, i, j, p, _ in rows], "region_ord long, trait string, ComparisonType string, Class1 string, Class2 string, ord1 int, ord2 int, pvalue double, padj_BH double")
     found = traits.top_annotations(table, ["region_ord"]).select("region_ord", "trait", "Class1", "Class2", "padj_BH", "place").collect()
     assert sorted(sql) == sorted(map(tuple, found))
+
+
+@pytest.mark.parametrize("mode", ["inbred", "hybrid"])
+def test_cells_of_the_lens_stay_with_their_sample(spark, tmp_path, monkeypatch, mode):
+    monkeypatch.setattr(lens, "PART", 100)
+    customer = spark.range(1000).select(F.col("id").alias("c_custkey"), F.element_at(F.array(F.lit("BUILDING"), F.lit("FURNITURE")), (F.col("id") % 2 + 1).cast("int")).alias("c_mktsegment"), F.lit(1.0).alias("c_acctbal"))
+    customer.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(5).selectExpr("id n_nationkey", "0L n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(1).selectExpr("id r_regionkey", "'R' r_name").write.parquet(f"{tmp_path}/region.parquet")
+    seqs = queries.Lens(spark, str(tmp_path), mode).seqs
+    assert seqs.count() == 1000 * (2 if mode == "hybrid" else 1)
+    # one file is dealt to parts of few samples, and grouping by sample moves no cell
+    assert seqs.rdd.getNumPartitions() == 10
+    plan = seqs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == plan.count("Exchange hashpartitioning(sample#") and plan.count("SortMergeJoin") <= 1
+
+
+def test_copies_of_short_and_missing_genotypes(spark):
+    rows = [("s", 0, 1, ["A", "G"], [1, None]), ("s", 0, 0, ["C", "T"], [0]), ("t", 1, 0, ["C", "T"], None), ("t", 1, 1, ["A", "G"], [5])]
+    cells = spark.createDataFrame([(7, *r) for r in rows], "region_ord int, sample string, sample_ord int, site_ord int, tokens array<string>, gt array<int>")
+    got = {(r["sample"], r["copy"]): r["seq"] for r in haplotypes.sequences(cells, "hybrid").collect()}
+    assert got == {("s", 0): ["C", "G"], ("s", 1): ["N", "N"], ("t", 0): ["N", "N"]}
