@@ -705,3 +705,12 @@ def test_copies_of_short_and_missing_genotypes(spark):
     cells = spark.createDataFrame([(7, *r) for r in rows], "region_ord int, sample string, sample_ord int, site_ord int, tokens array<string>, gt array<int>")
     got = {(r["sample"], r["copy"]): r["seq"] for r in haplotypes.sequences(cells, "hybrid").collect()}
     assert got == {("s", 0): ["C", "G"], ("s", 1): ["N", "N"], ("t", 0): ["N", "N"]}
+
+
+def test_no_task_takes_all_rows_of_a_class(spark):
+    rows = spark.range(2_000_000).select(F.lit(0).alias("region_ord"), (F.col("id") % 3).cast("string").alias("cls"), (F.col("id") % 50).cast("double").alias("x"))
+    values = traits.long_traits(rows, "cls", ["x"], ["region_ord"])
+    plan = values._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    found = traits.kruskal(values, ["region_ord"]).collect()
+    assert [(r["trait"], r["n"], r["k"]) for r in found] == [("x", 2_000_000, 3)]
