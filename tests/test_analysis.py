@@ -714,3 +714,28 @@ def test_no_task_takes_all_rows_of_a_class(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
     found = traits.kruskal(values, ["region_ord"]).collect()
     assert [(r["trait"], r["n"], r["k"]) for r in found] == [("x", 2_000_000, 3)]
+
+
+def small_lens(spark, path):
+    kinds = F.array(F.lit("BUILDING"), F.lit("FURNITURE"))
+    spark.range(1000).select(F.col("id").alias("c_custkey"), F.element_at(kinds, (F.col("id") % 2 + 1).cast("int")).alias("c_mktsegment"), F.lit(1.0).alias("c_acctbal")).coalesce(1).write.parquet(f"{path}/customer.parquet")
+    spark.range(5).selectExpr("id n_nationkey", "0L n_regionkey").write.parquet(f"{path}/nation.parquet")
+    spark.range(1).selectExpr("id r_regionkey", "'R' r_name").write.parquet(f"{path}/region.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("mode", ["inbred", "hybrid"])
+def test_samples_of_the_lens_are_not_broadcast(spark, tmp_path, mode):
+    x = queries.Lens(spark, small_lens(spark, tmp_path), mode)
+    for made in (x.seqs, x.hap_group()):
+        assert made.count() == 1000 * (2 if mode == "hybrid" and "seq" in made.columns else 1)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [sample#" not in plan
+
+
+def test_classes_of_inbred_samples_are_not_grouped(spark):
+    copies = spark.createDataFrame([(0, "a", 1, 0, "Hap001"), (0, "b", 2, 0, "Hap002"), (1, "a", 1, 0, "Hap001")], "region_ord int, sample string, sample_ord int, copy int, hap string")
+    member = spark.createDataFrame([(0, "Hap001", "C1")], "region_ord int, hap string, cluster string")
+    named = haplotypes.classes(copies, member, "inbred")
+    assert sorted(map(tuple, named.collect())) == [(0, "a", 1, "Hap001", "C1"), (0, "b", 2, "Hap002", "NA"), (1, "a", 1, "Hap001", "NA")]
+    assert "Aggregate" not in named._jdf.queryExecution().executedPlan().toString()
