@@ -739,3 +739,28 @@ def test_classes_of_inbred_samples_are_not_grouped(spark):
     named = haplotypes.classes(copies, member, "inbred")
     assert sorted(map(tuple, named.collect())) == [(0, "a", 1, "Hap001", "C1"), (0, "b", 2, "Hap002", "NA"), (1, "a", 1, "Hap001", "NA")]
     assert "Aggregate" not in named._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    "balance,keys,reason",
+    [
+        # few values without ties, a NaN, and classes without values
+        ("CASE WHEN c_custkey IN (1, 14, 40, 53, 92, 105, 118) THEN c_custkey * 1.25::DOUBLE WHEN c_custkey = 9 THEN 'nan'::DOUBLE END", "c_custkey", traits.EMPTY_CLASS),
+        ("CAST(7 AS DOUBLE)", "c_custkey", "Kruskal-Wallis failed: all values are the same"),
+        ("c_acctbal", "c_custkey * 10", traits.FEW_CLASSES),  # no values at all
+    ],
+)
+def test_significance_of_odd_values_equals_its_sql(spark, tmp_path, balance, keys, reason):
+    duckdb = pytest.importorskip("duckdb")
+    con, given = duckdb.connect(), "/root/testdata/sf0.001"
+    con.execute(f"CREATE TABLE customer AS SELECT * REPLACE (CAST({keys} AS BIGINT) AS c_custkey, {balance} AS c_acctbal) FROM '{given}/customer.parquet'")
+    for name in ("customer", "nation", "region"):
+        con.execute(f"CREATE TABLE IF NOT EXISTS {name} AS SELECT * FROM '{given}/{name}.parquet'")
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    got = queries.QUERIES["q38_trait_significance"](spark, str(tmp_path))
+    want = con.execute(oracle.ORACLES["q38_trait_significance"])
+    assert got.columns == [c[0] for c in want.description]
+    have = [tuple(r) for r in got.collect()]
+    assert Counter(have) == Counter(want.fetchall())
+    assert reason in {r[-1] for r in have} and "NA" in {r[-2] for r in have}
+    assert "IN (1" not in balance or any(r[3] == "pairwise" and 0 < min(r[6], r[7]) <= 8 for r in have)
