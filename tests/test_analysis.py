@@ -764,3 +764,12 @@ def test_significance_of_odd_values_equals_its_sql(spark, tmp_path, balance, key
     assert Counter(have) == Counter(want.fetchall())
     assert reason in {r[-1] for r in have} and "NA" in {r[-2] for r in have}
     assert "IN (1" not in balance or any(r[3] == "pairwise" and 0 < min(r[6], r[7]) <= 8 for r in have)
+
+
+def test_cluster_sizes_of_single_copies_shuffle_no_names(spark):
+    copies = spark.createDataFrame([(0, "s1", "a"), (0, "s2", "a"), (0, "s3", "b"), (0, None, "b"), (1, "s1", "a")], "region_ord int, sample string, hap string")
+    member = spark.createDataFrame([(0, "a", "x"), (0, "b", "x"), (1, "a", "y")], "region_ord int, hap string, cluster string")
+    got = clustering.cluster_sizes(copies, member, once=True)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, clustering.cluster_sizes(copies, member).collect())) == Counter([(0, "x", 3), (1, "y", 1)])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
