@@ -773,3 +773,25 @@ def test_cluster_sizes_of_single_copies_shuffle_no_names(spark):
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, clustering.cluster_sizes(copies, member).collect())) == Counter([(0, "x", 3), (1, "y", 1)])
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1
+
+
+def _refuse(*_):
+    raise AssertionError("read without need")
+
+
+def test_tables_of_groups_take_one_pass_and_no_traits(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(v):
+        seen.add(1)
+        return v
+
+    rows = [(0, "g1", "a")] * 3 + [(0, "g2", "b")] * 2 + [(0, "g2", "a"), (0, "g1", None), (0, "g3", "c")]
+    df = spark.createDataFrame(rows, "region_ord int, grp string, cls string").withColumn("cls", noted("cls"))
+    got = {(r["grp"], r["cls"]): (r["n"], r["ord"]) for r in traits.crosstab(df, "cls", "grp", ["region_ord"], 2).collect()}
+    assert got == {("g1", "a"): (3, 1), ("g1", "b"): (0, 2), ("g2", "a"): (1, 1), ("g2", "b"): (2, 2)}
+    assert seen.value == len(rows)
+    monkeypatch.setattr(queries.Lens, "traits", _refuse)
+    for name in ("q34_group_proportions", "q35_pie_labels"):
+        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").columns[:3] == ["region_ord", "Type", "ClusterID"]
