@@ -795,3 +795,10 @@ def test_tables_of_groups_take_one_pass_and_no_traits(spark, monkeypatch):
     monkeypatch.setattr(queries.Lens, "traits", _refuse)
     for name in ("q34_group_proportions", "q35_pie_labels"):
         assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").columns[:3] == ["region_ord", "Type", "ClusterID"]
+
+
+def test_class_counts_of_the_lens_read_no_groups_and_traits(spark, monkeypatch):
+    monkeypatch.setattr(queries.Lens, "traits", _refuse)
+    monkeypatch.setattr(queries.Lens, "typed", _refuse)
+    rows = queries.QUERIES["q32_class_min_count"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r["n"] >= queries.MIN_COUNT for r in rows)
