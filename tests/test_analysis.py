@@ -802,3 +802,21 @@ def test_class_counts_of_the_lens_read_no_groups_and_traits(spark, monkeypatch):
     monkeypatch.setattr(queries.Lens, "typed", _refuse)
     rows = queries.QUERIES["q32_class_min_count"](spark, "/root/testdata/sf0.001").collect()
     assert rows and all(r["n"] >= queries.MIN_COUNT for r in rows)
+
+
+def test_box_values_take_one_pass_and_no_groups(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def noted(v):
+        seen.add(1)
+        return v
+
+    values = [1.0, 2.0, 3.0, 4.0, 4.0, 100.0, None]
+    df = spark.createDataFrame([(0, "t", "a", v) for v in values], "region_ord int, trait string, cls string, v double").select("region_ord", "trait", "cls", noted("v").alias("value"))
+    r = traits.box_stats(df, ["region_ord"]).collect()[0]
+    assert (r["n"], r["q1"], r["med"], r["q3"], r["whislo"], r["whishi"]) == (6, 2.25, 3.5, 4.0, 1.0, 4.0)
+    # the filter of nulls and the grouping may each read the column
+    assert seen.value <= 2 * len(values)
+    monkeypatch.setattr(queries.Lens, "typed", _refuse)
+    assert "whishi" in queries.QUERIES["q39_boxplot_stats"](spark, "/root/testdata/sf0.001").columns
