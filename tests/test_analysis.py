@@ -820,3 +820,32 @@ def test_box_values_take_one_pass_and_no_groups(spark, monkeypatch):
     assert seen.value <= 2 * len(values)
     monkeypatch.setattr(queries.Lens, "typed", _refuse)
     assert "whishi" in queries.QUERIES["q39_boxplot_stats"](spark, "/root/testdata/sf0.001").columns
+
+
+@pytest.mark.parametrize("policy,want", [("slash", ["A/G", "N", "T"]), ("iupac", ["R", "N", "T"]), ("missing", ["N", "N", "T"])])
+def test_called_tokens_are_worked_out_once_a_cell(spark, policy, want):
+    rows = [(0, "s1", 1, 3, [0, 0], ["T"]), (0, "s1", 1, 1, [0, 1], ["A", "G"]), (0, "s1", 1, 2, None, ["A"])]
+    cells = spark.createDataFrame(rows, "region_ord int, sample string, sample_ord long, site_ord long, gt array<int>, tokens array<string>")
+    seqs = haplotypes.sequences(cells, "inbred", policy)
+    assert [r["seq"] for r in seqs.collect()] == [want]
+    assert seqs._jdf.queryExecution().optimizedPlan().toString().count("filter(transform(") == 1
+    given = "/root/testdata/sf0.001"
+    count = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("filter(transform(")
+    assert count(queries.QUERIES["q12_consensus_slash"](spark, given)) == count(queries.Lens(spark, given).cells) + 1
+
+
+def test_copies_are_read_off_a_row_sorted_once(spark):
+    rows = [(0, "s1", 1, 3, [0, 0], ["T"]), (0, "s1", 1, 1, [0, 1, 1], ["A", "G"]), (0, "s1", 1, 2, None, ["A"])]
+    cells = spark.createDataFrame(rows, "region_ord int, sample string, sample_ord long, site_ord long, gt array<int>, tokens array<string>")
+    seqs = haplotypes.sequences(cells, "hybrid")
+    assert {r["copy"]: r["seq"] for r in seqs.collect()} == {0: ["A", "N", "T"], 1: ["G", "N", "T"], 2: ["G", "N", "N"]}
+    plan = seqs._jdf.queryExecution().optimizedPlan().toString()
+    # sorted where the row is gathered, below the copies
+    assert "sort" not in plan[: plan.index("Generate")] and "sort_array" in plan
+
+
+@pytest.mark.parametrize("name", ["q21_hap_membership", "q30_sample_copy_fasta"])
+def test_copies_and_ranks_read_the_same_sequences(spark, name):
+    made = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    # the cells are made for the table of sequences only, not again for the rows of the query
+    assert "customer.parquet" not in "".join(made.inputFiles())
